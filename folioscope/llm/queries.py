@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .sharding import shard_documents
 from .simhash import near_dedup
 
@@ -22,7 +23,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_sharding, op10_simhash)}
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mix_sources, op9_sharding, op10_simhash)}
 
 SQL = {
     "op1_exact_dedup": """
