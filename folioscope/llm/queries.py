@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .language import identify_languages
 from .mixing import mix_sources
+from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_dedup
 
@@ -23,11 +25,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).drop("kept")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mix_sources, op9_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op6_mix_sources, op8_language_id, op9_sharding, op10_simhash)}
 
 SQL = {
     "op1_exact_dedup": """
