@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language import identify_languages
 from .mixing import mix_sources
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_dedup
+from .toxicity import grades_of_labels, score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +35,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir)).drop("spans")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(documents(spark, sf_dir), grades_of_labels(labels))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op6_mix_sources, op8_language_id, op9_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash)}
 
 SQL = {
     "op1_exact_dedup": """
