@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .decontaminate import find_leaks
-from .exact_dedup import exact_dedup
+from .exact_dedup import exact_dedup, sha256_hex
 from .html_text import extract_text
 from .language import identify_languages
 from .mixing import mix_sources
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_dedup
+from .substrings import remove_repeated
 from .toxicity import grades_of_labels, score_toxicity
 
 
@@ -40,6 +42,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir)).drop("spans")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated(documents(spark, sf_dir), window=35)
+    return rows.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,7 +60,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_secret_scan, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_secret_scan, op4_substring_dedup, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash)}
 
 SQL = {
     "op1_exact_dedup": """
