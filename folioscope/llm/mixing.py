@@ -81,16 +81,18 @@ def taken_blocks(sources: DataFrame, block: int = 128, shard_slots: int = 1 << 1
     )
     fixed = ["source", "words", "blocks", "slots"]
     last = lambda n: F.ceil(F.col("slots") / n).cast("long") - 1
+    # By number, since Spark would put the few rows here, before they are exploded, into one task.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = sources.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last(4096))))
     ends = F.least((F.col("chunk") + 1) * 4096, F.col("slots")) - 1
-    dealt = chunks.repartition("source", "chunk").withColumn("j", F.explode(F.sequence(F.col("chunk") * 4096, ends)))
+    dealt = chunks.repartition(tasks, "source", "chunk").withColumn("j", F.explode(F.sequence(F.col("chunk") * 4096, ends)))
     place = permuted(F.col("first") + F.col("j"), F.col("all_slots"), F.lit("shards"))
     drawn = dealt.withColumn("shard", F.floor(place / shard_slots)).groupBy(*fixed, "shard").agg(
         F.count(F.lit(1)).alias("drawn")
     )
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("begin", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
-    slots = drawn.repartition("source", "shard").withColumn(
+    slots = drawn.repartition(tasks, "source", "shard").withColumn(
         "j", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("drawn") - 1))
     )
     turn = F.floor(F.col("j") / F.col("blocks"))
@@ -104,7 +106,7 @@ def taken_blocks(sources: DataFrame, block: int = 128, shard_slots: int = 1 << 1
     )
 
 
-def packed(rows: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
+def packed(rows: DataFrame, bucket_rows: int = 2_000) -> DataFrame:
     """rows(source, id, tie, size) with `start`: the words of its source before it, and `row`.
 
     The order in a source is that of a hash of the id, then id, tie and size.  No task sums a
@@ -159,7 +161,8 @@ def mix_decisions(
             F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
         ),
     )
-    met = spans.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("b0") == F.col("b")))
+    # Spark takes the exploded slots for as small as the table of sources, and would broadcast them.
+    met = spans.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b0") == F.col("b")))
     low = F.greatest(F.col("b0") * block - F.col("start"), F.lit(0))
     high = F.least((F.col("b0") + 1) * block - F.col("start"), F.col("size"))
     more = F.least(F.col("b0") * block + F.col("part") - F.col("start"), high)  # words before it once more
