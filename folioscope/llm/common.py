@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +41,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_carried(fields: str, docs: DataFrame, carry: dict[str, str] | None) -> T.StructType:
+    """A schema of fields and, after them, the columns of docs that `carry` names, as it renames them."""
+    carried = [T.StructField(new, docs.schema[old].dataType) for old, new in (carry or {}).items()]
+    return T.StructType([*T.StructType.fromDDL(fields).fields, *carried])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

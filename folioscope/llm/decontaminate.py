@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, text_or_empty, utf8, word_bounds, word_hashes
+from .common import mixed, slices, text_or_empty, utf8, with_carried, word_bounds, word_hashes
 
 _KEEP = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -271,8 +271,10 @@ def find_leaks(
     least_words: int = 5,
     target_recall: float = 0.97,
     block_bytes: int = 32 << 20,
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
-    """One row per input row: id, contaminated, n_items, item_ids, least_distance.
+    """One row per input row: id, contaminated, n_items, item_ids, least_distance, and columns of
+    docs named in `carry`, as it renames them.
 
     A text is contaminated by an item of n words if some part of it is within (1 - similarity) * n
     word edits of the item; words are runs of letters and digits, in lower case.  Items of fewer
@@ -290,12 +292,14 @@ def find_leaks(
     blocks = max(1, -(-int(size) // block_bytes))
     part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     matches = "array<struct<item:bigint,distance:int>>"
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.array().cast(matches).alias("matches"))
+    carried = [F.col(old).alias(new) for old, new in (carry or {}).items()]
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.array().cast(matches).alias("matches"), *carried)
+    fields = with_carried(f"id {dict(docs.dtypes)[id_col]}, text string, matches {matches}", docs, carry)
     spark = docs.sparkSession
     for block in range(blocks):
         got = items.where(part == block).orderBy("item_id", "text").toArrow()
         model = Items.of(got.column(0).to_pylist(), got.column(1).to_pylist(), similarity, least_words, target_recall)
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(model), keep_text=block < blocks - 1), f"id {dict(docs.dtypes)[id_col]}, text string, matches {matches}")
+        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(model), keep_text=block < blocks - 1), fields)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     return rows.select(
         F.col("id").alias(id_col),
@@ -303,6 +307,7 @@ def find_leaks(
         F.size(ids).cast("long").alias("n_items"),
         ids.alias("item_ids"),
         F.array_min(F.transform("matches", lambda m: m["distance"])).alias("least_distance"),
+        *(carry or {}).values(),
     )
 
 
@@ -318,14 +323,14 @@ def _pass(model, keep_text: bool):
                 [*old, *({"item": i, "distance": d} for k, d in new for i in finder.items.ids[k])] for old, new in zip(earlier, found)
             ]
             text = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(all_of, kind)], ["id", "text", "matches"])
+            columns = [batch.column(0), text, pa.array(all_of, kind), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return work
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that no item contaminates, all columns.  Rows that repeat an id are told apart by their texts."""
-    dirty = find_leaks(docs.withColumn("_key", F.struct(id_col, F.xxhash64(text_or_empty(text_col)))), benchmark, "_key", text_col, **options)
-    dirty = dirty.where("contaminated").select(F.col("_key." + id_col).alias("_id"), F.col("_key.col2").alias("_hash")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_hash"))
-    return docs.join(dirty, same, "left_anti")
+    """The rows of docs that no item contaminates, all columns, without a shuffle."""
+    carry = {name: f"_{k}" for k, name in enumerate(docs.columns)}
+    clean = find_leaks(docs, benchmark, id_col, text_col, carry=carry, **options).where("not contaminated")
+    return clean.select(*[F.col(new).alias(old) for old, new in carry.items()])

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, text_or_empty, utf8, word_bounds, word_hashes
+from .common import mixed, slices, text_or_empty, utf8, with_carried, word_bounds, word_hashes
 
 # Where each script's letters begin in Unicode; -1 marks what has no letters of interest.
 SCRIPTS = ["latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "ethiopic", "kana", "han", "hangul"]
@@ -230,8 +230,10 @@ def identify_languages(
     lang_col: str = "lang",
     train_rows: int = 20_000,
     penalty: float = 24.0,
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
-    """One row per input row: id, held_out, lang_pred, score, spans.
+    """One row per input row: id, held_out, lang_pred, score, spans, and columns of docs named in
+    `carry`, as it renames them.
 
     Learns from rows that are not held out, with text and language.  spans are runs of words
     (first, upto, lang), whole texts; lang_pred has most letters, score is its share of them; ties
@@ -245,6 +247,7 @@ def identify_languages(
         held_out(id_col).alias("held_out"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
         text_or_empty(text_col).alias("text"),
+        *[F.col(old).alias(new) for old, new in (carry or {}).items()],
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,11 +255,8 @@ def identify_languages(
         for batch in slices(batches, "text"):
             yield _label(batch, shared.value, penalty)
 
-    kind = dict(docs.dtypes)[id_col]
-    return rows.mapInArrow(
-        work,
-        f"{id_col} {kind}, held_out boolean, lang_pred string, score double, spans array<struct<first:int,upto:int,lang:string>>",
-    )
+    fields = f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, spans array<struct<first:int,upto:int,lang:string>>"
+    return rows.mapInArrow(work, with_carried(fields, docs, carry))
 
 
 def _label(batch: pa.RecordBatch, model: Model, penalty: float) -> pa.RecordBatch:
@@ -287,6 +287,7 @@ def _label(batch: pa.RecordBatch, model: Model, penalty: float) -> pa.RecordBatc
             pa.array(names[pick].tolist(), pa.string()),
             pa.array(np.clip(share, 0.0, 1.0)),
             pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("upto", pa.int32()), ("lang", pa.string())]))),
+            *batch.columns[4:],
         ],
-        [batch.schema.field(0).name, "held_out", "lang_pred", "score", "spans"],
+        [batch.schema.field(0).name, "held_out", "lang_pred", "score", "spans", *batch.schema.names[4:]],
     )

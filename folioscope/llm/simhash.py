@@ -33,15 +33,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """id, fp (the 64 bits as a signed long), one row per input row.  Null text has no word."""
+    """id, fp (the 64 bits as a signed long), tie (a hash of the text), one row per input row.  Null
+    text has no word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             marks = np.array([fingerprint(x.encode(), width) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)], ["id", "fp", "tie"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(work, "id long, fp long")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    return rows.mapInArrow(work, "id long, fp long, tie long")
 
 
 def pivots(count: int, seed: int = 7) -> np.ndarray:
@@ -169,6 +171,15 @@ def near_links(marks: DataFrame, near: int = 2, pivot_count: int = 16) -> DataFr
     return dealt.mapInArrow(lambda batches: _links(batches, near, refs), "a long, b long").distinct()
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
+    """id, fp, tie, component_id, one row per input row."""
+    rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")
+    marks = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-marks")
+    nodes = marks.select(F.col("fp").alias("node"), F.col("least").alias("label"))
+    label = smallest_reachable(nodes, near_links(marks, near))
+    return rows.join(label.select(F.col("node").alias("fp"), F.col("label").alias("component_id")), "fp")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 2) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id, kept.
 
@@ -177,14 +188,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     zero and link like any other.  `kept` is true for the row that has that smallest id (for each
     if rows repeat it).  Null ids never become a component's id unless all of it are null.
     """
-    rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")
-    marks = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-marks")
-    nodes = marks.select(F.col("fp").alias("node"), F.col("least").alias("label"))
-    label = smallest_reachable(nodes, near_links(marks, near))
-    wide = rows.join(label.select(F.col("node").alias("fp"), F.col("label").alias("component_id")), "fp")
-    return wide.select(
+    return _components(docs, id_col, text_col, near).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 2) -> DataFrame:
+    """docs without near copies: one row of each component of near_dedup, all columns.
+
+    The row with the smallest id stays (a null id is larger than any); of rows that repeat it, the
+    one with the least hash of the text, and of equal rows one.
+    """
+    rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("key"), "tie")
+    winners = _components(docs, id_col, text_col, near).withColumn("label", F.coalesce("component_id", F.lit(-1)))
+    winners = winners.groupBy("label", F.col("component_id").isNull().alias("unnamed")).agg(F.min(rank).alias("one"))
+    winners = staged(winners.select("one.none", "one.key", F.col("one.tie").alias("hash")), "simhash-winners")
+    own = docs.withColumns(
+        {
+            "none": F.col(id_col).isNull(),
+            "key": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
+            "hash": F.xxhash64(text_or_empty(text_col)),
+        }
+    )
+    keys = ["none", "key", "hash"]
+    return own.join(winners, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
