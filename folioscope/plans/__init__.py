@@ -1 +1 @@
-"""."""
+"""Queries over an archive: documents, observations, search, series."""

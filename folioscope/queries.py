@@ -2,12 +2,546 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from .functions.text import fold, sliding_windows, stems, text_pages, words
+from .operators import compaction, copies, graph, islands, joins, overlay, suspects
+from .plans.archive import IS_RESULT, Filters, material_key, verdict
+from .plans.bindings import WITH, archive, table
+from .plans.search import count_hits, hits, postings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the same in SQL where SQL can say it."""
+
+    def note(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return note
+
+
+PRIMARY = "doc_type NOT IN ('blank') AND primary_copy"
+
+# ---------------------------------------------------------------- documents
+
+
+@query(f"""{WITH} SELECT
+  (SELECT count(*) FROM docs WHERE primary_copy) AS documents,
+  (SELECT count(*) FROM docs WHERE primary_copy AND transcribed) AS transcribed,
+  (SELECT count(*) FROM docs WHERE primary_copy AND date IS NULL) AS without_date,
+  (SELECT min(date) FROM docs WHERE primary_copy) AS first_date,
+  (SELECT max(date) FROM docs WHERE primary_copy) AS last_date,
+  (SELECT count(DISTINCT file_id) FROM docs) AS files,
+  (SELECT count(DISTINCT copy_group) FROM docs) AS copy_groups,
+  (SELECT count(*) FROM obs JOIN docs USING (document_id)) AS values_all,
+  (SELECT count(*) FROM obs JOIN docs USING (document_id) WHERE primary_copy) AS values_primary""")
+def overview(spark, sf_dir):
+    return archive(spark, sf_dir).overview()
+
+
+flagship = overview
+
+
+@query(f"""{WITH} SELECT 'type' AS kind, doc_type AS label, count(*) AS documents FROM docs WHERE primary_copy GROUP BY doc_type
+  UNION ALL SELECT 'language', coalesce(language, 'not said'), count(*) FROM docs WHERE primary_copy GROUP BY 2""")
+def histograms(spark, sf_dir):
+    return archive(spark, sf_dir).histograms()
+
+
+@query(f"{WITH} SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS documents FROM docs WHERE {PRIMARY} AND date IS NOT NULL GROUP BY 1")
+def year_histogram(spark, sf_dir):
+    return archive(spark, sf_dir).years(Filters())
+
+
+@query(f"{WITH} SELECT coalesce(language, 'not said') AS language, count(*) AS documents FROM docs GROUP BY 1")
+def language_counts(spark, sf_dir):
+    return archive(spark, sf_dir).language_counts()
+
+
+@query(f"""{WITH}, d AS (SELECT * FROM docs WHERE {PRIMARY} AND date IS NOT NULL)
+  SELECT doc_type, CAST(year(date) AS BIGINT) AS year, count(*) AS documents, CAST(sum(count(*)) OVER (PARTITION BY doc_type) AS BIGINT) AS in_lane
+  FROM d GROUP BY doc_type, year(date)""")
+def lanes(spark, sf_dir):
+    return archive(spark, sf_dir).lanes(Filters())
+
+
+@query(f"""{WITH}, page AS (SELECT * FROM docs WHERE doc_type NOT IN ('blank', 'admin', 'insurance') AND primary_copy
+    AND date >= DATE '1996-01-01' AND date <= DATE '1999-12-31' ORDER BY date DESC NULLS LAST, document_id LIMIT 50 OFFSET 10)
+  SELECT document_id, date, doc_type, provider, (SELECT count(*) FROM obs o WHERE o.document_id = page.document_id) AS value_count FROM page""")
+def timeline_page(spark, sf_dir):
+    return archive(spark, sf_dir).timeline(Filters(since="1996-01-01", until="1999-12-31", paperwork=False), 50, 10)
+
+
+@query(f"""{WITH}, page AS (SELECT * FROM docs WHERE {PRIMARY} AND date IS NULL ORDER BY document_id LIMIT 200)
+  SELECT document_id, date, doc_type, provider, (SELECT count(*) FROM obs o WHERE o.document_id = page.document_id) AS value_count FROM page""")
+def timeline_undated(spark, sf_dir):
+    return archive(spark, sf_dir).timeline(Filters(undated=True), 500)
+
+
+@query(f"""{WITH} SELECT count(*) AS documents, min(date) AS first_date, max(date) AS last_date FROM docs
+  WHERE doc_type = 'report' AND primary_copy AND provider IN ('Clinic 3', 'Clinic 5') AND doctor IN ('Dr 5', 'Dr 43', 'Dr 25')""")
+def count_documents(spark, sf_dir):
+    return archive(spark, sf_dir).count_documents(
+        Filters(doc_type="report", providers=["Clinic 3", "Clinic 5"], doctors=["Dr 5", "Dr 43", "Dr 25"])
+    )
+
+
+@query(f"""{WITH}, m AS (SELECT date, 'institution' AS kind, provider AS name FROM docs WHERE primary_copy
+    UNION ALL SELECT date, 'doctor', doctor FROM docs WHERE primary_copy)
+  SELECT kind, name, count(*) AS documents, min(date) AS first_date, max(date) AS last_date FROM m WHERE trim(coalesce(name, '')) <> '' GROUP BY kind, name""")
+def who_made_them(spark, sf_dir):
+    return archive(spark, sf_dir).who_made_them()
+
+
+@query(f"""{WITH} SELECT count(*) FILTER (WHERE primary_copy AND trim(coalesce(provider, '')) <> '') AS name_an_institution,
+  count(*) FILTER (WHERE primary_copy AND trim(coalesce(doctor, '')) <> '') AS name_a_doctor FROM docs""")
+def how_many_name_them(spark, sf_dir):
+    return archive(spark, sf_dir).how_many_name_them()
+
+
+@query(f"""{WITH}, g AS (SELECT copy_group, document_id, date, row_number() OVER (PARTITION BY copy_group ORDER BY
+    CASE WHEN doc_type = 'lab_panel' THEN 0 ELSE 1 END, CASE WHEN transcribed THEN 0 ELSE 1 END, document_id) AS r,
+    count(*) OVER (PARTITION BY copy_group) AS members FROM docs WHERE copy_group IS NOT NULL)
+  SELECT CAST(copy_group AS DOUBLE) AS copy_group, document_id, members FROM g WHERE r = 1 AND members > 1""")
+def primary_of_copies(spark, sf_dir):
+    grouped = archive(spark, sf_dir).documents.where("copy_group is not null")
+    members = grouped.groupBy("copy_group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    ranking = [F.when(F.col("doc_type") == "lab_panel", 0).otherwise(1), F.when(F.col("transcribed"), 0).otherwise(1), F.col("document_id")]
+    best = copies.primary_copies(grouped.join(members, "copy_group"), ranking)
+    return best.select(F.col("copy_group").cast("double").alias("copy_group"), "document_id", "members")
+
+
+# ---------------------------------------------------------------- values
+
+KEY = "CASE WHEN material IS NOT NULL AND trim(material) <> '' THEN material WHEN material_source = 'no sample' THEN 'not_a_sample' ELSE 'unknown' END"
+DRAWN = f"indicator_id IS NOT NULL AND date IS NOT NULL AND primary_copy AND NOT derived AND {IS_RESULT}"
+
+
+@query(f"""{WITH} SELECT observation_id, document_id, date, name, value_numeric, unit FROM obs JOIN docs USING (document_id)
+  WHERE primary_copy AND lower(name) LIKE '%red%' AND lower(name) LIKE '%bolt%' ORDER BY date NULLS LAST, document_id, observation_id LIMIT 5000""")
+def values_of_test(spark, sf_dir):
+    return archive(spark, sf_dir).values(9999, cap=5000, name="BOLT réd")
+
+
+@query(f"""{WITH} SELECT count(*) AS values_found FROM obs JOIN docs USING (document_id)
+  WHERE (lower(name) LIKE '%ring%' OR indicator_id IN ('gear')) AND primary_copy AND NOT derived AND ({KEY}) = 'unknown'""")
+def count_values(spark, sf_dir):
+    rows = archive(spark, sf_dir).matching(name="ring", indicators=["gear"], material="unknown", derived=False)
+    return rows.agg(F.count(F.lit(1)).alias("values_found"))
+
+
+@query(f"""{WITH} SELECT lower(name) AS folded, unit, count(*) AS values, min(date) AS first_date, max(date) AS last_date, min(name) AS name
+  FROM obs JOIN docs USING (document_id) WHERE lower(name) LIKE '%ed%' GROUP BY 1, 2""")
+def value_names(spark, sf_dir):
+    return archive(spark, sf_dir).value_names("ED")
+
+
+@query(f"""{WITH} SELECT lower(name) AS folded, count(*) AS values, count(DISTINCT unit) AS units, min(date) AS first_date, max(date) AS last_date,
+  coalesce(string_agg(DISTINCT unit, ',' ORDER BY unit), '') AS unit_list FROM obs JOIN docs USING (document_id) WHERE primary_copy GROUP BY 1""")
+def printed_names(spark, sf_dir):
+    return archive(spark, sf_dir).printed_names()
+
+
+@query(f"""{WITH}, v AS (SELECT indicator_id, date, {KEY} AS k FROM obs JOIN docs USING (document_id) WHERE primary_copy AND {IS_RESULT})
+  SELECT i.indicator_id, i.label, count(v.k) AS values, min(v.date) AS first_date, max(v.date) AS last_date, count(DISTINCT v.k) AS materials
+  FROM inds i LEFT JOIN v ON i.indicator_id = v.indicator_id GROUP BY 1, 2""")
+def test_list(spark, sf_dir):
+    return archive(spark, sf_dir).indicator_list()
+
+
+@query(f"""{WITH}, v AS (SELECT indicator_id, date, document_id, observation_id, value_numeric, {KEY} AS k FROM obs JOIN docs USING (document_id) WHERE {DRAWN})
+  SELECT indicator_id, count(*) AS points, min(date) AS first_date, max(date) AS last_date, count(DISTINCT k) AS materials,
+  CASE WHEN count(DISTINCT k) = 1 THEN arg_max(value_numeric, {{'d': date, 'o': document_id, 'i': observation_id}}) END AS last_value FROM v GROUP BY 1""")
+def test_timeline(spark, sf_dir):
+    return archive(spark, sf_dir).indicator_timeline()
+
+
+@query(f"{WITH} SELECT {KEY} AS material, count(*) AS values FROM obs JOIN docs USING (document_id) WHERE {DRAWN} GROUP BY 1")
+def material_tabs(spark, sf_dir):
+    return archive(spark, sf_dir).materials_present()
+
+
+@query(f"""{WITH} SELECT observation_id, document_id, name, value_numeric FROM obs JOIN docs USING (document_id)
+  WHERE {DRAWN} AND ({KEY}) = 'unknown'""")
+def values_with_no_material(spark, sf_dir):
+    rows = archive(spark, sf_dir).drawn().where(material_key() == "unknown")
+    return rows.select("observation_id", "document_id", "name", "value_numeric")
+
+
+@query(f"""{WITH} SELECT observation_id, document_id, flag, value_numeric FROM obs JOIN docs USING (document_id)
+  WHERE primary_copy AND trim(coalesce(flag, '')) <> '' AND lower(trim(flag)) = 'r'""")
+def flagged(spark, sf_dir):
+    return archive(spark, sf_dir).flagged("R").select("observation_id", "document_id", "flag", "value_numeric")
+
+
+#: Ranges by unit: both ends, one end, none; the missing unit has no row.
+RANGES = "(VALUES ('mg/l', 10.0, 40.0), ('mmol/l', NULL, 30.0), ('g/l', NULL, NULL))"
+
+
+@query(f"""{WITH}, v AS (SELECT unit, CASE WHEN r.u IS NULL THEN 'no_range_printed'
+    WHEN lo IS NULL AND hi IS NULL THEN 'cannot_tell' WHEN coalesce(value_numeric < lo, false) OR coalesce(value_numeric > hi, false) THEN 'outside' ELSE 'inside' END AS verdict
+  FROM obs JOIN docs USING (document_id) LEFT JOIN (SELECT * FROM {RANGES} t(u, lo, hi)) r ON unit = r.u WHERE primary_copy)
+  SELECT unit, verdict, count(*) AS values FROM v GROUP BY 1, 2""")
+def flagged_vs_range(spark, sf_dir):
+    ranges = spark.createDataFrame([("mg/l", 10.0, 40.0), ("mmol/l", None, 30.0), ("g/l", None, None)], "unit string, lo double, hi double")
+    rows = archive(spark, sf_dir).joined().where("primary_copy").join(F.broadcast(ranges.withColumn("ranged", F.lit(True))), "unit", "left")
+    told = verdict(F.col("value_numeric"), F.col("lo"), F.col("hi"))
+    kind = F.when(F.col("ranged").isNull(), "no_range_printed").when(told.isNull(), "cannot_tell").when(told, "outside").otherwise("inside")
+    return rows.groupBy("unit", kind.alias("verdict")).agg(F.count(F.lit(1)).alias("values"))
+
+
+@query(f"""{WITH}, c AS (SELECT o.*, first_value(unit IGNORE NULLS) OVER (PARTITION BY document_id, name, page ORDER BY observation_id, price
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS row_unit FROM obs o)
+  SELECT coalesce(unit, row_unit) AS unit_effective, count(*) AS values FROM c GROUP BY 1""")
+def unit_of_the_row(spark, sf_dir):
+    w = Window.partitionBy("document_id", "name", "page").orderBy("observation_id", "price").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = archive(spark, sf_dir).observations.withColumn("row_unit", F.first("unit", ignorenulls=True).over(w))
+    return rows.groupBy(F.coalesce("unit", "row_unit").alias("unit_effective")).agg(F.count(F.lit(1)).alias("values"))
+
+
+# ---------------------------------------------------------------- rules over values
+
+
+def _by(spark, sf_dir):
+    return archive(spark, sf_dir).joined().where("primary_copy").where(IS_RESULT)
+
+
+@query(f"""{WITH}, v AS (SELECT observation_id, price, name FROM obs JOIN docs USING (document_id) WHERE primary_copy AND {IS_RESULT} AND price > 0),
+  m AS (SELECT name, median(price) AS m, count(*) AS n FROM v GROUP BY 1)
+  SELECT observation_id, name, price, round(m, 6) AS median, n AS readings FROM v JOIN m USING (name) WHERE n >= 4 AND (price >= 10 * m OR price * 10 <= m)""")
+def suspect_far_from_median(spark, sf_dir):
+    found = suspects.far_from_median(_by(spark, sf_dir), ["name"], "price", 10.0, 4)
+    return found.select("observation_id", "name", "price", F.round("median", 6).alias("median"), "readings")
+
+
+@query(f"""{WITH}, h AS (SELECT document_id AS test, unit, count(*) AS n FROM obs WHERE unit IS NOT NULL GROUP BY 1, 2), t AS (SELECT test, sum(n) AS a FROM h GROUP BY 1)
+  SELECT test, unit, n FROM h JOIN t USING (test) WHERE n <= 1 AND a - n >= 4""")
+def suspect_lone_unit(spark, sf_dir):
+    values = archive(spark, sf_dir).observations.withColumn("test", F.col("document_id"))
+    return suspects.lone_units(values, "test", "unit", 1, 4)
+
+
+@query(f"""{WITH}, h AS (SELECT document_id, count(unit) AS k FROM obs GROUP BY 1)
+  SELECT observation_id, document_id, k AS with_unit FROM obs JOIN h USING (document_id) WHERE unit IS NULL AND k >= 4""")
+def suspect_missing_unit(spark, sf_dir):
+    return suspects.unit_missing(archive(spark, sf_dir).observations, "document_id", "unit", 4).select("observation_id", "document_id", "with_unit")
+
+
+@query(f"""{WITH}, f AS (SELECT document_id AS document, 'no_unit' AS rule, 1 AS w FROM obs WHERE unit IS NULL
+    UNION ALL SELECT document_id, 'flagged', 3 FROM obs WHERE flag = 'R'
+    UNION ALL SELECT document_id, 'no_title', 2 FROM docs WHERE title IS NULL AND doc_type = 'lab_panel' AND transcribed),
+  c AS (SELECT document, rule, w, count(*) AS n FROM f GROUP BY 1, 2, 3)
+  SELECT document, CAST(sum(w * least(n, 3)) AS BIGINT) AS weight FROM c GROUP BY 1""")
+def suspect_score(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    found = [
+        a.observations.where("unit is null").select(F.col("document_id").alias("document"), F.lit("no_unit").alias("rule")),
+        a.observations.where("flag = 'R'").select("document_id", F.lit("flagged")),
+        a.documents.where("title is null and doc_type = 'lab_panel' and transcribed").select("document_id", F.lit("no_title")),
+    ]
+    weights = spark.createDataFrame([("no_unit", 1), ("flagged", 3), ("no_title", 2)], "rule string, weight long")
+    return suspects.suspicion(found[0].union(found[1]).union(found[2]), weights)
+
+
+@query(f"""{WITH} SELECT document_id, name, unit, value_numeric, count(*) - 1 AS findings FROM obs GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""")
+def repeated_value(spark, sf_dir):
+    keys = ["document_id", "name", "unit", "value_numeric"]
+    return archive(spark, sf_dir).observations.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("findings")).where("findings > 0")
+
+
+@query(f"""{WITH} SELECT document_id, page, name FROM obs GROUP BY 1, 2, 3 HAVING NOT bool_or({IS_RESULT})""")
+def row_without_result(spark, sf_dir):
+    rows = archive(spark, sf_dir).observations.groupBy("document_id", "page", "name").agg(F.bool_or(F.expr(IS_RESULT)).alias("any"))
+    return rows.where("not any").drop("any")
+
+
+@query("""SELECT l_orderkey AS document_id, CAST(datediff('day', CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE)) AS BIGINT) AS days
+  FROM lineitem GROUP BY 1 HAVING datediff('day', CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE)) > 60""")
+def dates_far_apart(spark, sf_dir):
+    d = F.datediff(F.max(F.col("l_shipdate").cast("date")), F.min(F.col("l_shipdate").cast("date"))).cast("long")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(d.alias("days")).where("days > 60")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, p_brand, l_extendedprice AS mid FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice > 0),
+  m AS (SELECT p_brand, median(log10(mid)) AS m, count(*) AS n FROM r GROUP BY 1),
+  s AS (SELECT p_brand, avg(CASE WHEN abs(log10(mid) - m) >= 0.9 THEN 0.0 ELSE 1.0 END) AS s FROM r JOIN m USING (p_brand) WHERE n >= 5 GROUP BY 1)
+  SELECT l_orderkey, l_linenumber, p_brand, mid FROM r JOIN m USING (p_brand) JOIN s USING (p_brand) WHERE s >= 0.75 AND abs(log10(mid) - m) >= 0.9""")
+def powers_of_ten(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    rows = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand", F.col("l_extendedprice").alias("mid"))
+    return suspects.powers_from_the_rest(rows, "p_brand", "mid", 5, 0.75, 0.9).select("l_orderkey", "l_linenumber", "p_brand", "mid")
+
+
+@query(f"""{WITH} SELECT document_id FROM docs d WHERE doc_type = 'lab_panel' AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.document_id = d.document_id)""")
+def lab_without_values(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return a.documents.where("doc_type = 'lab_panel'").join(a.observations, "document_id", "left_anti").select("document_id")
+
+
+# ---------------------------------------------------------------- copies and names
+
+
+@query("""WITH t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) SELECT doc_id AS id, f AS copy_of FROM t WHERE doc_id <> f""")
+def exact_copies(spark, sf_dir):
+    return copies.exact_copies(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+NEAR = """i AS (SELECT DISTINCT l_orderkey AS document, l_partkey % 20 AS item FROM lineitem),
+  h AS (SELECT o_orderkey AS document, o_custkey AS file, date_trunc('day', o_orderdate) AS date FROM orders),
+  s AS (SELECT document, count(*) AS n FROM i GROUP BY 1), x AS (SELECT i.document, i.item, h.file, h.date, s.n FROM i JOIN h USING (document) JOIN s USING (document)),
+  p AS (SELECT a.document AS a, b.document AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.date = b.date AND a.item = b.item
+        WHERE a.document < b.document AND a.file <> b.file GROUP BY 1, 2, 3, 4),
+  q AS (SELECT a, b, shared FROM p WHERE (shared = na AND shared = nb) OR (shared = least(na, nb) AND shared >= 3)
+        OR (least(na, nb) >= 5 AND least(na, nb) >= 0.6 * greatest(na, nb) AND shared >= 0.8 * least(na, nb)))"""
+
+
+def _near(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_partkey") % 20).alias("item"))
+    heads = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("document"), F.col("o_custkey").alias("file"), F.col("o_orderdate").cast("date").alias("date")
+    )
+    return copies.possible_copies(heads, lines)
+
+
+@query(f"WITH {NEAR} SELECT a, b, shared FROM q")
+def near_copies(spark, sf_dir):
+    return _near(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {NEAR}, e AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q),
+  r AS (SELECT DISTINCT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x)
+  SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def copy_components(spark, sf_dir):
+    return graph.components(_near(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, list_distinct(string_split(name, ' ')) AS ws FROM n)
+  SELECT s.stem, count(DISTINCT s.name) AS names FROM (SELECT name, unnest(list_distinct(list_transform(list_filter(ws, lambda x: length(x) >= 5), lambda x: substring(x, 1, 5)))) AS stem FROM w) s GROUP BY 1""")
+def coverage_stems(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return names.select("name", F.explode(stems(fold(F.col("name")))).alias("stem")).groupBy("stem").agg(F.countDistinct("name").alias("names"))
+
+
+# ---------------------------------------------------------------- logs and time
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) r FROM events) WHERE r = 1""")
+def latest_wins(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return compaction.latest_by(log, ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 5000")
+def retention_newest_n(spark, sf_dir):
+    return compaction.newest_n(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), 5000, "event_id")
+
+
+@query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) r FROM events) WHERE r <= 8""")
+def newest_per_key(spark, sf_dir):
+    return compaction.newest_per_key(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.asc("event_id")], 8)
+
+
+EDITS = """edits AS (SELECT event_id AS seq, user_id * 7 AS document_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS value, event_type = 'error' AS removed FROM events WHERE event_id % 2 = 1),
+  standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) r FROM edits) WHERE r = 1)"""
+
+
+def _edits(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_id % 2 = 1")
+    return rows.select(
+        F.col("event_id").alias("seq"),
+        (F.col("user_id") * 7).alias("document_id"),
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("value"),
+        (F.col("event_type") == "error").alias("removed"),
+    )
+
+
+@query(f"""{WITH}, {EDITS} SELECT d.document_id, coalesce(s.value, d.doc_type) AS doc_type, s.value IS NOT NULL AS corrected
+  FROM docs d LEFT JOIN standing s ON d.document_id = s.document_id WHERE NOT coalesce(s.removed, false)""")
+def overlay_corrections(spark, sf_dir):
+    rows = archive(spark, sf_dir).documents.select("document_id", "doc_type")
+    return overlay.overlay(rows, _edits(spark, sf_dir), ["document_id"], "doc_type").select("document_id", "doc_type", "corrected")
+
+
+@query(f"WITH {EDITS} SELECT document_id, seq FROM standing s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = s.document_id AND o_orderstatus = 'F')")
+def unmatched_edits(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id"))
+    return overlay.unmatched(_edits(spark, sf_dir), rows, ["document_id"]).select("document_id", "seq")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey % 10 AS k, min(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2),
+  b AS (SELECT l_orderkey, l_partkey % 10 AS k, min(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2)
+  SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.k, b.k) AS k,
+  CASE WHEN b.k IS NULL THEN 'only_ours' WHEN a.k IS NULL THEN 'only_theirs' WHEN a.q IS DISTINCT FROM b.q OR a.f IS DISTINCT FROM b.f THEN 'differs' ELSE 'agreed' END AS standing,
+  coalesce(a.k IS NOT NULL AND b.k IS NOT NULL AND a.q IS DISTINCT FROM b.q, false) AS q_differs, coalesce(a.k IS NOT NULL AND b.k IS NOT NULL AND a.f IS DISTINCT FROM b.f, false) AS f_differs
+  FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.k = b.k""")
+def recheck_compare(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") % 10)
+    read = lambda parity: lines.where(f"l_linenumber % 2 = {parity}").groupBy("l_orderkey", "k").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    return joins.compare_readings(read(0), read(1), ["l_orderkey", "k"], ["q", "f"])
+
+
+@query("""WITH f AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' OR lag(role) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, role, CAST(sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS island FROM f""")
+def document_islands(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return islands.islands(rows, ["conv_id"], ["turn"], F.col("role") == "user")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS b FROM events),
+  i AS (SELECT user_id, event_type, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS island FROM f) SELECT user_id, island, event_type, count(*) AS rows FROM i GROUP BY 1, 2, 3""")
+def table_islands(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    moved = ~F.col("event_type").eqNullSafe(islands.before("event_type", ["user_id"], ["event_id"]))
+    return islands.islands(rows, ["user_id"], ["event_id"], moved).groupBy("user_id", "island", "event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN lag(turn) OVER w = turn - 1 THEN lag(role) OVER w END AS carried FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def carry_previous(spark, sf_dir):
+    keys, order = ["conv_id"], ["turn"]
+    near = islands.before("turn", keys, order) == F.col("turn") - 1
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(near, islands.before("role", keys, order)).alias("carried"))
+
+
+@query("""WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view'),
+  c AS (SELECT p.event_id, v.value, abs(epoch_us(p.ts) - epoch_us(v.ts)) AS gap, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(epoch_us(p.ts) - epoch_us(v.ts)), v.value) r FROM p JOIN v ON p.user_id = v.user_id)
+  SELECT event_id, value, gap FROM c WHERE r = 1""")
+def nearest_in_time(spark, sf_dir):
+    log = table(spark, sf_dir, "events")
+    return joins.nearest_in_time(log.where("event_type = 'purchase'"), log.where("event_type = 'view'"), ["user_id"], "ts", "value", "event_id")
+
+
+@query("""SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
+  AND abs(datediff('day', a.o_orderdate, b.o_orderdate)) <= 45 WHERE a.o_orderkey < b.o_orderkey""")
+def range_join_45_days(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    a = rows.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("o_orderdate").cast("date").alias("day_a"))
+    b = rows.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_orderdate").cast("date").alias("day_b"))
+    return joins.within_days(a, b, ["o_custkey"], "day_a", "day_b", 45).where("a < b").select("o_custkey", "a", "b")
+
+
+@query("""WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events)
+  SELECT user_id, round(sum(CASE WHEN gap > 0 AND gap <= 7200 THEN gap ELSE 0 END), 3) AS busy, count(*) AS events FROM g GROUP BY 1""")
+def busy_seconds(spark, sf_dir):
+    rows = islands.busy_seconds(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", 7200)
+    return rows.withColumn("busy", F.round("busy", 3))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 7200000000 THEN 0 ELSE 1 END AS b FROM events),
+  s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM g) SELECT user_id, session, min(ts) AS begins, max(ts) AS ends, count(*) AS events FROM s GROUP BY 1, 2""")
+def session_gaps(spark, sf_dir):
+    return islands.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", 7200)
+
+
+@query("""WITH w AS (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTES PRECEDING AND CURRENT ROW) AS n FROM events)
+  SELECT event_type, max(n) AS busiest, count(*) AS events FROM w GROUP BY 1""")
+def burst_window(spark, sf_dir):
+    return islands.busiest_window(table(spark, sf_dir, "events"), ["event_type"], "ts")
+
+
+@query("""WITH w AS (SELECT count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTES PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type <> 'error')
+  SELECT (SELECT count(*) FROM events WHERE event_type <> 'error') AS calls, (SELECT count(*) FROM events WHERE event_type = 'error') AS refusals,
+  (SELECT max(n) FROM w) AS busiest, (SELECT max(n) FROM w) >= 60 AS unusual""")
+def access_burst(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), (F.col("event_type") != "error").alias("allowed"))
+    return islands.burst_of_log(log)
+
+
+@query("""SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS events, round(sum(value), 4) AS value FROM events
+  GROUP BY ROLLUP (event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10)""")
+def json_props_rollup(spark, sf_dir):
+    k = F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999")).cast("long") % 10
+    rows = table(spark, sf_dir, "events").withColumn("k", k)
+    return rows.rollup("event_type", "k").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("""SELECT quality, toxic, count(*) AS documents FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2""")
+def verdict_tally(spark, sf_dir):
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def verdict_unmatched(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return table(spark, sf_dir, "documents").select("doc_id").join(good, "doc_id", "left_anti")
+
+
+@query(f"""{WITH}, w AS (SELECT document_id FROM docs WHERE transcribed), d AS (SELECT DISTINCT l_orderkey AS document_id FROM lineitem WHERE l_linenumber = 5)
+  SELECT w.document_id FROM w WHERE w.document_id NOT IN (SELECT document_id FROM d)""")
+def resume_not_done(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").alias("document_id"))
+    return compaction.not_done(archive(spark, sf_dir).documents.where("transcribed").select("document_id"), done, ["document_id"])
+
+
+# ---------------------------------------------------------------- text
+
+FOLDED = "replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '''', '')"
+TOKENS = f"t AS (SELECT doc_id AS doc, unnest(list_filter(string_split_regex({FOLDED}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token FROM documents), p AS (SELECT doc, token, count(*) AS tf FROM t GROUP BY 1, 2)"
+
+
+def _index(spark, sf_dir):
+    return postings(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+
+
+@query(f"""WITH {TOKENS}, l AS (SELECT doc, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS m FROM l),
+  f AS (SELECT doc, 'that' AS w, sum(tf) AS tf FROM p WHERE token LIKE 'that%' GROUP BY 1 UNION ALL SELECT doc, 'heon', sum(tf) FROM p WHERE token LIKE 'heon%' GROUP BY 1),
+  c AS (SELECT w, count(*) AS k FROM f GROUP BY 1),
+  s AS (SELECT doc, w, -greatest(ln((g.n - k + 0.5) / (k + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / g.m)) AS s FROM f JOIN c USING (w) JOIN l USING (doc), g)
+  SELECT doc, round(sum(s), 6) AS score FROM s GROUP BY 1 HAVING count(*) = 2""")
+def search_bm25(spark, sf_dir):
+    return hits(_index(spark, sf_dir), "Thát heon").select("doc", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {TOKENS} SELECT count(DISTINCT doc) AS documents FROM p WHERE token LIKE 'ent%'")
+def fold_search_count(spark, sf_dir):
+    return count_hits(_index(spark, sf_dir), "énT")
+
+
+@query(f"WITH {TOKENS} SELECT token, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS times FROM p GROUP BY 1")
+def vocabulary(spark, sf_dir):
+    return _index(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("times"))
+
+
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+  SELECT line, count(*) AS times, count(DISTINCT doc_id) AS documents FROM l WHERE line <> '' GROUP BY 1 HAVING count(*) >= 3""")
+def separator_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select("doc_id", F.trim("line").alias("line")).where("line <> ''")
+    once = lines.groupBy("line", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("line").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("documents")).where("times >= 3")
+
+
+@query("""SELECT doc_id, CAST(s AS BIGINT) AS place, CAST(length(substring(text, CAST(s AS BIGINT) + 1, 2000)) AS BIGINT) AS chars
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 100, 1), 1900)) AS s FROM documents)""")
+def sliding_text_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(sliding_windows(F.col("text"), 2000, 100)).alias("w"))
+    return rows.select("doc_id", F.col("w.place").cast("long").alias("place"), F.length("w.text").cast("long").alias("chars"))
+
+
+@query()
+def text_paging(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text_pages(F.col("text"), 5000)).alias("page", "text"))
+    return rows.select("doc_id", "page", F.length("text").alias("chars"))
+
+
+@query(f"SELECT doc_id, {FOLDED} AS folded FROM documents")
+def folded_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+
+
+@query("""WITH n AS (SELECT page_id, regexp_extract_all(html, '[0-9]+') AS a FROM pages), d AS (SELECT doc_id, text FROM documents)
+  SELECT page_id, CAST(len(a) AS BIGINT) AS sent, CAST(len(list_filter(a, lambda x: contains(coalesce(text, ''), x))) AS BIGINT) AS kept FROM n LEFT JOIN d ON page_id = doc_id""")
+def page_numbers_kept(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    numbers = F.regexp_extract_all("html", F.lit("[0-9]+"), F.lit(0))
+    rows = table(spark, sf_dir, "pages").select("page_id", numbers.alias("a")).join(docs, F.col("page_id") == F.col("doc_id"), "left")
+    kept = F.size(F.filter("a", lambda x: F.contains(F.coalesce("text", F.lit("")), x)))
+    return rows.select("page_id", F.size("a").cast("long").alias("sent"), kept.cast("long").alias("kept"))

@@ -1 +1 @@
-"""."""
+"""The incremental forms of compaction, windows, sessions and throttling."""
