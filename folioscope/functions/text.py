@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the fold: signs that vanish, and letters that count as one.
 APOSTROPHES = "'`´ʹʼʽ‘’′"
@@ -68,7 +69,7 @@ def fold_text(text: str | None) -> str | None:
     return "".join(MERGED.get(c, c) for c in bare if c not in DROPPED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(fold_text, na_action="ignore")
