@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import fold, sliding_windows, stems, text_pages, words
-from .operators import compaction, copies, graph, islands, joins, overlay, suspects
+from .operators import compaction, copies, graph, islands, joins, overlay, rules, suspects
 from .plans.archive import IS_RESULT, Filters, material_key, verdict
-from .plans.bindings import WITH, archive, table
+from .plans import series
+from .plans.bindings import WITH, archive, bound, table
 from .plans.search import count_hits, hits, postings
+from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -545,3 +549,127 @@ def page_numbers_kept(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", numbers.alias("a")).join(docs, F.col("page_id") == F.col("doc_id"), "left")
     kept = F.size(F.filter("a", lambda x: F.contains(F.coalesce("text", F.lit("")), x)))
     return rows.select("page_id", F.size("a").cast("long").alias("sent"), kept.cast("long").alias("kept"))
+
+
+# ---------------------------------------------------------------- rules and series over printed values
+
+PRINTED = """
+SELECT l_orderkey * 10 + l_linenumber AS observation_id, l_orderkey AS document_id, l_linenumber AS page, p_name AS name,
+       concat(CASE WHEN l_suppkey % 11 = 0 THEN '< ' ELSE '' END, CAST(CAST(l_quantity AS INT) AS STRING), CASE WHEN l_tax > 0.05 THEN ',5' ELSE '' END) AS value,
+       CASE WHEN l_suppkey % 13 = 0 THEN l_quantity + 1 WHEN l_tax > 0.05 THEN l_quantity + 0.5 ELSE l_quantity END AS value_numeric,
+       CASE WHEN l_suppkey % 22 = 0 THEN '<' END AS comparator, 'quantitative' AS value_kind,
+       CASE WHEN l_discount < 0.02 THEN 'other' ELSE 'result' END AS value_role,
+       CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN 'g/l' ELSE 'mmol/l' END AS unit,
+       CASE WHEN l_suppkey % 7 = 0 THEN '40-10' WHEN l_suppkey % 7 = 1 THEN '< 30' WHEN l_suppkey % 7 = 2 THEN 'none' ELSE '10-40 g/l' END AS reference,
+       CASE WHEN l_suppkey % 7 = 0 THEN 10.0 WHEN l_suppkey % 7 = 3 THEN 11.0 WHEN l_suppkey % 7 > 3 THEN 10.0 END AS reference_low,
+       CASE WHEN l_suppkey % 7 <> 2 THEN CASE WHEN l_suppkey % 7 = 1 THEN 30.0 ELSE 40.0 END END AS reference_high,
+       CAST(NULL AS STRING) AS column_heading, concat(p_name, ' line ', CAST(l_linenumber AS STRING)) AS snippet,
+       split_part(p_name, ' ', 2) AS indicator_id, CASE WHEN l_returnflag = 'A' THEN 'blood' END AS material, CAST(l_shipdate AS DATE) AS date
+FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+
+def _printed(spark, sf_dir) -> dict[str, DataFrame]:
+    values = bound(spark, sf_dir, PRINTED, "lineitem", "part")
+    return {"values": values}
+
+
+@query(f"""WITH v AS ({PRINTED}), f AS (
+  SELECT 'number_differs' AS rule, document_id FROM v WHERE observation_id IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_suppkey % 13 = 0)
+    AND value_numeric <> CAST(replace(replace(value, '< ', ''), ',', '.') AS DOUBLE)
+  UNION ALL SELECT 'comparator_missing', document_id FROM v WHERE (value LIKE '<%') <> (comparator IS NOT NULL)
+  UNION ALL SELECT 'reference_reversed', document_id FROM v WHERE reference = '40-10'
+  UNION ALL SELECT 'range_read_two_ways', document_id FROM v WHERE reference = '10-40 g/l' AND reference_low = 11
+  UNION ALL SELECT 'row_without_result', document_id FROM (SELECT document_id, page, name FROM v GROUP BY 1, 2, 3 HAVING bool_and(value_role = 'other'))
+  UNION ALL SELECT 'repeated_value', document_id FROM (SELECT document_id, unnest(range(1, count(*))) FROM v GROUP BY document_id, page, name, value, unit))
+  SELECT rule, count(*) AS findings, count(DISTINCT document_id) AS documents FROM f GROUP BY 1""")
+def rule_tally(spark, sf_dir):
+    only = ["number_differs", "comparator_missing", "reference_reversed", "range_read_two_ways", "row_without_result", "repeated_value"]
+    return rules.tally(rules.run(_printed(spark, sf_dir), only=only))
+
+
+@query()
+def rule_findings(spark, sf_dir):
+    """Every rule that needs values alone, with its shipped thresholds."""
+    only = [r.name for r in rules.REGISTRY.values() if r.step in ("suspects", "charts") and r.name not in ("institution_looks_like_a_name", "lab_form_without_a_title", "value_names_another_test")]
+    return rules.run(_printed(spark, sf_dir), only=only)
+
+
+@query()
+def series_charts(spark, sf_dir):
+    out = series.charts(_printed(spark, sf_dir)["values"])
+    return out.select("observation_id", "indicator_id", "material", "series", "date", "number", "low", "high", "moved", "retold", "why", "place")
+
+
+@query(f"""{WITH}, p AS (SELECT name, value_numeric FROM obs) SELECT DISTINCT name, lower(name) AS folded FROM p""")
+def name_folds(spark, sf_dir):
+    return archive(spark, sf_dir).observations.select("name").distinct().select("name", fold(F.col("name")).alias("folded"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, split_part(name, ' ', 1) AS a, split_part(name, ' ', 2) AS b FROM n),
+  e AS (SELECT x.name AS x, y.name AS y FROM w x JOIN w y ON x.b = y.b AND substring(x.a, 1, 1) = substring(y.a, 1, 1) WHERE x.name <> y.name),
+  r AS (SELECT DISTINCT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def name_families(spark, sf_dir):
+    """Names that share their last word and how the first begins, joined into families."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    keyed = n.withColumn("key", F.concat_ws(" ", F.substring(F.split("name", " ")[0], 1, 1), F.split("name", " ")[1]))
+    first = keyed.groupBy("key").agg(F.min("name").alias("a"))
+    return graph.components(keyed.join(first, "key").where("name <> a").select("a", F.col("name").alias("b")))
+
+
+# ---------------------------------------------------------------- streams, run to their end
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema)
+    if all(f.endswith("/events.parquet") for f in batch.inputFiles()):  # a single file, which a stream finds by its folder
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.parquet(path)
+
+
+def _finished(stream: DataFrame) -> DataFrame:
+    """What a stream writes until its input is used up, by a file sink in the shared folder."""
+    spark = stream.sparkSession
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='folioscope-')}/stream-{uuid.uuid4().hex}"
+    sink = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _closed(spark, sf_dir, rows: DataFrame, end: str) -> DataFrame:
+    """Groups that end well before the watermark: the rest may or may not be out yet."""
+    last = table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 3 HOURS")).alias("last"))
+    return rows.join(F.broadcast(last), F.col(end) < F.col("last")).drop("last")
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS begins, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+  SELECT begins, event_type, events, total FROM w WHERE begins + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 3 HOURS""")
+def stream_tumbling(spark, sf_dir):
+    out = _closed(spark, sf_dir, _finished(streams.tumbling(_stream(spark, sf_dir), "ts", "6 hours", "event_type", "value")), "ends")
+    return out.select(F.col("begins").cast("timestamp_ntz").alias("begins"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000000 THEN 0 ELSE 1 END AS b FROM events),
+  s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g), x AS (SELECT user_id, min(ts) AS begins, max(ts) AS m, count(*) AS events FROM s GROUP BY user_id, session)
+  SELECT user_id, begins, events FROM x WHERE m + INTERVAL 2 HOURS < (SELECT max(ts) FROM events) - INTERVAL 3 HOURS""")
+def stream_session(spark, sf_dir):
+    out = _closed(spark, sf_dir, _finished(streams.sessions(_stream(spark, sf_dir), "ts", "2 hours", "user_id")), "ends")
+    return out.select("user_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "events")
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedupe(spark, sf_dir):
+    """Each event once, though the stream may bring it again within the watermark."""
+    return _finished(streams.first_of_key(_stream(spark, sf_dir), ["event_id"], "ts")).select("event_id", "user_id")
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def stream_latest(spark, sf_dir):
+    """Last-wins state kept by a foreachBatch sink."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='folioscope-')}/latest-{uuid.uuid4().hex}"
+    sink = streams.keep_latest(f"{base}/out", ["user_id"], "event_id")
+    log = _stream(spark, sf_dir).select("user_id", "event_id")
+    log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.latest_state(spark, f"{base}/out").select("user_id", "event_id")
