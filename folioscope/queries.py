@@ -299,7 +299,7 @@ def exact_copies(spark, sf_dir):
     return copies.exact_copies(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-NEAR = """i AS (SELECT DISTINCT l_orderkey AS document, l_partkey % 20 AS item FROM lineitem),
+NEAR = """i AS (SELECT DISTINCT l_orderkey AS document, l_partkey % 6 AS item FROM lineitem),
   h AS (SELECT o_orderkey AS document, o_custkey AS file, date_trunc('day', o_orderdate) AS date FROM orders),
   s AS (SELECT document, count(*) AS n FROM i GROUP BY 1), x AS (SELECT i.document, i.item, h.file, h.date, s.n FROM i JOIN h USING (document) JOIN s USING (document)),
   p AS (SELECT a.document AS a, b.document AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.date = b.date AND a.item = b.item
@@ -309,7 +309,7 @@ NEAR = """i AS (SELECT DISTINCT l_orderkey AS document, l_partkey % 20 AS item F
 
 
 def _near(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_partkey") % 20).alias("item"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_partkey") % 6).alias("item"))
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("document"), F.col("o_custkey").alias("file"), F.col("o_orderdate").cast("date").alias("date")
     )
@@ -607,12 +607,12 @@ def name_folds(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, split_part(name, ' ', 1) AS a, split_part(name, ' ', 2) AS b FROM n),
-  e AS (SELECT x.name AS x, y.name AS y FROM w x JOIN w y ON x.b = y.b AND substring(x.a, 1, 1) = substring(y.a, 1, 1) WHERE x.name <> y.name),
+  e AS (SELECT x.name AS x, y.name AS y FROM w x JOIN w y ON x.b = y.b AND length(x.a) = length(y.a) WHERE x.name <> y.name),
   r AS (SELECT DISTINCT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def name_families(spark, sf_dir):
-    """Names that share their last word and how the first begins, joined into families."""
+    """Names that share their last word and the length of the first, joined into families."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    keyed = n.withColumn("key", F.concat_ws(" ", F.substring(F.split("name", " ")[0], 1, 1), F.split("name", " ")[1]))
+    keyed = n.withColumn("key", F.concat_ws(" ", F.length(F.split("name", " ")[0]), F.split("name", " ")[1]))
     first = keyed.groupBy("key").agg(F.min("name").alias("a"))
     return graph.components(keyed.join(first, "key").where("name <> a").select("a", F.col("name").alias("b")))
 
