@@ -13,6 +13,7 @@ from .common import mixed, range_hashes, slices, staged, text_or_empty, utf8, wo
 
 WINDOW = 35  # words
 ANCHOR = 8  # words of the sequences that decide a window's shard
+SALTS = 64
 SPLIT = 128  # an anchor with more different fragments is split further
 
 
@@ -282,11 +283,16 @@ def repeated_passages(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     cut = rows.select("row", "tie", "text").mapInArrow(_cut(window, anchor), FRAGMENT)
     shared = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     found = staged(cut.join(staged(shared, "passages-anchors"), "anchor"), "passages-fragments")
-    contents = found.groupBy("anchor", "content").agg(
+    # Counted by salt first: a content with a third of all fragments meets its count in many tasks.
+    salt = F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int").alias("salt")
+    parts = found.groupBy("anchor", "content", salt).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tie", "start", "windows")).alias("one")
     )
+    parts = staged(parts, "passages-parts")
+    contents = parts.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
     contents = staged(contents, "passages-contents")
-    copies = found.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"])
+    several = parts.select("anchor", "content", "salt").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"])
+    copies = found.withColumn("salt", salt).join(staged(several, "passages-several"), ["anchor", "content", "salt"])
     copied = copies.select("row", "tie", F.col("start").alias("low"), (F.col("start") + F.col("windows") + window - 1).alias("high"))
     kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = contents.join(staged(kinds, "passages-kinds"), "anchor").select(
