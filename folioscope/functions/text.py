@@ -52,12 +52,14 @@ def fold(text: Column) -> Column:
     Covers Latin, Greek and Cyrillic letters; fold_exact() covers every script, at the price of an
     Arrow round trip.
     """
+    plain = F.lower(F.replace(F.replace(text, F.lit("'"), F.lit("")), F.lit("`"), F.lit("")))
     out = F.translate(text, APOSTROPHES + DROPPED + DROPPED.upper(), "")
     out = F.translate(F.lower(out), _FROM, _TO)
     for c in "ßæœĳŉﬁﬂ":
         if c in _SMALL_SEVERAL:
             out = F.replace(out, F.lit(c), F.lit(_SMALL_SEVERAL[c]))
-    return F.regexp_replace(out, _MARKS, "")
+    # Letters go through a table one by one, so texts of plain letters take the short way.
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.regexp_replace(out, _MARKS, ""))
 
 
 def fold_text(text: str | None) -> str | None:

@@ -51,6 +51,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 @dataclass
@@ -161,7 +162,7 @@ def blocks_of(html: str) -> list[Block]:
                 node = node.parent
         if name in VOID:
             continue
-        at = Node(name, at, at.depth + 1, _says(name, rest), at.hidden or name in HIDDEN)
+        at = Node(name, at, at.depth + 1, _says(name, rest), at.hidden or name in HIDDEN or bool(rest and _UNSEEN.search(rest)))
         links = 0
     say(html[place:])
     flush()

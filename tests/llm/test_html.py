@@ -34,6 +34,11 @@ def test_page_without_an_article():
     assert main_text(page).split("\n") == [(text * 3).strip(), "Short.", (text * 2).strip()]
 
 
+def test_unseen_elements():
+    page = '<article><p>Seen text here.</p><p hidden>No.</p><div style="display: none"><p>No.</p></div><p aria-hidden="true">No.</p><p style="overflow:hidden">Seen too.</p></article>'
+    assert main_text(page) == "Seen text here.\nSeen too."
+
+
 def test_odd_markup():
     assert main_text("") == "" and main_text("<p") == "" and main_text("<script>x") == ""
     assert main_text("<article><p>1 < 2 and 3 > 2 is true.</p><p title='a>b'>Attribute with a sign.</p></article>") == "1 < 2 and 3 > 2 is true.\nAttribute with a sign."
