@@ -63,23 +63,29 @@ def taken_blocks(sources: DataFrame, block: int = 128, shard_slots: int = 1 << 1
     """source_targets() -> (source, block, times, part): how often the mix takes each block of a
     source, and how many of its first words it takes once more.
 
-    A source's target is cut into slots of `block` words; its last slot takes the words still
-    missing.  One permutation deals all slots to output shards of `shard_slots`, so the source
-    counts of a shard are a multinomial draw given the targets, and the whole mix meets them.
+    A source's target is cut into slots: one for each of its blocks for each whole pass over the
+    source, then slots of `block` words, of which the last takes the words still missing.  One
+    permutation deals all slots to output shards of `shard_slots`, so the source counts of a shard
+    are a multinomial draw given the targets, and the whole mix meets them.
     A source's slots, counted through its shards, go through the source's own permutations of its
     blocks, a new one each pass, so no block is taken more than one time oftener than another.
+    The last pass leaves a source's unfilled last block for the end, so every source's words,
+    however few, sum up to its rounded target exactly.
     """
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     sources = (
         sources.withColumn("words", F.round("target").cast("long"))
+        .where("words > 0")
         .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-        .withColumn("slots", F.ceil(F.col("words") / block).cast("long"))
-        .where("slots > 0")
+        .withColumn("filled", F.floor(F.col("source_size") / block).cast("long"))
+        .withColumn("passes", F.floor(F.col("words") / F.col("source_size")).cast("long"))
+        .withColumn("over", F.col("words") % F.col("source_size"))
+        .withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("over") / block).cast("long"))
         .withColumn("first", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
         .withColumn("all_slots", F.sum("slots").over(every))
     )
-    fixed = ["source", "words", "blocks", "slots"]
+    fixed = ["source", "blocks", "filled", "passes", "over", "slots"]
     last = lambda n: F.ceil(F.col("slots") / n).cast("long") - 1
     # By number, since Spark would put the few rows here, before they are exploded, into one task.
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,9 +101,11 @@ def taken_blocks(sources: DataFrame, block: int = 128, shard_slots: int = 1 << 1
     slots = drawn.repartition(tasks, "source", "shard").withColumn(
         "j", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("drawn") - 1))
     )
-    turn = F.floor(F.col("j") / F.col("blocks"))
-    at = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit("blocks"), F.coalesce("source", F.lit("")), turn)
-    rest = F.col("words") % block
+    turn, place = F.floor(F.col("j") / F.col("blocks")), F.col("j") % F.col("blocks")
+    among = F.when(turn < F.col("passes"), F.col("blocks")).otherwise(F.col("filled"))
+    dealt_to = permuted(place, F.greatest(among, F.lit(1)), F.lit("blocks"), F.coalesce("source", F.lit("")), turn)
+    at = F.when(place < among, dealt_to).otherwise(place)
+    rest = F.col("over") % block
     short = (F.col("j") == F.col("slots") - 1) & (rest > 0)
     return (
         slots.select("source", at.alias("block"), short.alias("short"), rest.alias("rest"))

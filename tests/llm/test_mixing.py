@@ -93,3 +93,17 @@ def test_mixed_documents(spark):
 def test_empty(spark):
     none = docs(spark, [])
     assert mix_sources(none).count() == 0 and mixed_documents(none).count() == 0
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(1, "w " * 40, "a"), (2, "w " * 130, "b"), (3, "w " * 3, "c"), (4, "w " * 200, "d"), (5, "w " * 55, "d"), (6, "w " * 5_000, "e"), (7, "x", None)]
+    rows += [(10 + i, "w " * (i % 50), "f") for i in range(200)]
+    got = mix_sources(docs(spark, rows)).collect()
+    taken, target = Counter(), {}
+    source = {i: s for i, _, s in rows}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert r.taken <= 3 * r.size
+    for s, words in target.items():
+        assert abs(taken[s] - words) <= 0.5
