@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .functions.text import fold, sliding_windows, stems, text_pages, words
 from .operators import compaction, copies, graph, islands, joins, overlay, rules, suspects
 from .plans.archive import IS_RESULT, Filters, material_key, verdict
-from .plans import series
-from .plans.bindings import WITH, archive, bound, table
+from .plans import people, reading, series, views
+from .plans.bindings import DOCUMENTS, WITH, archive, bound, table
 from .plans.search import count_hits, hits, postings
 from .streaming import streams
 
@@ -617,6 +617,185 @@ def name_families(spark, sf_dir):
     return graph.components(keyed.join(first, "key").where("name <> a").select("a", F.col("name").alias("b")))
 
 
+# ---------------------------------------------------------------- composed views
+
+
+@query(f"""{WITH} SELECT document_id, page, name, value_numeric, min(observation_id) AS observation_id, min(date) AS date FROM obs JOIN docs USING (document_id)
+  WHERE primary_copy AND (lower(name) LIKE '%ring%' OR indicator_id = 'gear') GROUP BY 1, 2, 3, 4""")
+def value_history(spark, sf_dir):
+    return views.value_history(archive(spark, sf_dir), "ring", ["gear"])
+
+
+@query(f"{WITH} SELECT indicator_id, unit, count(*) AS values FROM obs JOIN docs USING (document_id) WHERE primary_copy AND {IS_RESULT} GROUP BY 1, 2")
+def unit_habits(spark, sf_dir):
+    return views.unit_habits(archive(spark, sf_dir))
+
+
+@query(f"""{WITH} SELECT doc_type, language, document_id FROM docs QUALIFY
+  row_number() OVER (PARTITION BY doc_type, language ORDER BY md5(CAST(document_id AS VARCHAR)), document_id) <= 3""")
+def sample_documents(spark, sf_dir):
+    rows = archive(spark, sf_dir).documents.select("doc_type", "language", "document_id")
+    return views.sample_of_strata(rows, ["doc_type", "language"], "document_id", 3)
+
+
+@query(f"""{WITH}, f AS (SELECT document_id, count(*) AS found FROM obs WHERE trim(coalesce(flag, '')) <> '' GROUP BY 1)
+  SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS documents, CAST(100 * count(*) FILTER (WHERE transcribed) // count(*) AS INTEGER) AS percent,
+  CAST(coalesce(sum(found), 0) AS BIGINT) AS findings FROM docs LEFT JOIN f USING (document_id) GROUP BY 1""")
+def source_documents(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return views.source_documents(a.documents, a.observations.where("trim(coalesce(flag, '')) <> ''").select("document_id"))
+
+
+ACCESS = "SELECT CASE WHEN user_id % 3 = 0 THEN 'open' ELSE 'guarded' END AS door, event_type AS tool, CASE WHEN event_id % 3 = 0 THEN event_id % 5 END AS repeats FROM events"
+
+
+@query(f"WITH a AS ({ACCESS}) SELECT door, tool, count(*) AS lines, CAST(sum(1 + coalesce(repeats, 0)) AS BIGINT) AS calls FROM a GROUP BY 1, 2")
+def access_counts(spark, sf_dir):
+    return views.access_counts(bound(spark, sf_dir, ACCESS, "events"))
+
+
+#: Groups of spellings: the names of a test, but for one test that nobody has grouped.
+GROUPS = "SELECT DISTINCT split_part(p_name, ' ', 2) AS label, p_name AS name FROM part WHERE split_part(p_name, ' ', 2) <> 'gear'"
+PRINTED_NAMES = "SELECT p_name AS name, count(*) AS values FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 3 GROUP BY p_name"
+VERDICTS = "SELECT split_part(p_name, ' ', 2) AS label, p_name AS name FROM part WHERE p_partkey < 40 OR length(p_name) - length(split_part(p_name, ' ', 1)) = 5"
+SOURCES = "SELECT l_suppkey AS source, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 60 AND l_quantity < 10"
+
+
+@query(f"""WITH g AS ({GROUPS}), p AS ({PRINTED_NAMES}) SELECT label, count(*) AS names, count(p.name) AS used, CAST(coalesce(sum(values), 0) AS BIGINT) AS values
+  FROM g LEFT JOIN p ON g.name = p.name GROUP BY 1""")
+def group_uses(spark, sf_dir):
+    return views.group_uses(bound(spark, sf_dir, GROUPS, "part"), bound(spark, sf_dir, PRINTED_NAMES, "lineitem", "part"))
+
+
+@query(f"WITH g AS ({GROUPS}), p AS ({PRINTED_NAMES}) SELECT name, values FROM p WHERE name NOT IN (SELECT name FROM g)")
+def names_without_group(spark, sf_dir):
+    return views.names_without_group(bound(spark, sf_dir, GROUPS, "part"), bound(spark, sf_dir, PRINTED_NAMES, "lineitem", "part"))
+
+
+@query(f"""WITH g AS ({GROUPS}), v AS ({VERDICTS}), d AS (SELECT label, count(*) AS names, string_agg(name, '+' ORDER BY name) AS all_names FROM g GROUP BY 1),
+  w AS (SELECT label, string_agg(DISTINCT name, '+' ORDER BY name) AS all_names FROM v GROUP BY 1)
+  SELECT d.label, d.names FROM d LEFT JOIN w ON d.label = w.label WHERE d.names > 1 AND d.all_names IS DISTINCT FROM w.all_names""")
+def groups_to_reread(spark, sf_dir):
+    return views.groups_to_reread(bound(spark, sf_dir, GROUPS, "part"), views.digests(bound(spark, sf_dir, VERDICTS, "part")))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT p_brand AS label, p_name AS name FROM part WHERE p_size < 3), s AS ({SOURCES}), b AS (SELECT label, count(DISTINCT source) AS sources FROM g LEFT JOIN s ON g.name = s.name GROUP BY 1)
+  SELECT label, CASE WHEN sources = 0 THEN 'left' WHEN sources = 1 THEN 'settled' ELSE 'proposed' END AS fate, sources FROM b""")
+def carried_joins(spark, sf_dir):
+    groups = table(spark, sf_dir, "part").where("p_size < 3").select(F.col("p_brand").alias("label"), F.col("p_name").alias("name"))
+    return views.carried_joins(groups, bound(spark, sf_dir, SOURCES, "lineitem", "part"))
+
+
+PAGES = "SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page FROM lineitem"
+CLASSIFIED = "SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page FROM lineitem WHERE l_tax < 0.06"
+READ = f"docs AS ({DOCUMENTS}), p AS ({PAGES}), c AS ({CLASSIFIED}), r AS (SELECT document_id FROM docs WHERE transcribed)"
+
+
+def _pages(spark, sf_dir):
+    return bound(spark, sf_dir, PAGES, "lineitem"), bound(spark, sf_dir, CLASSIFIED, "lineitem"), archive(spark, sf_dir).documents.where("transcribed")
+
+
+@query(f"""WITH {READ} SELECT document_id, page FROM p WHERE (document_id, page) NOT IN (SELECT (document_id, page) FROM c) OR document_id NOT IN (SELECT document_id FROM r)""")
+def left_to_send(spark, sf_dir):
+    return views.left_to_send(*_pages(spark, sf_dir))
+
+
+@query(f"""WITH {READ} SELECT page, count(*) AS wanted, count(c.page) AS done, CAST(100 * count(c.page) // count(*) AS INTEGER) AS percent
+  FROM p LEFT JOIN c USING (document_id, page) GROUP BY page""")
+def percent_done(spark, sf_dir):
+    pages, classified, _ = _pages(spark, sf_dir)
+    return views.percent_done(pages, classified, ["document_id", "page"], "page")
+
+
+@query(f"""WITH {READ} SELECT 'files' AS grain, count(*) AS "left" FROM docs WHERE document_id NOT IN (SELECT document_id FROM p)
+  UNION ALL SELECT 'pages', count(*) FROM p WHERE (document_id, page) NOT IN (SELECT (document_id, page) FROM c)
+  UNION ALL SELECT 'documents', count(*) FROM docs WHERE document_id NOT IN (SELECT document_id FROM r)""")
+def left_uncovered(spark, sf_dir):
+    pages, classified, read = _pages(spark, sf_dir)
+    documents = archive(spark, sf_dir).documents.select("document_id", F.col("document_id").alias("file"))
+    named = [x.withColumnRenamed("document_id", "file") for x in (pages, classified)]
+    return reading.coverage(documents, named[0], documents, named[1], read)
+
+
+FILES = """SELECT coalesce(lang, 'other') AS category, n_chars AS size, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS parts,
+  CASE WHEN text IS NULL OR text = '' THEN 'nothing in it' END AS error, CASE WHEN doc_id % 11 = 0 THEN 'system file' END AS skipped FROM documents"""
+
+
+@query(f"""WITH f AS ({FILES}) SELECT category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(coalesce(sum(parts), 0) AS BIGINT) AS parts,
+  count(error) AS errors, count(skipped) AS skipped FROM f GROUP BY 1""")
+def inventory_summary(spark, sf_dir):
+    return reading.inventory_summary(bound(spark, sf_dir, FILES, "documents"))
+
+
+LINES = """SELECT l_orderkey AS file, l_linenumber AS page, CAST(l_quantity AS BIGINT) AS lines,
+  CAST(l_quantity AS BIGINT) * CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_tax < 0.06 THEN 0 WHEN l_linestatus = 'F' THEN 1 ELSE 3 END AS unreadable FROM lineitem"""
+
+
+@query(f"""WITH l AS ({LINES}), m AS (SELECT file, avg(lines / (lines + unreadable)) AS share FROM l GROUP BY 1)
+  SELECT file, CAST(CASE WHEN share = 1 THEN 100 ELSE least(floor(share * 100), 99) END AS INTEGER) AS percent FROM m""")
+def file_reading(spark, sf_dir):
+    return reading.file_reading(bound(spark, sf_dir, LINES, "lineitem"))
+
+
+RUNS = """SELECT l_suppkey % 20 AS run, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS text_pages, count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS image_pages,
+  CAST(15 * count(CASE WHEN l_returnflag = 'N' THEN 1 END) + 127 * count(CASE WHEN l_returnflag <> 'N' THEN 1 END) + l_suppkey % 20 AS BIGINT) AS seconds FROM lineitem GROUP BY l_suppkey % 20"""
+
+
+@query(f"""WITH r AS ({RUNS}), s AS (SELECT CAST(sum(text_pages * text_pages) AS DOUBLE) AS xx, CAST(sum(text_pages * image_pages) AS DOUBLE) AS xy, CAST(sum(image_pages * image_pages) AS DOUBLE) AS yy,
+    CAST(sum(text_pages * seconds) AS DOUBLE) AS xs, CAST(sum(image_pages * seconds) AS DOUBLE) AS ys FROM r)
+  SELECT round((xs * yy - ys * xy) / (xx * yy - xy * xy), 6) AS text_price, round((ys * xx - xs * xy) / (xx * yy - xy * xy), 6) AS image_price FROM s""")
+def reading_prices(spark, sf_dir):
+    out = reading.reading_prices(bound(spark, sf_dir, RUNS, "lineitem"))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(f"""{WITH}, a AS (SELECT doc_type AS fact, provider AS answer, document_id, date FROM docs WHERE doc_type IS NOT NULL AND provider <> ''
+    QUALIFY row_number() OVER (PARTITION BY doc_type, provider ORDER BY date DESC NULLS LAST, document_id) = 1)
+  SELECT fact, answer, document_id, date, count(*) OVER (PARTITION BY fact) AS answers FROM a
+  QUALIFY row_number() OVER (PARTITION BY fact ORDER BY date DESC NULLS LAST, document_id, answer) <= 8""")
+def newest_answers(spark, sf_dir):
+    d = archive(spark, sf_dir).documents.where("doc_type IS NOT NULL AND provider <> ''")
+    rows = d.select(F.col("doc_type").alias("fact"), F.col("provider").alias("answer"), "document_id", "date")
+    return people.facts(rows).select("fact", "answer", "document_id", "date", "answers")
+
+
+@query(f"""{WITH}, n AS (SELECT title, document_id FROM docs QUALIFY row_number() OVER (PARTITION BY title ORDER BY date DESC NULLS LAST, document_id) = 1)
+  SELECT d.title AS text, count(*) AS times, min(date) AS first_date, max(date) AS last_date, any_value(n.document_id) AS newest_document
+  FROM docs d JOIN n ON d.title IS NOT DISTINCT FROM n.title GROUP BY 1""")
+def roll_of_titles(spark, sf_dir):
+    return people.roll(archive(spark, sf_dir).documents, "title")
+
+
+MIXED_UP = f"SELECT document_id, CASE WHEN document_id % 4 = 0 THEN coalesce(doctor, provider) ELSE provider END AS provider, CASE WHEN document_id % 8 <> 0 THEN doctor END AS doctor FROM ({DOCUMENTS}) AS d"
+
+
+@query(f"""WITH m AS ({MIXED_UP}) SELECT document_id, CASE WHEN provider LIKE 'Dr %' THEN NULL ELSE provider END AS provider,
+  CASE WHEN provider LIKE 'Dr %' THEN coalesce(doctor, provider) ELSE doctor END AS doctor, CASE WHEN provider LIKE 'Dr %' THEN provider END AS institution_was FROM m""")
+def institutions_moved(spark, sf_dir):
+    return people.institution_and_doctor(bound(spark, sf_dir, MIXED_UP, "orders"))
+
+
+SPELLINGS = "SELECT p_name AS name FROM part UNION SELECT concat(p_name, ' ', lower(p_type)) AS name FROM part"
+
+
+@query(f"""WITH n AS (SELECT name, string_split(name, ' ') AS w FROM ({SPELLINGS}) t)
+  SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name <> y.name AND len(x.w) < len(y.w) AND list_has_all(y.w, x.w)""")
+def joinable_names(spark, sf_dir):
+    return people.worth_joining(bound(spark, sf_dir, SPELLINGS, "part"))
+
+
+_ORDER = {r: n + 1 for n, r in enumerate(rules.REGISTRY)}
+
+
+@query(f"""WITH v AS ({PRINTED}), f AS (SELECT DISTINCT document_id, {_ORDER['comparator_missing']} AS o, 'comparator_missing' AS rule FROM v WHERE (value LIKE '<%') <> (comparator IS NOT NULL)
+    UNION SELECT document_id, {_ORDER['reference_reversed']}, 'reference_reversed' FROM v WHERE reference = '40-10'
+    UNION SELECT document_id, {_ORDER['range_read_two_ways']}, 'range_read_two_ways' FROM v WHERE reference = '10-40 g/l' AND reference_low = 11)
+  SELECT document_id, string_agg(rule, ',' ORDER BY o) AS codes, CAST(min(o) AS BIGINT) AS best FROM f GROUP BY 1""")
+def documents_to_check(spark, sf_dir):
+    found = rules.run(_printed(spark, sf_dir), only=["comparator_missing", "reference_reversed", "range_read_two_ways"])
+    return rules.to_check(found).select("document_id", F.array_join("codes", ",").alias("codes"), F.col("best").cast("long").alias("best"))
+
+
 # ---------------------------------------------------------------- streams, run to their end
 
 
