@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_or_empty
+from .common import mixed, slices, staged, text_or_empty, utf8, word_bounds, word_hashes
 from .components import smallest_reachable
 
 SEED = 42
@@ -196,16 +196,162 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 2) -> DataFrame:
-    """docs without near copies: one row of each component of near_dedup, all columns.
+def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted, different hashes of its shingles of `width` words; of a shorter text, of all its words."""
+    data, at = utf8(texts)
+    data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+    starts, ends, first = word_bounds(data, at)
+    words = word_hashes(data, starts, ends)
+    grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
+        grams = mixed(grams + words[k : k + len(grams)])
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= width:
+            yield np.unique(grams[a : b - width + 1])
+        else:
+            whole = np.zeros(min(1, b - a), np.uint64)
+            for word in words[a:b]:
+                whole = mixed(whole + word)
+            yield whole
 
-    The row with the smallest id stays (a null id is larger than any); of rows that repeat it, the
-    one with the least hash of the text, and of equal rows one.
+
+def _mark(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _common(texts: DataFrame, width: int, share: float = 0.125, least: int = 4, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles frequent in a sample, sorted, and how often they occur in it.  They come last in the
+    order of shingles; any order gives the same links, so sample and limits decide the work alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0), width)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["gram"])
+
+    drawn = texts.where(F.pmod(F.xxhash64("id", "tie"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    counts = drawn.mapInArrow(work, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    table = counts.orderBy(F.desc("n"), "gram").limit(most).toArrow()
+    grams, often = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], often[order]
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, sig, size) sorted by gram and sig -> the different rows of grams that several sigs have, and n, how many."""
+    kept = np.zeros((0, 3), np.int64)
+
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])[: len(rows)]]
+        cut = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])[: len(rows)])
+        size = np.diff(np.append(cut, len(rows)))
+        n = np.repeat(size, size)
+        on = n > 1
+        columns = [pa.array(rows[on, 0]), pa.array(rows[on, 1]), pa.array(rows[on, 2].astype(np.int32)), pa.array(n[on])]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "sig", "size", "n"])
+
+    for batch in batches:
+        rows = np.concatenate([kept, np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(3)], axis=1)])
+        if len(rows):
+            # The last gram may go on in the next batch.
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield told(rows[:cut])
+            kept = rows[cut:]
+    yield told(kept)
+
+
+#: Grams of so many sets or more are first compared with one of them.
+CROWD = 24
+
+
+def similar_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, crowd: int = CROWD
+) -> tuple[DataFrame, DataFrame]:
+    """rows (id, tie, sig), one per input row, sig being a hash of the shingle set, and links (a, b)
+    between sigs: they connect exactly what all pairs of Jaccard similarity >= `similarity` connect.
+
+    Lossless prefix filter: in any one order of all shingles, two sets that similar share k shingles
+    among the first n - ceil(similarity * n) + k of each, for the smaller k of the two; here k is
+    1 + n // 20.  Sets that do are compared whole.  First the sets of crowded shingles with one
+    each, so that a large group of copies is linked at a cost of its size; then every pair that is
+    still apart, so that nothing is left out.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+    common, often = _common(texts, width)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = list(shingle_sets(batch.column(1), width))
+            firsts = []
+            for x in sets:
+                rank = np.zeros(len(x), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    rank = np.where(common[at] == x, often[at], 0)
+                size = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 + len(x) // 20 if len(x) else 0
+                firsts.append(x[np.argsort(rank, kind="stable")[:size]])
+            sigs = np.array([_mark(x) for x in sets], np.uint64).view(np.int64)
+            sizes = pa.array(np.array([len(x) for x in sets], np.int32))
+            columns = [batch.column(0), batch.column(2), pa.array(sigs), sizes, _lists(firsts)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "sig", "size", "first"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = list(shingle_sets(batch.column(0), width))
+            sigs = np.array([_mark(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), _lists(sets)], ["sig", "grams"])
+
+    rows = staged(texts.mapInArrow(heads, "id long, tie long, sig long, size int, first array<long>"), "similar-rows")
+    dealt = rows.select(F.explode("first").alias("gram"), "sig", "size").repartition("gram").sortWithinPartitions("gram", "sig")
+    met = staged(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), "similar-met")
+
+    def verified(x: DataFrame, y: DataFrame, on: Column, part: float) -> DataFrame:
+        """Similar pairs among those that share `part` of the shingles that similar ones must."""
+        small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+        apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & on & (small >= similarity * large - 1e-6)
+        a, b = F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")
+        pairs = x.alias("x").join(y.alias("y"), apart).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.min(small).alias("small"))
+        pairs = staged(pairs.where(F.col("n") >= part * (1 + F.floor(F.col("small") / 20))).select("a", "b"), "similar-pairs")
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        ties = rows.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min("tie").alias("tie"))
+        sets = texts.select("text", "tie").join(staged(ties.select("tie"), "similar-ties"), "tie", "left_semi").dropDuplicates(["tie"]).select("text")
+        sets = staged(sets.mapInArrow(whole, "sig long, grams array<long>").dropDuplicates(["sig"]), "similar-sets")
+        full = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("grams_a")), "a")
+        full = full.join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("grams_b")), "b")
+        same = F.size(F.array_intersect("grams_a", "grams_b"))
+        return staged(full.where(same / (F.size("grams_a") + F.size("grams_b") - same) >= similarity).select("a", "b"), "similar-links")
+
+    crowded = met.where(F.col("n") >= crowd).withColumn("part", F.col("sig"))
+    hubs = crowded.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig").alias("draw"), "sig", "size", "part")).alias("hub"))
+    links = verified(crowded, hubs.select("gram", "hub.sig", "hub.size", "hub.part"), F.lit(True), 0.5)
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    label = smallest_reachable(ends.select("node", F.col("node").alias("label")), links)
+    label = label.select(F.col("node").alias("sig"), F.col("label").alias("part"))
+    apart = staged(met.join(label, "sig", "left").withColumn("part", F.coalesce("part", "sig")), "similar-apart")
+    several = apart.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    apart = apart.join(several.select("gram"), "gram", "left_semi")
+    return rows.select("id", "tie", "sig"), links.union(verified(apart, apart, F.col("x.sig") < F.col("y.sig"), 1.0))
+
+
+def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """docs without near copies: one row of each component of similar_links, all columns.
+
+    Texts without a word are copies of each other.  The row with the smallest id stays (a null id is
+    larger than any); of rows that repeat it, the one with the least hash of the text, and of equal
+    rows one.
     """
+    rows, links = similar_links(docs, id_col, text_col, similarity, width)
+    nodes = rows.select(F.col("sig").alias("node"), F.col("sig").alias("label")).distinct()
+    label = smallest_reachable(nodes, links).select(F.col("node").alias("sig"), "label")
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("key"), "tie")
-    winners = _components(docs, id_col, text_col, near).withColumn("label", F.coalesce("component_id", F.lit(-1)))
-    winners = winners.groupBy("label", F.col("component_id").isNull().alias("unnamed")).agg(F.min(rank).alias("one"))
-    winners = staged(winners.select("one.none", "one.key", F.col("one.tie").alias("hash")), "simhash-winners")
+    least = rows.groupBy("sig").agg(F.min(rank).alias("one"))
+    winners = least.join(label, "sig").groupBy("label").agg(F.min("one").alias("one"))
+    winners = staged(winners.select("one.none", "one.key", F.col("one.tie").alias("hash")), "similar-winners")
     own = docs.withColumns(
         {
             "none": F.col(id_col).isNull(),
