@@ -16,14 +16,15 @@ from folioscope.llm.mixing import mixed_documents
 from folioscope.llm.sharding import shard_documents
 from folioscope.llm.simhash import near_unique
 
-#: Texts with less than this share of their letters in one language are rejected.
+#: Texts with less than this share of their letters in scripts of learned languages are rejected.
 LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts without a main language; `lang` becomes what was found."""
+    """Rejects texts without a letter and texts that no learned language explains, however many languages
+    a text mixes; `lang` becomes the one with most letters."""
     carry = {name: f"_{k}" for k, name in enumerate(docs.columns)}
-    found = identify_languages(docs, carry=carry).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    found = identify_languages(docs, carry=carry, known="_known").where((F.col("lang_pred") != "und") & (F.col("_known") >= LEAST_SHARE))
     return found.select(*[F.col("lang_pred" if old == "lang" else new).alias(old) for old, new in carry.items()])
 
 

@@ -231,6 +231,7 @@ def identify_languages(
     train_rows: int = 20_000,
     penalty: float = 24.0,
     carry: dict[str, str] | None = None,
+    known: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, spans, and columns of docs named in
     `carry`, as it renames them.
@@ -239,7 +240,8 @@ def identify_languages(
     (first, upto, lang), whole texts; lang_pred has most letters, score is its share of them; ties
     go to the language that sorts first.  Null texts and texts without a letter are `und` with score
     0 and no spans, and so is every text if nothing could be learned.  A null id is never held out
-    and never learned from.  Repeated rows get equal results.
+    and never learned from.  Repeated rows get equal results.  `known` names one more column: the
+    share of letters in a script that some learned language uses.
     """
     model = learn(docs, id_col, text_col, lang_col, train_rows)
     rows = docs.select(
@@ -253,17 +255,18 @@ def identify_languages(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield _label(batch, shared.value, penalty)
+            yield _label(batch, shared.value, penalty, known)
 
     fields = f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, spans array<struct<first:int,upto:int,lang:string>>"
+    fields += f", {known} double" if known else ""
     return rows.mapInArrow(work, with_carried(fields, docs, carry))
 
 
-def _label(batch: pa.RecordBatch, model: Model, penalty: float) -> pa.RecordBatch:
+def _label(batch: pa.RecordBatch, model: Model, penalty: float, known: str | None = None) -> pa.RecordBatch:
     n = batch.num_rows
     lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
     names = np.array([*model.langs, "und"], object)
-    pick, share = np.full(n, len(model.langs)), np.zeros(n)
+    pick, share, explained = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n)
     spans: list[list[dict]] = [[] for _ in range(n)]
     if model.langs:
         w = words_of(batch.column(3))
@@ -274,6 +277,9 @@ def _label(batch: pa.RecordBatch, model: Model, penalty: float) -> pa.RecordBatc
         letters = letters.reshape(n, -1)
         pick = np.where(lettered, letters.argmax(axis=1), pick)
         share = np.where(lettered, letters.max(axis=1) / np.maximum(letters.sum(axis=1), 1e-12), 0.0)
+        # Words without a letter have script -1 and count nothing.
+        used = np.bincount(text, w.letters * model.able.any(axis=1)[w.script], n)
+        explained = used / np.maximum(np.bincount(text, w.letters, n), 1)
         if len(path):
             begins = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (text[1:] != text[:-1])]))
             for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(path)]):
@@ -287,7 +293,8 @@ def _label(batch: pa.RecordBatch, model: Model, penalty: float) -> pa.RecordBatc
             pa.array(names[pick].tolist(), pa.string()),
             pa.array(np.clip(share, 0.0, 1.0)),
             pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("upto", pa.int32()), ("lang", pa.string())]))),
+            *([pa.array(explained)] if known else []),
             *batch.columns[4:],
         ],
-        [batch.schema.field(0).name, "held_out", "lang_pred", "score", "spans", *batch.schema.names[4:]],
+        [batch.schema.field(0).name, "held_out", "lang_pred", "score", "spans", *([known] if known else []), *batch.schema.names[4:]],
     )
