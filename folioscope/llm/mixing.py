@@ -112,6 +112,13 @@ def slot_plan(sources: DataFrame, block: int = 128, shard_slots: int = 1 << 14,
     short = known.join(F.broadcast(sums), "which", "left").withColumn("sum", F.coalesce("sum", F.lit(0))).where("sum < slots")
     short = short.select("which", F.lit(shards).cast("long").alias("shard"), (F.col("slots") - F.col("sum")).alias("drawn"), F.col("sum").alias("begin"))
     runs = runs.unionByName(short).join(F.broadcast(known), "which").withColumn("end", F.least(F.col("begin") + F.col("drawn"), "slots")).where("begin < end")
+    # The last pass: positions first .. last of this shard among `most`, and its share of the blocks.
+    start = F.col("passes") * F.col("blocks")
+    most = F.least(F.col("filled"), F.col("slots") - start)
+    first, last = F.least(F.greatest(F.col("begin") - start, F.lit(0)), most), F.least(F.col("end") - start, most)
+    wide = lambda c: c.cast("decimal(19,0)")
+    share = lambda c: F.call_function("div", wide(c) * wide(F.col("filled")), wide(F.greatest(most, F.lit(1)))).cast("long")
+    runs = runs.withColumns({"first": first, "low": share(first), "high": share(last)})
     # A run of a small mix may be long, and runs are few: cut them before they are exploded.
     runs = runs.withColumn("from", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(4096).cast("long"))))
     runs = runs.repartition(tasks, "which", "from")
@@ -119,13 +126,7 @@ def slot_plan(sources: DataFrame, block: int = 128, shard_slots: int = 1 << 14,
 
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     turn, at = F.floor(F.col("j") / F.col("blocks")), F.col("j") % F.col("blocks")
-    # The last pass: positions first .. end of this shard among `most`, and its share of the blocks.
-    start = F.col("passes") * F.col("blocks")
-    most = F.least(F.col("filled"), F.col("slots") - start)
-    first, last = F.least(F.greatest(F.col("begin") - start, F.lit(0)), most), F.least(F.col("end") - start, most)
-    wide = lambda c: c.cast("decimal(19,0)")
-    share = lambda c: F.call_function("div", wide(c) * wide(F.col("filled")), wide(F.greatest(most, F.lit(1)))).cast("long")
-    slots = slots.withColumns({"turn": turn, "at": at, "first": first, "low": share(first), "high": share(last)})
+    slots = slots.withColumns({"turn": turn, "at": at})
     among = permuted(F.col("at") - F.col("first"), F.col("high") - F.col("low"), F.lit("share"), F.lit(seed), source, F.col("shard"))
     slots = slots.withColumn(
         "within", F.when(F.col("turn") < F.col("passes"), F.col("at")).when(F.col("at") < F.col("filled"), F.col("low") + among).otherwise(F.lit(-1))
