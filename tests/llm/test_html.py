@@ -79,3 +79,79 @@ def test_generated_pages(spark):
         article = re.search(r"<article>(.*)</article>", html[r.page_id], re.S)[1]
         want = [" ".join(unescape(re.sub(r"</?b>|<br>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>", article)]
         assert r.text.split("\n") == [x for x in want if x]
+
+
+BOATS = ["Boats", "A boat is a vessel that floats on water.", "Most boats are small, and many are made of wood.", "Some people live on them all year round."]
+
+
+def plain(start, end):
+    h1, *ps = BOATS
+    return f"<html><body>{start}<h1>{h1}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"{end}</body></html>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        plain("", ""),
+        plain('<div id="page">', "</div>"),
+        plain("<div><a href=1>Home</a> <a href=2>News</a> <a href=3>About us</a></div><div>", "</div><div>&copy; 2024 The boat people</div>"),
+        plain("<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td>", "</td></tr></table>"),
+        plain("<div>" * 100_000, ""),
+        plain("<ul><li><a href=1>Home</a><li><a href=2>Prices</a></ul>", "<p>Copyright 2024 by nobody. All rights reserved.</p>"),
+    ],
+)
+def test_pages_without_semantic_tags(page):
+    assert main_text(page).split("\n") == BOATS
+
+
+def test_lines_of_a_table_without_paragraphs():
+    page = "<table><tr><td>" + "</td></tr><tr><td>".join(BOATS[1:]) + "</td></tr></table>"
+    assert main_text(page).split("\n") == BOATS[1:]
+
+
+def test_inline_elements_do_not_part_a_paragraph():
+    page = "<article><p>The law <math><mi>E</mi> = <mi>mc</mi></math> is shown in <svg><text>figure 1</text></svg>, press <button>here</button> for<script>x()</script> more<select><option>No</select>.</p></article>"
+    assert main_text(page) == "The law E = mc is shown in figure 1, press here for more."
+
+
+def test_a_name_alone_does_not_cost_a_paragraph():
+    page = '<article><p>One sentence of the story is this.</p><p class="comment">His comment on it was not kind at all.</p><p class="story-notice">The notice hung on the old door.</p><p class="ad">Buy it now.</p></article>'
+    assert main_text(page).split("\n") == ["One sentence of the story is this.", "His comment on it was not kind at all.", "The notice hung on the old door."]
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    page = "<div>x " * 100_000 + "</span></b></li>" * 1000
+    began = time.time()
+    main_text(page)
+    main_text("<ul><li>" + "<div>" * 100_000 + "<td>a</td></nav>" * 20_000)
+    assert time.time() - began < 30
+
+
+def test_the_classifier_learns_from_semantic_pages(spark):
+    """Held out: pages of another make, without semantic elements, whose content is in spans of a kind that the prior disbelieves."""
+    from folioscope.llm.html_text import PRIOR, blocks_of, labels, learn, traits
+
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(rng.choice(["sea", "ship", "wind", "rope", "sail"], n))
+
+    def page(semantic):
+        start, end = ("<article>", "</article>") if semantic else ("<div>", "</div>")
+        nav, close = ("<nav>", "</nav>") if semantic else ("<div>", "</div>")
+        lines = "".join(f"<li>{words(int(rng.integers(2, 6)))}</li>" for _ in range(6))
+        return f"<body>{nav}<p>{words(3)}.</p><p>{words(4)}.</p>{close}{start}<ol>{lines}</ol>{end}</body>"
+
+    frame = spark.createDataFrame([(i, page(True)) for i in range(200)], "page_id long, html string")
+    weight = learn(frame, "page_id", "html")
+    right = {False: 0, True: 0}
+    for _ in range(50):
+        blocks = blocks_of(page(False))
+        truth = np.array([b.node.name == "li" for b in blocks])
+        for which, w in ((False, np.array(PRIOR)), (True, weight)):
+            right[which] += int(((traits(blocks) @ w > 0) == truth).sum())
+    assert right[True] == 50 * 8 > right[False]
+    assert labels(blocks_of(page(False))).tolist() == [-1] * 8
+    # Without labelled blocks the prior holds.
+    none = spark.createDataFrame([(1, page(False))], "page_id long, html string")
+    assert np.allclose(learn(none, "page_id", "html"), PRIOR)
