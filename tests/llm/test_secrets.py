@@ -67,3 +67,36 @@ def test_repeated_and_null_ids_and_empty(spark):
     got = scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.n_assign, r.spans) for r in got] == [(1, "assign:0:12")] * 3
     assert scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_text_of_very_many_spans(spark):
+    import time
+
+    text = " ".join(f"{i:024x} Own{i:08d}Zx{i:08d}" for i in range(20_000)) + " token=abcdef1234567890abcdefXY"
+    run(spark, ["warm"])
+    began = time.time()
+    got = run(spark, [text])[0]
+    assert time.time() - began < 20
+    assert got.base_sha256 == hashlib.sha256(plain(text).encode()).hexdigest() and (got.n_hex, got.n_bare) == (20_000, 20_000)
+
+
+def test_bare_spans_meet_no_base_span(spark):
+    """Against every pair of spans."""
+    import random
+
+    draw = random.Random(3)
+    parts = [HEX, "Abc1" * 6, "token=", " ", "g", "=", "/", "AKIA" + "Q7" * 9, '"', "zz9" * 7]
+    texts = ["".join(draw.choice(parts) for _ in range(30)) for _ in range(60)]
+    got = run(spark, texts, most_owners=100)
+    for i, text in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in plain(text).split(",") if s]
+        bare = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        want = [s for s in bare if not any(a < s[1] and s[0] < b for a, b in base)]
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("bare")] == want
+
+
+def test_copies_of_a_text_are_one_repository(spark):
+    texts = ["see " + "Zx9" * 8] * 150
+    rows = [(i, t, None, "one", None, 1, "b", "v") for i, t in enumerate(texts)]
+    got = scan_secrets(spark.createDataFrame(rows, SCHEMA), most_repos=1).collect()
+    assert all(r.n_bare == 1 and r.n_live == 1 for r in got)
