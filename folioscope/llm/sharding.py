@@ -41,24 +41,41 @@ def jump_column(key: Column, shards: int) -> Column:
     return shard_of(F.coalesce(key, F.lit(0)).cast("long"))
 
 
-def numbered(rows: DataFrame, group: str, key: str, bucket_rows: int = 20_000) -> DataFrame:
-    """rows with `slot`: 0, 1, 2 ... in each group without a gap, in order of a hash of key, then key.
+def key_of(docs: DataFrame, id_col: str) -> Column:
+    """What decides the shard of an id: whole numbers themselves, of other types a 64-bit hash; null is null."""
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
 
-    No task sorts a whole group: a group is cut into buckets by a hash of key, about `bucket_rows`
-    rows each; counts by bucket, far fewer rows, give where each bucket begins.
+
+def numbered(rows: DataFrame, group: str, bucket_rows: int = 20_000, run: int = 4_096) -> DataFrame:
+    """rows with `slot`: 0, 1, 2 ... in each group without a gap, in order of a hash of all columns.
+
+    No task sorts a whole group: a group is cut into buckets by the hash, about `bucket_rows` rows
+    each; counts by bucket, far fewer rows, give where each bucket begins.  Equal rows are counted
+    first and dealt out at the end, in runs of `run`, so a row that is there very often fills no
+    bucket.  The columns are of types that can be grouped.
     """
-    buckets = max(1, -(-rows.count() // bucket_rows))
-    cut = rows.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(buckets)))
-    counts = cut.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(F.col(key).asc_nulls_last())
-    placed = cut.withColumn("_rank", F.row_number().over(inside))
-    return (
-        placed.join(begins, [group, "_bucket"])
-        .withColumn("slot", (F.col("_begin") + F.col("_rank") - 1).cast("long"))
-        .drop("_bucket", "_begin", "_rank")
-    )
+    names = rows.columns
+    keys = [f"k{k}" for k in range(len(names))]
+    own = rows.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(names, keys)])
+    key = keys[names.index(group)]
+    kinds = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).withColumn("hash", F.xxhash64(*keys, F.lit(7)))
+    kinds = staged(kinds, "numbered-kinds")
+    buckets = max(1, -(-kinds.count() // bucket_rows))
+    cut = kinds.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    counts = cut.groupBy(key, "bucket").agg(F.sum("copies").alias("n"))
+    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.withColumnsRenamed({key: "g", "bucket": "b"}).select("g", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy(key, "bucket").orderBy("hash", *keys)
+    placed = cut.withColumn("ahead", F.coalesce(F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.join(begins, F.col(key).eqNullSafe(F.col("g")) & (F.col("bucket") == F.col("b")))
+    placed = placed.withColumn("first", F.col("begin") + F.col("ahead"))
+    step = F.lit(run).cast("long")
+    placed = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, step)))
+    if kinds.where(F.col("copies") > run).limit(1).count():
+        placed = placed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "first", "from")
+    placed = placed.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + step, "copies") - 1)))
+    return placed.select(*[F.col(new).alias(old) for old, new in zip(names, keys)], (F.col("first") + F.col("copy")).cast("long").alias("slot"))
 
 
 def shard_documents(
@@ -67,31 +84,39 @@ def shard_documents(
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `key`: the id and the number of shards decide, nothing else, so equal ids (and null
-    ids among themselves, as id 0) share a shard.  size is the text's UTF-8 bytes plus 8; null text
-    has size 8 and checksum 0, as the empty text.  slot numbers the rows of a shard from 0 without
-    a gap; rows of one id come together, in any order.  grown_shard is the shard if there were one
-    more: the same, or the new one.
+    ids among themselves, as id 0) share a shard.  Ids may be of any type that Spark can hash.
+    size is the text's UTF-8 bytes plus 8; null text has size 8 and checksum 0, as the empty text.
+    slot numbers the rows of a shard from 0 without a gap; the same rows give the same slots.
+    grown_shard is the shard if there were one more: the same, or the new one.
     """
     raw = text_or_empty(text_col).cast("binary")
     rows = docs.select(
         F.col(id_col).alias("id"),
+        key_of(docs, id_col).alias("key"),
         (F.length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
     )
     rows = rows.select(
-        "*",
+        "id",
+        "size",
+        "text_crc32",
         F.lit("key").alias("law"),
-        jump_column(F.col("id"), shards).alias("shard"),
-        jump_column(F.col("id"), shards + 1).alias("grown_shard"),
+        jump_column(F.col("key"), shards).alias("shard"),
+        jump_column(F.col("key"), shards + 1).alias("grown_shard"),
     )
-    rows = numbered(staged(rows, "shard-rows"), "shard", "id")
+    rows = numbered(rows, "shard")
     return rows.select(
         F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", pieces: int = 16) -> None:
-    """Write docs as path/shard=K/, whole rows; each shard is written by up to `pieces` tasks."""
-    piece = F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(pieces))
-    out = docs.withColumn("shard", jump_column(F.col(id_col), shards))
-    out.repartition("shard", piece).write.partitionBy("shard").parquet(path)
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", pieces: int = 16, shard_col: str = "shard"
+) -> None:
+    """Write docs as path/<shard_col>=K/, whole rows; each shard is written by up to `pieces` tasks, whatever
+    ids repeat.  A column of docs that is called shard_col is an error: name another."""
+    if shard_col in docs.columns:
+        raise ValueError(f"docs have a column {shard_col}; name another with shard_col")
+    shard = jump_column(key_of(docs, id_col), shards)
+    piece = F.pmod(F.xxhash64(id_col, text_col, F.lit(3)), F.lit(pieces))
+    docs.withColumn(shard_col, shard).repartition(F.col(shard_col), piece).write.partitionBy(shard_col).parquet(path)

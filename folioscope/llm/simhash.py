@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         return 0
     n = max(1, len(words) - width + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return votes(np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -42,8 +38,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)], ["id", "fp", "tie"])
 
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    return rows.mapInArrow(work, "id long, fp long, tie long")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, fp long, tie long")
+
+
+#: References of the key and of the discarding, the same in every task.
+KEY_REFS, PIVOTS = 10, 16
 
 
 def pivots(count: int, seed: int = 7) -> np.ndarray:
@@ -51,36 +51,43 @@ def pivots(count: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, count, np.uint64)
 
 
-def pivot_table(marks: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint to each reference, as small integers."""
-    return np.bitwise_count(marks[:, None] ^ refs[None, :]).astype(np.int16)
+def pivot_table(marks: np.ndarray, refs: np.ndarray, part: np.uint64 | None = None) -> np.ndarray:
+    """Hamming distances of each fingerprint to each reference, in all bits or those of `part`."""
+    apart = marks[:, None] ^ refs[None, :]
+    return np.bitwise_count(apart if part is None else apart & part).astype(np.int16)
 
 
-#: Sixteen-bit quarters of a fingerprint, two at a time: of four quarters, two bits spoil two at most.
-QUARTERS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+def parts_of(free: int, near: int) -> list[tuple[int, int]]:
+    """The bits of the mask `free` in near + 2 parts, two at a time, as pairs of masks: `near` bits
+    spoil at most `near` parts, so two fingerprints that near agree on both masks of some pair."""
+    places = [b for b in range(64) if free >> b & 1]
+    masks = [sum(1 << b for b in chunk.tolist()) for chunk in np.array_split(np.array(places, int), near + 2)]
+    return [(x, y) for k, x in enumerate(masks) for y in masks[k + 1 :]]
 
 
-def _bands(batches: Iterator[pa.RecordBatch], near: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each fingerprint and pair of quarters: a row for the band of its distance to the first
-    pivot, and a guest row for the next band if a partner with a larger distance can be there."""
-    width = near + 1
-    masks = np.array([(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a, b in QUARTERS], np.uint64)
-    for batch in batches:
-        marks = batch.column(0).to_numpy().view(np.uint64)
-        far = pivot_table(marks, refs[:1])[:, 0].astype(np.int64)
-        for k, mask in enumerate(masks):
-            for guest in (False, True):
-                on = ((far + near) // width > far // width) if guest else np.ones(len(marks), bool)
-                rows = marks[on]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((rows & mask).view(np.int64)),
-                        pa.array((far[on] // width + guest + 64 * k).astype(np.int32)),
-                        pa.array(np.full(len(rows), guest)),
-                        pa.array(rows.view(np.int64)),
-                    ],
-                    ["quarters", "band", "guest", "fp"],
-                )
+def _deal(near: int):
+    """(band, used, fp) -> a row for each pair of parts of the bits not yet used: a new band, which the old
+    one and the distances of the two parts to KEY_REFS references decide, and the bits used now."""
+    refs = pivots(KEY_REFS, seed=11)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, used, marks = (batch.column(k).to_numpy().view(np.uint64) for k in range(3))
+            for mask in np.unique(used):
+                on = used == mask
+                codes: dict[int, np.ndarray] = {}
+                for k, pair in enumerate(parts_of(~int(mask) & (1 << 64) - 1, near)):
+                    key = mixed(band[on] + np.uint64(k + 1))
+                    for part in pair:
+                        if part not in codes:
+                            table = pivot_table(marks[on], refs, np.uint64(part)).astype(np.uint64)
+                            codes[part] = (table << (6 * np.arange(KEY_REFS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+                        key = mixed(key + codes[part])
+                    now = np.full(len(key), mask | np.uint64(pair[0]) | np.uint64(pair[1]))
+                    columns = [pa.array(x.view(np.int64)) for x in (key, now, marks[on])]
+                    yield pa.RecordBatch.from_arrays(columns, ["band", "used", "fp"])
+
+    return work
 
 
 class _Forest:
@@ -101,74 +108,82 @@ class _Forest:
         return x != y
 
 
-def _links(batches: Iterator[pa.RecordBatch], near: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by (quarters, band).  Inside a band: fingerprints sorted by the distance
-    to the second pivot; pairs whose distances to any pivot differ by more than `near` go; the rest
-    are verified; links that close a circle go, so a band gives fewer links than fingerprints."""
-    kept: list[np.ndarray] = []
+def links_of_band(marks: np.ndarray, near: int, refs: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the pairs at `near` or fewer bits connect, and close no circle.
 
-    def bands(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        new = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
-        edges = np.concatenate([[0], new, [len(rows)]])
+    Fingerprints are sorted by the distance to the first pivot; pairs whose distances to any pivot
+    differ by more than `near` go; the rest are verified.
+    """
+    table = pivot_table(marks, refs)
+    order = np.argsort(table[:, 0], kind="stable")
+    marks, table = marks[order], table[order]
+    ends = np.searchsorted(table[:, 0], table[:, 0] + near, "right")
+    forest, links = _Forest(), []
+    for i in np.flatnonzero(ends - np.arange(len(marks)) > 1).tolist():
+        j = slice(i + 1, ends[i])
+        close = np.flatnonzero(np.abs(table[j] - table[i]).max(axis=1) <= near)
+        others = marks[j][close]
+        for y in others[np.bitwise_count(others ^ marks[i]) <= near].tolist():
+            if forest.join(x := int(marks[i]), y):
+                links.append((x, y))
+    return links
+
+
+def _links(near: int):
+    """Batches come sorted by band; a band may go on in the next batch."""
+    refs = pivots(PIVOTS)
+
+    def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]]) if len(rows) else np.zeros(1, int)
         out: list[tuple[int, int]] = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a > 1 and not rows[a:b, 2].all():
-                out += one(rows[a:b, 3].view(np.uint64), rows[a:b, 2].astype(bool))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b - a > 1:
+                out += links_of_band(rows[a:b, 1].view(np.uint64), near, refs)
         if out:
             pairs = np.array(out, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    def one(marks: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
-        table = pivot_table(marks, refs[1:])
-        order = np.argsort(table[:, 0], kind="stable")
-        marks, guest, table = marks[order], guest[order], table[order]
-        forest, links = _Forest(), []
-        ends = np.searchsorted(table[:, 0], table[:, 0] + near, "right")
-        for i in range(len(marks) - 1):
-            if ends[i] - i < 2:
-                continue
-            j = np.arange(i + 1, ends[i])
-            j = j[(np.abs(table[j] - table[i]).max(axis=1) <= near) & ~(guest[j] & guest[i])]
-            for y in marks[j[np.bitwise_count(marks[j] ^ marks[i]) <= near]].tolist():
-                if forest.join(x := int(marks[i]), y):
-                    links.append((x, y))
-        return links
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            rows = np.concatenate([kept, np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1)])
+            if len(rows):
+                cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                yield from told(rows[:cut])
+                kept = np.ascontiguousarray(rows[cut:])
+        yield from told(kept)
 
-    for batch in batches:
-        rows = np.stack([batch.column(i).cast(pa.int64()).to_numpy() for i in range(4)], axis=1)
-        if kept and len(rows):
-            rows = np.concatenate([*kept, rows])
-        if not len(rows):
-            continue
-        # The last band may go on in the next batch.
-        last = np.flatnonzero(np.any(rows[:, :2] != rows[-1, :2], axis=1))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        yield from bands(rows[:cut])
-        kept = [rows[cut:]]
-    if kept:
-        yield from bands(kept[0])
-
-
-def near_links(marks: DataFrame, near: int = 2, pivot_count: int = 16) -> DataFrame:
+    return work
+
+
+def near_links(marks: DataFrame, near: int = 2, most: int = 4_096) -> DataFrame:
     """Links (a, b) between different fingerprints at `near` or fewer differing bits.
 
     marks has one column fp of different fingerprints.  The links connect exactly the fingerprints
     that all such pairs connect, but a band of n fingerprints gives fewer than n of them.
-    Pairs come from the pivot distance table: two fingerprints within `near` have distances to any
-    pivot that differ by `near` at most, so they meet in a band of the first pivot; within it the
-    other pivots discard and Hamming distance verifies.  Since distances to one pivot crowd about
-    32, a band also needs two equal 16-bit quarters, which any two bits leave.
+    Pairs come from pivot distance tables.  Distances to a reference add up over parts of the bits,
+    and near + 2 parts leave two unspoiled, in which all distances agree: so the distances of two
+    parts to several references are the key of a band.  A band with more than `most` fingerprints
+    is dealt again by the bits that its key has not used, before any task reads it, and again,
+    until bands are small: few fingerprints agree on almost all bits.  Inside a band whole
+    distances to other pivots discard and Hamming distance verifies.
     """
-    if near > 2:
-        raise ValueError("two equal quarters of four are certain for near <= 2 only")
-    refs = pivots(pivot_count)
-    dealt = marks.select("fp").mapInArrow(
-        lambda batches: _bands(batches, near, refs), "quarters long, band int, guest boolean, fp long"
-    )
-    dealt = dealt.repartition("quarters", "band").sortWithinPartitions("quarters", "band")
-    return dealt.mapInArrow(lambda batches: _links(batches, near, refs), "a long, b long").distinct()
+    if not 0 <= near <= 14:
+        raise ValueError("near must be from 0 to 14")
+    kind = "band long, used long, fp long"
+    rows = marks.select(F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("used"), "fp")
+    free, small = 64, []
+    while True:
+        rows = staged(rows.mapInArrow(_deal(near), kind), "simhash-bands")
+        free -= 2 * -(-free // (near + 2))
+        sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = staged(sizes.select("band", (F.col("n") > most).alias("large")), "simhash-sizes")
+        last = free < near + 2 or not sizes.where("large").limit(1).count()
+        met = rows.join(sizes if last else sizes.where("not large"), "band").select("band", "fp")
+        small.append(met.repartition("band").sortWithinPartitions("band").mapInArrow(_links(near), "a long, b long"))
+        if last:
+            return functools.reduce(DataFrame.union, small).distinct()
+        rows = rows.join(sizes.where("large").select("band"), "band").select("band", "used", "fp")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
@@ -186,7 +201,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest id reachable over links of `near` or fewer differing bits; rows
     with one fingerprint are linked.  Texts without a word (null, empty, blanks) have fingerprint
     zero and link like any other.  `kept` is true for the row that has that smallest id (for each
-    if rows repeat it).  Null ids never become a component's id unless all of it are null.
+    if rows repeat it).  Null ids never become a component's id unless all of it are null.  Ids
+    may be of any type with an order.
     """
     return _components(docs, id_col, text_col, near).select(
         F.col("id").alias(id_col),
@@ -196,6 +212,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def votes(hashes: np.ndarray) -> int:
+    """The fingerprint of different shingle hashes: bit b is set if over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted, different hashes of its shingles of `width` words; of a shorter text, of all its words."""
     data, at = utf8(texts)
@@ -266,21 +291,27 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Grams of so many sets or more are first compared with one of them.
 CROWD = 24
+#: Differing bits up to which fingerprints propose a pair.
+PROPOSED = 3
 
 
 def similar_links(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, crowd: int = CROWD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, crowd: int = CROWD, near: int = PROPOSED
 ) -> tuple[DataFrame, DataFrame]:
     """rows (id, tie, sig), one per input row, sig being a hash of the shingle set, and links (a, b)
     between sigs: they connect exactly what all pairs of Jaccard similarity >= `similarity` connect.
 
-    Lossless prefix filter: in any one order of all shingles, two sets that similar share k shingles
-    among the first n - ceil(similarity * n) + k of each, for the smaller k of the two; here k is
-    1 + n // 20.  Sets that do are compared whole.  First the sets of crowded shingles with one
-    each, so that a large group of copies is linked at a cost of its size; then every pair that is
-    still apart, so that nothing is left out.
+    1. SimHash: each shingle set has a fingerprint; near_links() proposes pairs at `near` or fewer
+       bits, sets of one fingerprint are proposed with one of them, and pairs are compared whole.
+    2. Fingerprints of sets as similar as 0.8 differ in about ten bits, more than any key can bear,
+       so what is still apart goes through a lossless prefix filter: in any one order of all
+       shingles, two sets that similar share k shingles among the first n - ceil(similarity * n) + k
+       of each, for the smaller k of the two; here k is 1 + n // 20.  First the sets of crowded
+       shingles are compared with one each, so that a large group of copies is linked at a cost of
+       its size; then every pair that is still apart, so that nothing is left out.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    kind = dict(docs.dtypes)[id_col]
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("tie", F.xxhash64("text"))
     common, often = _common(texts, width)
 
@@ -295,10 +326,10 @@ def similar_links(
                     rank = np.where(common[at] == x, often[at], 0)
                 size = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 + len(x) // 20 if len(x) else 0
                 firsts.append(x[np.argsort(rank, kind="stable")[:size]])
-            sigs = np.array([_mark(x) for x in sets], np.uint64).view(np.int64)
+            sigs, marks = (pa.array(np.array([f(x) for x in sets], np.uint64).view(np.int64)) for f in (_mark, votes))
             sizes = pa.array(np.array([len(x) for x in sets], np.int32))
-            columns = [batch.column(0), batch.column(2), pa.array(sigs), sizes, _lists(firsts)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "sig", "size", "first"])
+            columns = [batch.column(0), batch.column(2), sigs, marks, sizes, _lists(firsts)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "sig", "fp", "size", "first"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -306,17 +337,10 @@ def similar_links(
             sigs = np.array([_mark(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sigs), _lists(sets)], ["sig", "grams"])
 
-    rows = staged(texts.mapInArrow(heads, "id long, tie long, sig long, size int, first array<long>"), "similar-rows")
-    dealt = rows.select(F.explode("first").alias("gram"), "sig", "size").repartition("gram").sortWithinPartitions("gram", "sig")
-    met = staged(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), "similar-met")
+    rows = staged(texts.mapInArrow(heads, f"id {kind}, tie long, sig long, fp long, size int, first array<long>"), "similar-rows")
 
-    def verified(x: DataFrame, y: DataFrame, on: Column, part: float) -> DataFrame:
-        """Similar pairs among those that share `part` of the shingles that similar ones must."""
-        small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-        apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & on & (small >= similarity * large - 1e-6)
-        a, b = F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")
-        pairs = x.alias("x").join(y.alias("y"), apart).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.min(small).alias("small"))
-        pairs = staged(pairs.where(F.col("n") >= part * (1 + F.floor(F.col("small") / 20))).select("a", "b"), "similar-pairs")
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) whose sets are similar."""
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
         ties = rows.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min("tie").alias("tie"))
         sets = texts.select("text", "tie").join(staged(ties.select("tie"), "similar-ties"), "tie", "left_semi").dropDuplicates(["tie"]).select("text")
@@ -326,16 +350,37 @@ def similar_links(
         same = F.size(F.array_intersect("grams_a", "grams_b"))
         return staged(full.where(same / (F.size("grams_a") + F.size("grams_b") - same) >= similarity).select("a", "b"), "similar-links")
 
-    crowded = met.where(F.col("n") >= crowd).withColumn("part", F.col("sig"))
+    def sharing(x: DataFrame, y: DataFrame, on: Column, part: float) -> DataFrame:
+        """Similar pairs among those that share `part` of the shingles that similar ones must."""
+        small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+        apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & on & (small >= similarity * large - 1e-6)
+        a, b = F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")
+        pairs = x.alias("x").join(y.alias("y"), apart).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.min(small).alias("small"))
+        return checked(staged(pairs.where(F.col("n") >= part * (1 + F.floor(F.col("small") / 20))).select("a", "b"), "similar-pairs"))
+
+    def parted(what: DataFrame, links: DataFrame) -> DataFrame:
+        """what(sig, ...) with `part`: the component of its sig over links."""
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        label = smallest_reachable(ends.select("node", F.col("node").alias("label")), links)
+        label = label.select(F.col("node").alias("sig"), F.col("label").alias("part"))
+        return what.join(label, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
+
+    sizes = rows.where("size > 0").groupBy("fp", "sig").agg(F.min("size").alias("size"))
+    heads_of = staged(sizes.groupBy("fp").agg(F.min("sig").alias("head")), "similar-marks")
+    own = sizes.join(heads_of, "fp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    other = near_links(heads_of, near).join(heads_of.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), "a")
+    other = other.join(heads_of.select(F.col("fp").alias("b"), F.col("head").alias("head_b")), "b")
+    links = checked(staged(own.union(other.select("head_a", "head_b")), "similar-proposed"))
+
+    dealt = rows.select(F.explode("first").alias("gram"), "sig", "size").repartition("gram").sortWithinPartitions("gram", "sig")
+    met = staged(parted(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), links), "similar-met")
+    crowded = met.where(F.col("n") >= crowd)
     hubs = crowded.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig").alias("draw"), "sig", "size", "part")).alias("hub"))
-    links = verified(crowded, hubs.select("gram", "hub.sig", "hub.size", "hub.part"), F.lit(True), 0.5)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    label = smallest_reachable(ends.select("node", F.col("node").alias("label")), links)
-    label = label.select(F.col("node").alias("sig"), F.col("label").alias("part"))
-    apart = staged(met.join(label, "sig", "left").withColumn("part", F.coalesce("part", "sig")), "similar-apart")
+    links = links.union(sharing(crowded, hubs.select("gram", "hub.sig", "hub.size", "hub.part"), F.lit(True), 0.5))
+    apart = staged(parted(met.drop("part"), links), "similar-apart")
     several = apart.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     apart = apart.join(several.select("gram"), "gram", "left_semi")
-    return rows.select("id", "tie", "sig"), links.union(verified(apart, apart, F.col("x.sig") < F.col("y.sig"), 1.0))
+    return rows.select("id", "tie", "sig"), links.union(sharing(apart, apart, F.col("x.sig") < F.col("y.sig"), 1.0))
 
 
 def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -343,21 +388,16 @@ def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts without a word are copies of each other.  The row with the smallest id stays (a null id is
     larger than any); of rows that repeat it, the one with the least hash of the text, and of equal
-    rows one.
+    rows one.  Other columns may have any names; ids may be of any type with an order.
     """
     rows, links = similar_links(docs, id_col, text_col, similarity, width)
     nodes = rows.select(F.col("sig").alias("node"), F.col("sig").alias("label")).distinct()
     label = smallest_reachable(nodes, links).select(F.col("node").alias("sig"), "label")
-    rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("key"), "tie")
-    least = rows.groupBy("sig").agg(F.min(rank).alias("one"))
+    least = rows.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("one"))
     winners = least.join(label, "sig").groupBy("label").agg(F.min("one").alias("one"))
-    winners = staged(winners.select("one.none", "one.key", F.col("one.tie").alias("hash")), "similar-winners")
-    own = docs.withColumns(
-        {
-            "none": F.col(id_col).isNull(),
-            "key": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
-            "hash": F.xxhash64(text_or_empty(text_col)),
-        }
-    )
-    keys = ["none", "key", "hash"]
-    return own.join(winners, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    winners = staged(winners.select(F.col("one.id").alias("id"), F.col("one.tie").alias("same")), "similar-winners")
+    names = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()], F.xxhash64(text_or_empty(text_col)).alias("tie"))
+    own = own.join(winners, F.col(names[id_col]).eqNullSafe(F.col("id")) & (F.col("tie") == F.col("same")), "left_semi")
+    own = own.dropDuplicates([names[id_col], "tie"])
+    return own.select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 import xxhash
@@ -10,7 +11,7 @@ import xxhash
 from folioscope.llm.components import smallest_reachable
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.sharding import jump, numbered, shard_documents, write_shards
-from folioscope.llm.simhash import fingerprint, near_dedup
+from folioscope.llm.simhash import fingerprint, near_dedup, near_unique
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, salt int, id long"
 
@@ -78,14 +79,22 @@ def test_shard_documents(spark):
 
 
 def test_numbered_in_many_buckets(spark):
-    rows = numbered(spark.range(1000).withColumn("g", F.col("id") % 3), "g", "id", bucket_rows=10).collect()
+    rows = numbered(spark.range(1000).withColumn("g", F.col("id") % 3), "g", bucket_rows=10).collect()
     for g in range(3):
         assert sorted(r.slot for r in rows if r.g == g) == list(range(sum(r.g == g for r in rows)))
+    same = spark.range(5000).select(F.lit(None).cast("long").alias("id"), F.when(F.col("id") < 4900, 1).alias("bucket"))
+    rows = numbered(same, "bucket", bucket_rows=10, run=64).collect()
+    assert sorted(r.slot for r in rows if r.bucket) == list(range(4900)) and sorted(r.slot for r in rows if not r.bucket) == list(range(100))
 
 
 def test_write_shards(spark, tmp_path):
-    write_shards(docs(spark, ["a"] * 50), str(tmp_path / "out"))
+    frame = docs(spark, ["a"] * 50)
+    write_shards(frame, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+    with pytest.raises(ValueError, match="shard_col"):
+        write_shards(frame.withColumn("shard", F.lit(1)), str(tmp_path / "other"))
+    write_shards(frame.withColumn("shard", F.lit(1)), str(tmp_path / "other"), shard_col="part")
+    assert spark.read.parquet(str(tmp_path / "other")).where("shard = 1").count() == 50
 
 
 def plain_fingerprint(text):
@@ -165,3 +174,71 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(199).where("id <> 120").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.node: r.label for r in smallest_reachable(nodes, links).collect()}
     assert got == {i: 1000 if i <= 120 else 1121 for i in range(200)}
+
+
+@pytest.mark.parametrize(("near", "most"), [(0, 4096), (1, 5), (2, 5), (3, 20), (5, 50)])
+def test_links_at_other_distances_and_in_split_bands(spark, near, most):
+    """Against all pairs; small `most` deals bands again and again."""
+    from folioscope.llm.simhash import near_links
+
+    rng = np.random.default_rng(near)
+    marks = set(rng.integers(0, 1 << 64, 30, np.uint64).tolist())
+    for centre in list(marks)[:6]:
+        for _ in range(30):
+            marks.add(centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, near + 3)), replace=False)))
+    marks |= {int(x) for x in rng.integers(0, 1 << 20, 60)}  # share the upper 44 bits
+    marks = sorted(marks)
+    signed = [m - 2**64 if m >= 2**63 else m for m in marks]
+    links = near_links(spark.createDataFrame([(m,) for m in signed], "fp long"), near, most)
+    nodes = spark.createDataFrame([(m, i) for i, m in enumerate(signed)], "node long, label long")
+    got = {r.node: r.label for r in smallest_reachable(nodes, links).collect()}
+    up = list(range(len(marks)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j in range(len(marks)):
+        for i in range(j):
+            if (marks[i] ^ marks[j]).bit_count() <= near:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert got == {m: root(i) for i, m in enumerate(signed)}
+
+
+def test_a_hot_band_is_split(spark):
+    """200 000 fingerprints agree on half of their bits: no task gets all of them."""
+    from folioscope.llm.simhash import near_links
+
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 1 << 32, 200_000, np.uint64))
+    table = pa.table({"fp": low.view(np.int64)})
+    links = near_links(spark.createDataFrame(table.to_pandas()), 2)
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()}
+    known = set(low.tolist())
+    flips = [1 << i for i in range(32)] + [1 << i | 1 << j for i in range(32) for j in range(i)]
+    want = set()
+    for f in flips:
+        other = low ^ np.uint64(f)
+        at = np.minimum(np.searchsorted(low, other), len(low) - 1)
+        want |= {(min(x, y), max(x, y)) for x, y in zip(low[low[at] == other].tolist(), other[low[at] == other].tolist())}
+    assert known and got <= want
+    nodes = {x for p in want for x in p}
+    assert {x for p in got for x in p} == nodes
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "one two three four"), ("a", "One two three FOUR"), (None, "x"), ("c", "else")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup(frame).collect()}
+    assert got["b"] == ("a", False) and got["a"] == ("a", True) and got["c"] == ("c", True)
+    assert sorted(r.doc_id or "" for r in near_unique(frame).collect()) == ["", "a", "c"]
+    out = shard_documents(frame, 24).collect()
+    assert {r.doc_id for r in out} == {"a", "b", "c", None} and len({(r.shard, r.slot) for r in out}) == 4
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f g", "K", "H", "n", 5, 6), (2, "A b c d e f g", "k", "h", "n", 5, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string, hash string, none string, sig long, tie int")
+    assert [tuple(r) for r in near_unique(frame).collect()] == [rows[0]]
