@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, text_or_empty, utf8, word_bounds, word_hashes
+from .common import mixed, slices, staged, text_or_empty, utf8, word_bounds, word_hashes
 
 BITS = 20
 #: Features are whole words and their beginnings of so many bytes; each may weigh more the second and third time.
@@ -97,16 +97,24 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, least: int = 3,
     return _descend(row, bucket, grade, grades, np.flatnonzero(model.weight), shrink / 100, 2000)
 
 
-def tiers(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """Grades 0 and 1 -> 0, 1, 2: the upper half of the rows graded 1, by what a first fit says, get 2.
+def tiers(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, times: float = 8.0, least: int = 3) -> np.ndarray:
+    """Grades 0 and 1 -> 0, 1, 2, by how many marked features toxic rows have.
 
-    Labels that know toxic and not toxic only say nothing of severity; this grades the toxic rows
-    by how much of what marks toxic texts they hold.
+    Labels that know toxic and not toxic only say nothing of severity.  A feature is marked if at
+    least `least` rows have it and it is `times` as frequent among the rows graded 1 as among the
+    others (a second and third occurrence are features of their own); rows graded 1 with more of
+    them than the median get 2.  This is counted before any model is fitted, so the second threshold
+    is no echo of the model's own score.
     """
     if set(np.unique(grade)) != {0, 1}:
         return grade
-    z = np.bincount(row, fit(row, bucket, grade).weight[bucket], len(grade))
-    return grade + ((grade == 1) & (z > np.median(z[grade == 1])))
+    toxic = grade == 1
+    seen = np.bincount(bucket, minlength=1 << BITS)
+    among = np.bincount(bucket[toxic[row]], minlength=1 << BITS)
+    odds = (among + 0.5) / (toxic.sum() + 1) * (len(grade) - toxic.sum() + 1) / (seen - among + 0.5)
+    marked = (seen >= least) & (odds >= times)
+    held = np.bincount(row, marked[bucket], len(grade))
+    return grade + (toxic & (held > np.median(held[toxic])))
 
 
 def _descend(row, bucket, grade, grades: int, on: np.ndarray, shrink: float, steps: int = 300) -> Model:
@@ -150,11 +158,13 @@ def _descend(row, bucket, grade, grades: int, on: np.ndarray, shrink: float, ste
     return Model(weight, cuts)
 
 
-def learn(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, train_rows: int) -> Model:
-    """Fit on about `train_rows` graded rows at most: those with the smallest hash of the id.
+def learn(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, train_rows: int, train_features: int = 16_000_000) -> Model:
+    """Fit on about `train_rows` graded rows and `train_features` features of rows at most: the rows with
+    the smallest hash of the id.
 
     grades(id, grade); only rows of documents with text count.  The sampled grades are within that
-    bound, so they are broadcast, and their words, in order of the hash, come to the driver.
+    bound, so they are broadcast; the features of the sample, within the other bound, come to the
+    driver in order of the hash.  A row that alone has more features than are left is passed over.
     """
     grades = grades.where("id is not null and grade is not null")
     rows = grades.count()
@@ -164,16 +174,23 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, train_
     if rows > most:
         chosen = chosen.where(F.col("h") < int(most / rows * (1 << 30)))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("h", F.col("grade").cast("int"), "text")
+    sample = texts.join(F.broadcast(chosen), "id").select("h", F.col("grade").cast("int"), "text", F.xxhash64("text").alias("tie"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             row, bucket = features(*occurrences(batch.column(2)))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["h", "grade", "words"])
-
-    table = sample.mapInArrow(work, "h long, grade int, words array<int>").orderBy("h", "grade", "words").toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), words], ["h", "grade", "tie", "words"])
+
+    found = staged(sample.mapInArrow(work, "h long, grade int, tie long, words array<int>"), "toxicity-sample")
+    room, fits = train_features, []
+    for r in found.select("h", "tie", F.size("words").alias("n")).orderBy("h", "tie").limit(2 * train_rows).collect():
+        if r.n <= room:
+            room -= r.n
+            fits.append((r.h, r.tie))
+    fit_rows = docs.sparkSession.createDataFrame(fits, "h long, tie long").distinct()
+    table = found.join(F.broadcast(fit_rows), ["h", "tie"], "left_semi").orderBy("h", "tie", "grade").select("grade", "words").toArrow()
     words = table.column("words").combine_chunks()
     sizes = words.value_lengths().to_numpy() if len(words) else np.zeros(0, int)
     bucket = words.flatten().to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
@@ -182,15 +199,21 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, train_
 
 
 def score_toxicity(
-    docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6_000
+    docs: DataFrame,
+    grades: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    train_rows: int = 6_000,
+    train_features: int = 16_000_000,
 ) -> DataFrame:
     """One row per input row: id, severity (the expected grade), grade (the likeliest), toxic (P(grade >= 1) >= 0.5).
 
-    grades(id, grade) holds ordered grades 0, 1, ...  Whole texts count.  Null, empty and wordless
+    grades(id, grade) holds ordered grades 0, 1, ..., one an id; of grades that are 0 and 1 only, tiers()
+    makes three.  The fit is on a bounded sample, see learn().  Whole texts count.  Null, empty and wordless
     texts get what the thresholds say of no word at all.  Without grades above 0 every severity is
     0.  Repeated rows get equal results.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, grades, id_col, text_col, train_rows))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, grades, id_col, text_col, train_rows, train_features))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
