@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the session names as spark.checkpoint.dir; a
-    temporary one only where none is named, as in tests."""
+    """The folder that driver and executors share: what the session names as spark.checkpoint.dir.  In
+    local mode, where one machine is all there is, a temporary one if none is named; on a cluster
+    that is an error, for executors would not see it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
@@ -40,7 +47,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: all that came of them is staged itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_carried(fields: str, docs: DataFrame, carry: dict[str, str] | None) -> T.StructType:

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, range_hashes, slices, staged, text_or_empty, utf8, word_bounds, word_hashes
+from .common import discard, mixed, range_hashes, slices, staged, text_or_empty, utf8, word_bounds, word_hashes
 
 WINDOW = 35  # words
 ANCHOR = 8  # words of the sequences that decide a window's shard
-SALTS = 64
-SPLIT = 128  # an anchor with more different fragments is split further
+SPLIT = 4_096  # an anchor with more different fragments is dealt to several shards
+LEVELS = 5  # as often as that, at most
 
 
 class WaveletTree:
@@ -54,15 +54,20 @@ class WaveletTree:
 
 
 class FmIndex:
-    """An FM-index of texts over integers 1 .. alphabet-1, each ended by 0, for patterns of up to 64 symbols."""
+    """A compressed FM-index of texts over integers 1 .. alphabet-1, each ended by 0, for patterns of up
+    to `depth` symbols.
 
-    def __init__(self, symbols: np.ndarray, alphabet: int) -> None:
+    What is kept of the Burrows-Wheeler transform are its runs, few where texts repeat: a wavelet
+    tree of the runs' symbols, where runs begin, and their lengths summed up symbol by symbol.
+    """
+
+    def __init__(self, symbols: np.ndarray, alphabet: int, depth: int = 64) -> None:
         n = len(symbols)
-        # Sort the suffixes by their first 64 symbols, doubling what is compared.
+        # Sort the suffixes by their first `depth` symbols at least, doubling what is compared.
         rank = symbols.astype(np.int64)
         order = np.argsort(rank, kind="stable")
         length = 1
-        while length < 64:
+        while length < depth:
             later = np.zeros(n, np.int64)
             later[: n - length] = rank[length:] + 1
             key = rank * (n + alphabet + 2) + later
@@ -74,28 +79,44 @@ class FmIndex:
                 break
             length *= 2
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=alphabet))])
-        self.tree = WaveletTree(symbols[order - 1], alphabet)
-        self.size = n
+        last = symbols[order - 1]
+        self.starts = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        self.heads = last[self.starts]
+        self.tree = WaveletTree(self.heads, alphabet)
+        by_symbol = np.argsort(self.heads, kind="stable")
+        self.lengths = np.concatenate([[0], np.cumsum(np.diff(np.append(self.starts, n))[by_symbol])])
+        self.first_run = np.searchsorted(self.heads[by_symbol], np.arange(alphabet))
+        self.size, self.depth = n, depth
+
+    def rank(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs in the transform before each end."""
+        run = np.searchsorted(self.starts, ends, "right") - 1
+        first = self.first_run[symbols]
+        whole = self.lengths[first + self.tree.rank(symbols, run)] - self.lengths[first]
+        return whole + np.where(self.heads[run] == symbols, ends - self.starts[run], 0)
 
-    def matching_lengths(self, symbols: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+    def matching_lengths(self, symbols: np.ndarray, ends: np.ndarray, longest: int | np.ndarray) -> np.ndarray:
         """Matching statistics: for each end, how many of the symbols before it, `longest` at most,
         occur at least twice in the index.  Backward search, all ends side by side."""
+        most = np.broadcast_to(longest, len(ends))
+        if len(ends) and most.max() > self.depth:
+            raise ValueError(f"the index is for patterns of up to {self.depth} symbols")
         out = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
-        for step in range(longest):
+        step = 0
+        while len(live):
             at = ends[live] - 1 - step
-            live, at = live[at >= 0], at[at >= 0]
-            symbol = symbols[at]
+            on = (at >= 0) & (most[live] > step)
+            live, symbol = live[on], symbols[at[on]]
             live, symbol = live[symbol > 0], symbol[symbol > 0]
-            new_low = self.before[symbol] + self.tree.rank(symbol, low[live])
-            new_high = self.before[symbol] + self.tree.rank(symbol, high[live])
+            new_low = self.before[symbol] + self.rank(symbol, low[live])
+            new_high = self.before[symbol] + self.rank(symbol, high[live])
             on = new_high - new_low >= 2
             live = live[on]
             low[live], high[live] = new_low[on], new_high[on]
-            out[live] = step + 1
-            if not len(live):
-                break
+            step += 1
+            out[live] = step
         return out
 
 
@@ -147,7 +168,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-FRAGMENT = "anchor long, content long, row long, tie int, start int, windows int"
+FRAGMENT = "anchor long, content long, row long, tie long, start int, windows int"
+WORDS = "anchor long, content long, twice boolean, heavy boolean, words array<long>"
+VERDICT = "anchor long, content long, low int, high int"
 
 
 def _cut(window: int, anchor: int):
@@ -172,100 +195,161 @@ def _cut(window: int, anchor: int):
     return work
 
 
-def _fetch(window: int):
-    """(row, tie, text, wanted: array of (anchor, heavy, start, windows)) -> the words of the wanted fragments."""
+def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column end to end, and where each list begins."""
+    first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return lists.flatten().to_numpy().view(np.uint64), first
+
+
+def _recut(window: int, anchor: int, level: int):
+    """(anchor, content, twice, words) -> fragments of fragments: another hash of word sequences decides
+    their anchors, so windows that shared one do so no longer unless they are alike elsewhere too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words, first = _words_of(batch.column(2))
+        for batch in batches:
+            words, first = _lists(batch.column(3))
+            text, start, count, mark = fragments(mixed(words + np.uint64(level)), first, window, anchor)
+            own = [batch.column(k).to_numpy(zero_copy_only=False)[text] for k in range(3)]
+            mark = mixed(mark + own[0].view(np.uint64) * np.uint64(3))
+            content = range_hashes(words, start, start + count + window - 1)
+            columns = [_signed(mark), _signed(content), *map(pa.array, own), pa.array((start - first[text]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "in_anchor", "in_content", "twice", "start", "windows"])
+
+    return work
+
+
+def _fetch(window: int, source: str):
+    """(two keys, text or words, wanted: array of (anchor, content, twice, heavy, start, windows)) -> the
+    words of the wanted fragments.  A row with the keys of the one before it has been answered."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in slices(batches, source) if source == "text" else batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1)
+            new = np.concatenate([[before is None or bool((keys[0] != before).any())], (keys[1:] != keys[:-1]).any(axis=1)])[: len(keys)] if len(keys) else np.zeros(0, bool)
+            before = keys[-1] if len(keys) else before
+            batch = batch.filter(pa.array(new))
+            words, first = _words_of(batch.column(2)) if source == "text" else _lists(batch.column(2))
             wanted = batch.column(3)
             row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
             flat = wanted.flatten()
             start = flat.field("start").to_numpy().astype(np.int64)
-            count = flat.field("windows").to_numpy().astype(np.int64)
-            size = count + window - 1
+            size = flat.field("windows").to_numpy().astype(np.int64) + window - 1
             at = np.repeat(first[row] + start - (np.cumsum(size) - size), size) + np.arange(size.sum())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), _signed(words[at]))
-            rows = [pa.array(batch.column(k).to_numpy()[row]) for k in range(2)]
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("anchor"), flat.field("heavy"), *rows, flat.field("start"), lists],
-                ["anchor", "heavy", "row", "tie", "start", "words"],
-            )
+            names = ["anchor", "content", "twice", "heavy"]
+            yield pa.RecordBatch.from_arrays([*map(flat.field, names), lists], [*names, "words"])
 
     return work
 
 
-def repeated_in_shard(lists: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each fragment's words: which of its windows occur at least twice among all of them."""
+def repeated_in_shard(lists: list[np.ndarray], window: int, twice: list[bool] | None = None) -> list[np.ndarray]:
+    """For each fragment's words: which of its windows occur at least twice among all of them; those
+    marked `twice` stand for several copies.
+
+    Fragments are streamed through the shard's index: first whole, which settles copies; then
+    window by window from the left.  A window of which only the last k words match leaves out all
+    windows that hold these words and the one before them.
+    """
     size = np.array([len(x) for x in lists])
-    every = np.concatenate(lists)
+    again = np.flatnonzero(np.zeros(len(lists), bool) if twice is None else np.array(twice, bool))
+    every = np.concatenate([*lists, *(lists[k] for k in again)])
     known, symbol = np.unique(every, return_inverse=True)
-    ends = np.cumsum(size + 1)
+    sizes = np.concatenate([size, size[again]])
+    ends = np.cumsum(sizes + 1)
     symbols = np.zeros(ends[-1], np.int64)
-    symbols[np.arange(len(every)) + np.repeat(np.arange(len(lists)), size)] = symbol + 1
-    index = FmIndex(symbols, len(known) + 1)
-    counts = size - window + 1
-    first_end = ends - 1 - size + window
-    at = np.repeat(first_end - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return np.split(index.matching_lengths(symbols, at, window) >= window, np.cumsum(counts)[:-1])
+    symbols[np.arange(len(every)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
+    index = FmIndex(symbols, len(known) + 1, int(size.max()))
+    counts = np.maximum(size - window + 1, 0)
+    offset = np.cumsum(counts) - counts
+    out = np.zeros(counts.sum(), bool)
+    begin = ends[: len(lists)] - 1 - size
+    long = np.flatnonzero(counts)
+    whole = index.matching_lengths(symbols, begin[long] + size[long], size[long]) == size[long]
+    out = np.repeat(np.isin(np.arange(len(lists)), long[whole]), counts)
+    live = long[~whole]
+    at = np.zeros(len(lists), np.int64)
+    while len(live):
+        length = index.matching_lengths(symbols, begin[live] + at[live] + window, window)
+        out[(offset[live] + at[live])[length == window]] = True
+        at[live] += np.maximum(window - length, 1)
+        live = live[at[live] < counts[live]]
+    return np.split(out, np.cumsum(counts)[:-1])
 
 
 def _search(window: int, most_words: int):
-    """Batches sorted by anchor: index as many whole anchors as make a shard, stream their
+    """Batches sorted by anchor and content: index as many whole anchors as make a shard, stream their
     fragments through the index, and give the runs of words that repeated windows cover."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        keys: list[tuple[int, int]] = []
+        twice: list[bool] = []
+        lists: list[np.ndarray] = []
         size = 0
 
-        def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            out = []
-            if len(rows) > 1:
-                for (_, row, tie, start, _), again in zip(rows, repeated_in_shard([r[4] for r in rows], window)):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-                    out += [(row, tie, start + a, start + b + window - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "tie", "low", "high"])
+        def answer() -> Iterator[pa.RecordBatch]:
+            if not lists or (len(lists) == 1 and not twice[0]):
+                return
+            found = repeated_in_shard(lists, window, twice)
+            counts = np.array([len(x) for x in found])
+            flat = np.zeros(counts.sum() + len(counts) + 1, np.int8)
+            place = np.cumsum(counts + 1) - counts  # one zero before each fragment, one at the end
+            flat[np.repeat(place - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = np.concatenate(found)
+            edge = np.diff(flat)
+            low, high = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+            which = np.searchsorted(place, low, "right") - 1
+            if len(which):
+                own = np.array(keys)[which]
+                columns = [own[:, 0], own[:, 1], (low - place[which]).astype(np.int32), (high - place[which] + window - 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["anchor", "content", "low", "high"])
 
         for batch in batches:
-            lists = batch.column(4)
-            flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            for i, (anchor, *place) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-                if size > most_words and held[-1][0] != anchor:
-                    yield from answer(held)
-                    held, size = [], 0
-                held.append((anchor, *place, flat[cut[i] : cut[i + 1]].copy()))
-                size += int(cut[i + 1] - cut[i])
-        yield from answer(held)
+            flat, first = _lists(batch.column(3))
+            for i, (anchor, content, both) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if keys and keys[-1] == (anchor, content):  # the same fragment of a repeated row
+                    continue
+                if size > most_words and keys[-1][0] != anchor:
+                    yield from answer()
+                    keys, twice, lists, size = [], [], [], 0
+                keys.append((anchor, content))
+                twice.append(both)
+                lists.append(flat[first[i] : first[i + 1]].copy())
+                size += len(lists[-1])
+        yield from answer()
 
     return work
 
 
-def _single_windows(window: int):
-    """Fragments of an anchor with very many -> one row for each window: two hashes and its place."""
+def _wanted(contents: DataFrame, split: int, last: bool) -> DataFrame:
+    """contents(anchor, content, n, one) of anchors that occur more than once, with what _fetch() asks for."""
+    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    heavy = F.lit(False) if last else F.col("kinds") > split
+    return contents.join(staged(kinds.select("anchor", "kinds"), "passages-kinds"), "anchor").select(
+        "one.*", F.struct("anchor", "content", (F.col("n") > 1).alias("twice"), heavy.alias("heavy"), "one.start", "one.windows").alias("f")
+    )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            size = lists.value_lengths().to_numpy().astype(np.int64)
-            counts = size - window + 1
-            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = np.repeat(np.cumsum(size) - size, counts) + inside
-            row, tie, start = (np.repeat(batch.column(k).to_numpy(), counts) for k in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(range_hashes(flat, at, at + window)),
-                    _signed(range_hashes(mixed(flat), at, at + window)),
-                    pa.array(row),
-                    pa.array(tie),
-                    pa.array((start + inside).astype(np.int32)),
-                ],
-                ["h1", "h2", "row", "tie", "low"],
-            )
 
-    return work
+def _verdicts(words: DataFrame, window: int, anchor: int, split: int, shard_words: int, level: int) -> DataFrame:
+    """WORDS -> VERDICT: for each fragment, named by anchor and content, the runs of words that windows
+    cover which occur elsewhere too."""
+    light = words.where("not heavy").select("anchor", "content", "twice", "words").repartition("anchor").sortWithinPartitions("anchor", "content")
+    found = light.mapInArrow(_search(window, shard_words), VERDICT)
+    heavy = words.where("heavy")
+    if not heavy.limit(1).count():
+        return found
+    heavy = staged(heavy.select("anchor", "content", "twice", "words").dropDuplicates(["anchor", "content"]), "passages-heavy")
+    kind = "anchor long, content long, in_anchor long, in_content long, twice boolean, start int, windows int"
+    parts = staged(heavy.mapInArrow(_recut(window, anchor, level), kind), "passages-parts")
+    times = F.when(F.col("twice"), 2).otherwise(1)
+    one = F.struct("in_anchor", "in_content", "start", "windows")
+    contents = staged(parts.groupBy("anchor", "content").agg(F.sum(times).alias("n"), F.min(one).alias("one")), "passages-contents")
+    wanted = _wanted(contents, split, level >= LEVELS).groupBy("in_anchor", "in_content").agg(F.collect_list("f").alias("wanted"))
+    whole = heavy.withColumnsRenamed({"anchor": "in_anchor", "content": "in_content"}).join(wanted, ["in_anchor", "in_content"])
+    deeper = whole.select("in_anchor", "in_content", "words", "wanted").mapInArrow(_fetch(window, "words"), WORDS)
+    inner = _verdicts(staged(deeper, "passages-words"), window, anchor, split, shard_words, level + 1)
+    placed = parts.join(staged(inner, "passages-verdicts"), ["anchor", "content"])
+    low, high = (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")
+    return found.union(placed.select(F.col("in_anchor").alias("anchor"), F.col("in_content").alias("content"), low, high))
 
 
 def repeated_passages(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, split: int = SPLIT, shard_words: int = 1 << 20) -> DataFrame:
@@ -273,46 +357,30 @@ def repeated_passages(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
     1. Windows of each text are cut into fragments by their anchors; those whose anchor occurs
        once in the corpus cannot repeat and go.
-    2. Fragments of equal content are combined; where there are several, all of their windows repeat.
-    3. Of anchors with several contents, one fragment of each single content goes, with its words,
-       to the anchor's shard; the shard's FM-index gives matching statistics, and windows that
-       match over their whole length repeat.
-    4. An anchor with more than `split` contents is split: its windows are counted one by one, by
-       hashes of 128 bits, with a map-side combine.
+    2. Fragments of equal anchor and content, by 64 bits of hash each, are combined before any
+       words are moved: the words of one of them go to the anchor's shard, with a mark if there
+       are several, and are indexed twice then.
+    3. The shard's compressed FM-index gives matching statistics of the fragments streamed through
+       it, and windows that match over their whole length repeat.
+    4. An anchor with more than `split` contents fills no shard: its fragments are cut once more, by
+       anchors of another hash, combined, and go to the shards of these; and so on.
+    5. The runs found for a content hold for all fragments with it.
     """
     cut = rows.select("row", "tie", "text").mapInArrow(_cut(window, anchor), FRAGMENT)
-    shared = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = staged(cut.join(staged(shared, "passages-anchors"), "anchor"), "passages-fragments")
-    # Counted by salt first: a content with a third of all fragments meets its count in many tasks.
-    salt = F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int").alias("salt")
-    parts = found.groupBy("anchor", "content", salt).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tie", "start", "windows")).alias("one")
-    )
-    parts = staged(parts, "passages-parts")
-    contents = parts.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
-    contents = staged(contents, "passages-contents")
-    several = parts.select("anchor", "content", "salt").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"])
-    copies = found.withColumn("salt", salt).join(staged(several, "passages-several"), ["anchor", "content", "salt"])
-    copied = copies.select("row", "tie", F.col("start").alias("low"), (F.col("start") + F.col("windows") + window - 1).alias("high"))
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = contents.join(staged(kinds, "passages-kinds"), "anchor").select(
-        "one.row",
-        "one.tie",
-        F.struct("anchor", (F.col("kinds") > split).alias("heavy"), F.col("one.start"), F.col("one.windows")).alias("f"),
-    )
-    wanted = wanted.groupBy("row", "tie").agg(F.collect_list("f").alias("wanted"))
-    # Rows that repeat an id and its text have equal spans, and the first of them stands for all here.
+    shared = staged(cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "passages-anchors")
+    found = staged(cut.join(shared, "anchor"), "passages-fragments")
+    discard(shared)
+    one = F.struct("row", "tie", "start", "windows")
+    contents = staged(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "passages-contents")
+    wanted = _wanted(contents, split, last=False).groupBy("row", "tie").agg(F.collect_list("f").alias("wanted"))
     texts = rows.join(wanted, ["row", "tie"]).select("row", "tie", "text", "wanted")
-    words = texts.mapInArrow(_fetch(window), "anchor long, heavy boolean, row long, tie int, start int, words array<long>")
-    words = staged(words, "passages-words").dropDuplicates(["row", "tie", "start"])
-    dealt = words.where("not heavy").select("anchor", "row", "tie", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
-    indexed = dealt.mapInArrow(_search(window, shard_words), "row long, tie int, low int, high int")
-    single = words.where("heavy").select("row", "tie", "start", "words")
-    single = single.mapInArrow(_single_windows(window), "h1 long, h2 long, row long, tie int, low int")
-    counted = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    heavy = single.join(staged(counted, "passages-windows"), ["h1", "h2"])
-    heavy = heavy.select("row", "tie", "low", (F.col("low") + window).alias("high"))
-    return copied.unionByName(indexed).unionByName(heavy)
+    words = staged(texts.mapInArrow(_fetch(window, "text"), WORDS), "passages-words")
+    discard(contents)
+    verdicts = staged(_verdicts(words, window, anchor, split, shard_words, 1), "passages-verdicts")
+    discard(words)
+    # Two fresh reads: Spark can split a content with a third of all fragments.
+    placed = found.join(verdicts, ["anchor", "content"])
+    return placed.select("row", "tie", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,13 +414,14 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of `window` words over it has a sequence that also begins anywhere
     else, in the same text or another; all windows are judged on the input.  Null texts have no
     words; texts shorter than a window keep all.  Copies of a text lose all that a window covers,
-    each of them.  Rows that repeat an id are rows of their own.
+    each of them.  Rows that repeat an id are rows of their own.  Ids may be of any type.  Words are
+    told apart by 64 bits of hash, fragments by 128.
     """
     kind = dict(docs.dtypes)[id_col]
     whole = kind in ("tinyint", "smallint", "int", "bigint")
     row = F.coalesce(F.col(id_col).cast("long"), F.lit(0)) if whole else F.xxhash64(id_col)
     text = text_or_empty(text_col)
-    rows = docs.select(row.alias("row"), F.hash(F.col(id_col).isNull(), text).alias("tie"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(row.alias("row"), F.xxhash64(F.col(id_col).isNull(), text).alias("tie"), F.col(id_col).alias("id"), text.alias("text"))
     spans = repeated_passages(rows, window, **options)
     by_row = spans.groupBy("row", "tie").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     none = F.array().cast("array<struct<low:int,high:int>>")

@@ -119,3 +119,56 @@ def test_repeated_ids(spark):
     want = [(r[0], *w) for r, w in zip(rows, brute(texts, 35))]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert remove_repeated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("window", [9, 40, 64, 80, 130])
+@pytest.mark.parametrize("seed", range(8))
+def test_shards_of_other_windows(window, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 3, 400).astype(np.int64)
+    lists = [base[: 2 * window], base[5 : 6 + 2 * window], np.tile(base[:3], 60), np.tile(base[1:4], 50), base[window : 2 * window + 3]]
+    lists += [np.concatenate([base[:window], rng.integers(0, 3, 40)]) for _ in range(4)]
+    twice = [bool(x) for x in rng.integers(0, 2, len(lists))]
+    seen = Counter()
+    for x, t in zip(lists, twice):
+        seen.update({k: n * (1 + t) for k, n in Counter(tuple(x[i : i + window]) for i in range(len(x) - window + 1)).items()})
+    for x, again in zip(lists, repeated_in_shard(lists, window, twice)):
+        assert again.tolist() == [seen[tuple(x[i : i + window])] > 1 for i in range(len(x) - window + 1)]
+
+
+def test_the_index_refuses_longer_patterns():
+    index = FmIndex(np.array([1, 2, 1, 2, 0]), 3, depth=2)
+    assert index.matching_lengths(np.array([1, 2, 1, 2, 0]), np.array([4]), 2).tolist() == [2]
+    with pytest.raises(ValueError, match="up to 2"):
+        index.matching_lengths(np.array([1, 2, 1, 2, 0]), np.array([4]), 3)
+
+
+@pytest.mark.parametrize("split", [1, 5])
+def test_a_very_common_passage_goes_through_several_shards(spark, split):
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for k in range(120):
+        left, right = ([f"w{x}" for x in rng.integers(0, 400, 25)] for _ in range(2))
+        texts.append(" ".join([*left, *passage, *right]))
+        if k % 4 == 0:
+            texts.append(" ".join([*left[-8:], *passage, *right[:3], f"e{k}"]))
+    rows = [(i, t, None, None, None, 1, "x", 2) for i, t in enumerate(texts)]
+    got = remove_repeated(spark.createDataFrame(rows, SCHEMA), split=split, shard_words=500).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == dict(enumerate(brute(texts, 35)))
+
+
+def test_another_window_and_string_ids(spark):
+    texts = corpus()
+    rows = [(f"id{i}" if i else None, t) for i, t in enumerate(texts)]
+    got = remove_repeated(spark.createDataFrame(rows, "doc_id string, text string"), window=20).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == {i: w for (i, _), w in zip(rows, brute(texts, 20))}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Many different texts without an id."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} own{i}" for i in range(300)]
+    rows = [(None, t, None, None, None, 1, "x", 2) for t in texts] * 2
+    got = remove_repeated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter(r.kept for r in got) == Counter(w[2] for w in brute(texts * 2, 35))
