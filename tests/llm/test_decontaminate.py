@@ -102,3 +102,26 @@ def test_empty(spark):
     assert [r.contaminated for r in find_leaks(docs, none).collect()] == [False, False]
     assert find_leaks(docs.where("false"), none).count() == 0
     assert decontaminated(docs, none).count() == 2
+
+
+def test_recall_is_measured_for_each_length(monkeypatch):
+    from folioscope.llm import decontaminate
+    from folioscope.llm.decontaminate import walks_for
+
+    for n in [*range(1, 31), 45, 80, 150]:
+        walks, recall = walks_for(n, 0.8, 0.97)
+        assert recall >= 0.97 and (recall == 1.0 or n >= 5)
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 1)
+    with pytest.raises(ValueError, match="walks find"):
+        walks_for(60, 0.7, 0.99)
+
+
+def test_short_items_and_other_ids(spark):
+    items = [("one", "zeppelin"), ("two", "red zeppelin"), ("four", "a red zeppelin landed"), ("long", "x")]
+    texts = ["The red, zeppelin!", "zeppelin", "A red zeppelin landed here", "red and zeppelin", "nothing", None]
+    docs = spark.createDataFrame([(f"d{i}", t, None, None, None, 1, "x") for i, t in enumerate(texts)], SCHEMA.replace("doc_id long", "doc_id string"))
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r.item_ids for r in find_leaks(docs, benchmark).collect()}
+    assert got == {"d0": ["one", "two"], "d1": ["one"], "d2": ["four", "one", "two"], "d3": ["one"], "d4": [], "d5": []}
+    got = {r.doc_id: r.item_ids for r in find_leaks(docs, benchmark, least_words=4).collect()}
+    assert got == {"d0": [], "d1": [], "d2": ["four"], "d3": [], "d4": [], "d5": []}
