@@ -60,13 +60,26 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3_secret_scan SQL can say: how many spans of each base kind a document has."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6_mix_sources SQL can say: sources, their sizes and targets."""
+    rows = op6_mix_sources(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    return rows.groupBy("source").agg(
+        F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"), (F.abs(F.sum("taken") - F.max("target")) <= 0.5).alias("met")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_secret_scan, op4_substring_dedup, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_secret_scan, op4_substring_dedup, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash, secret_counts, mix_targets, pipeline)}
 
 SQL = {
     "op1_exact_dedup": """
@@ -75,4 +88,32 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op4_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS j FROM w),
+        v AS (SELECT doc_id, j, words[j] AS word, CASE WHEN j + 34 <= len(words) THEN words[j : j + 34] END AS win FROM p),
+        c AS (SELECT doc_id, j, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM v),
+        d AS (SELECT doc_id, j, word, max(again::INT) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM c),
+        k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM d GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN k USING (doc_id)
+    """,
+    "secret_counts": r"""
+        SELECT doc_id,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+        FROM documents
+    """,
+    "mix_targets": r"""
+        WITH z AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+        s AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
+                     (ARRAY[5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM z),
+        -- A level for each set of sources that it cuts off; the right one shares everything.
+        b AS (SELECT 0.0::DOUBLE AS edge UNION SELECT cap / weight FROM s),
+        l AS (SELECT (SELECT sum(source_size) FROM s) AS whole, edge,
+                     ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(cap) FROM s WHERE cap / weight <= edge), 0)) / (SELECT sum(weight) FROM s WHERE cap / weight > edge) AS level FROM b),
+        f AS (SELECT level FROM l WHERE abs((SELECT sum(least(cap, level * weight)) FROM s) - whole) <= 1e-6 * whole ORDER BY edge LIMIT 1)
+        SELECT source, source_size, round(least(cap, level * weight), 3) AS target, TRUE AS met FROM s, f
+    """,
 }
