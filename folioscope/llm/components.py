@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def smallest_reachable(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,7 +21,8 @@ def smallest_reachable(nodes: DataFrame, links: DataFrame, rounds: int = 60) ->
     )
     before = None
     for _ in range(rounds):
-        edges = staged(_small_star(_large_star(edges)), "links")
+        old, edges = edges, staged(_small_star(_large_star(edges)), "links")
+        discard(old)
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)).cast("decimal(38,0)"))
         ).first()

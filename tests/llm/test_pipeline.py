@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     """Each stage against what a plain reading of its input says."""
-    from test_dedup_shard_simhash import plain_components, plain_fingerprint
+    from test_near_unique import plain_kept
 
     docs = documents(spark, SF)
     columns = docs.columns
@@ -22,8 +22,7 @@ def test_stages(spark):
     assert len(after) >= 0.97 * len(before) and {r.doc_id for r in after} <= {r.doc_id for r in before}
     before, after = by["simhash_near_dedup"]
     before = sorted(before, key=lambda r: r.doc_id)
-    groups = plain_components([plain_fingerprint(r.text) for r in before])
-    assert sorted(r.doc_id for r in after) == sorted({before[i].doc_id for i in groups.values()})
+    assert sorted(r.doc_id for r in after) == sorted(before[i].doc_id for i in plain_kept([r.text for r in before]))
     before, after = by["benchmark_decontamination"]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in after}
