@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import shared_folder
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; a temporary one only where none is named."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-"))
+    """A checkpoint in the folder that driver and executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

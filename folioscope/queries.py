@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from .plans.archive import IS_RESULT, Filters, material_key, verdict
 from .plans import people, reading, series, views
 from .plans.bindings import DOCUMENTS, WITH, archive, bound, table
 from .plans.search import count_hits, hits, postings
+from .session import shared_folder
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -811,31 +811,33 @@ def _stream(spark, sf_dir) -> DataFrame:
 def _finished(stream: DataFrame) -> DataFrame:
     """What a stream writes until its input is used up, by a file sink in the shared folder."""
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='folioscope-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     sink = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def _closed(spark, sf_dir, rows: DataFrame, end: str) -> DataFrame:
-    """Groups that end well before the watermark: the rest may or may not be out yet."""
-    last = table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 3 HOURS")).alias("last"))
-    return rows.join(F.broadcast(last), F.col(end) < F.col("last")).drop("last")
+def _stream_to_the_end(spark, sf_dir) -> DataFrame:
+    """The stream, and in it one event of nobody a day after all others: the watermark then closes every group."""
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+    closing = batch.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    closing.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema]).write.parquet(folder)
+    return _stream(spark, sf_dir).unionByName(spark.readStream.schema(batch.schema).parquet(folder))
 
 
-@query("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS begins, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
-  SELECT begins, event_type, events, total FROM w WHERE begins + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 3 HOURS""")
+@query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS begins, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
-    out = _closed(spark, sf_dir, _finished(streams.tumbling(_stream(spark, sf_dir), "ts", "6 hours", "event_type", "value")), "ends")
-    return out.select(F.col("begins").cast("timestamp_ntz").alias("begins"), "event_type", "events", F.round("total", 4).alias("total"))
+    out = _finished(streams.tumbling(_stream_to_the_end(spark, sf_dir), "ts", "6 hours", "event_type", "value"))
+    return out.where("event_type is not null").select(F.col("begins").cast("timestamp_ntz").alias("begins"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000000 THEN 0 ELSE 1 END AS b FROM events),
-  s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g), x AS (SELECT user_id, min(ts) AS begins, max(ts) AS m, count(*) AS events FROM s GROUP BY user_id, session)
-  SELECT user_id, begins, events FROM x WHERE m + INTERVAL 2 HOURS < (SELECT max(ts) FROM events) - INTERVAL 3 HOURS""")
+  s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+  SELECT user_id, min(ts) AS begins, count(*) AS events FROM s GROUP BY user_id, session""")
 def stream_session(spark, sf_dir):
-    out = _closed(spark, sf_dir, _finished(streams.sessions(_stream(spark, sf_dir), "ts", "2 hours", "user_id")), "ends")
-    return out.select("user_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "events")
+    out = _finished(streams.sessions(_stream_to_the_end(spark, sf_dir), "ts", "2 hours", "user_id"))
+    return out.where("user_id is not null").select("user_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "events")
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -847,7 +849,7 @@ def stream_dedupe(spark, sf_dir):
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_latest(spark, sf_dir):
     """Last-wins state kept by a foreachBatch sink."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='folioscope-')}/latest-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
     sink = streams.keep_latest(f"{base}/out", ["user_id"], "event_id")
     log = _stream(spark, sf_dir).select("user_id", "event_id")
     log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
