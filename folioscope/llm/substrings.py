@@ -15,6 +15,21 @@ WINDOW = 35  # words
 ANCHOR = 8  # words of the sequences that decide a window's shard
 SPLIT = 4_096  # an anchor with more different fragments is dealt to several shards
 LEVELS = 5  # as often as that, at most
+LAST, FIRST, MIDDLE = range(3)
+
+
+class Bits:
+    """Packed bits with rank: how many are set before a place."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(8 + -len(packed) % 8, np.uint8)]).view(np.uint64)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)])
+
+    def rank(self, places: np.ndarray) -> np.ndarray:
+        word = places >> 6
+        below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[word] + np.bitwise_count(self.words[word] & below)
 
 
 class WaveletTree:
@@ -22,35 +37,24 @@ class WaveletTree:
     wavelet matrix of Claude, Navarro and Ordonez, 2015)."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int) -> None:
-        self.levels = max(1, int(alphabet - 1).bit_length())
-        self.words: list[np.ndarray] = []
-        self.ones: list[np.ndarray] = []
-        self.zeros: list[int] = []
+        self.levels: list[tuple[int, Bits, int]] = []
         now = symbols
-        for level in range(self.levels - 1, -1, -1):
+        for level in range(max(1, int(alphabet - 1).bit_length()) - 1, -1, -1):
             bit = (now >> level & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(8 + -len(packed) % 8, np.uint8)]).view(np.uint64)
-            counts = np.bitwise_count(packed).astype(np.int64)
-            self.words.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            self.zeros.append(int(len(bit) - bit.sum()))
+            self.levels.append((level, Bits(bit), int(len(bit) - bit.sum())))
             now = np.concatenate([now[~bit], now[bit]])
 
+        self.begins = self._down(np.arange(alphabet), np.zeros(alphabet, np.int64))
+
+    def _down(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+        for level, bits, zeros in self.levels:
+            ones = bits.rank(places)
+            places = np.where(symbols >> level & 1, zeros + ones, places - ones)
+        return places
+
     def rank(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each end."""
-        low, high = np.zeros(len(ends), np.int64), ends.astype(np.int64)
-        for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            bit = (symbols >> level & 1).astype(bool)
-            low_ones, high_ones = self._ones(k, low), self._ones(k, high)
-            low = np.where(bit, self.zeros[k] + low_ones, low - low_ones)
-            high = np.where(bit, self.zeros[k] + high_ones, high - high_ones)
-        return high - low
-
-    def _ones(self, k: int, ends: np.ndarray) -> np.ndarray:
-        at = ends >> 6
-        mask = (np.uint64(1) << (ends & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ones[k][at] + np.bitwise_count(self.words[k][at] & mask)
+        return self._down(symbols, ends) - self.begins[symbols]
 
 
 class FmIndex:
@@ -63,24 +67,36 @@ class FmIndex:
 
     def __init__(self, symbols: np.ndarray, alphabet: int, depth: int = 64) -> None:
         n = len(symbols)
-        # Sort the suffixes by their first `depth` symbols at least, doubling what is compared.
-        rank = symbols.astype(np.int64)
-        order = np.argsort(rank, kind="stable")
-        length = 1
+        # Sort the suffixes by their first `depth` symbols at least: by a few at once, then doubling
+        # what is compared, among those only that are still tied.  A rank is the place of the first
+        # of equals; the order of ties does not matter for patterns of up to `depth` symbols.
+        length = min(n, max(1, 62 // int(alphabet).bit_length()))
+        key = np.zeros(n, np.int64)
+        for k in range(length):
+            key <<= int(alphabet).bit_length()
+            key[: n - k] += symbols[k:]
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
         while length < depth:
-            later = np.zeros(n, np.int64)
-            later[: n - length] = rank[length:] + 1
-            key = rank * (n + alphabet + 2) + later
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if new[-1] == n - 1:
+            tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+            if not len(tied):
                 break
+            rows = order[tied]
+            later = np.where(rows + length < n, rank[np.minimum(rows + length, n - 1)] + 1, 0)
+            key = rank[rows] * (n + 1) + later
+            by_key = np.argsort(key)
+            rows, key = rows[by_key], key[by_key]
+            order[tied] = rows
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first[tied] = new
+            rank[rows] = tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
             length *= 2
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=alphabet))])
         last = symbols[order - 1]
-        self.starts = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        new = np.concatenate([[True], last[1:] != last[:-1]])
+        self.starts, self.runs = np.flatnonzero(new), Bits(new)
         self.heads = last[self.starts]
         self.tree = WaveletTree(self.heads, alphabet)
         by_symbol = np.argsort(self.heads, kind="stable")
@@ -90,7 +106,7 @@ class FmIndex:
 
     def rank(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How often each symbol occurs in the transform before each end."""
-        run = np.searchsorted(self.starts, ends, "right") - 1
+        run = self.runs.rank(np.minimum(ends + 1, self.size)) - 1
         first = self.first_run[symbols]
         whole = self.lengths[first + self.tree.rank(symbols, run)] - self.lengths[first]
         return whole + np.where(self.heads[run] == symbols, ends - self.starts[run], 0)
@@ -110,8 +126,11 @@ class FmIndex:
             on = (at >= 0) & (most[live] > step)
             live, symbol = live[on], symbols[at[on]]
             live, symbol = live[symbol > 0], symbol[symbol > 0]
-            new_low = self.before[symbol] + self.rank(symbol, low[live])
-            new_high = self.before[symbol] + self.rank(symbol, high[live])
+            if step:
+                both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
+                new_low, new_high = self.before[symbol] + both[: len(live)], self.before[symbol] + both[len(live) :]
+            else:
+                new_low, new_high = self.before[symbol], self.before[symbol + 1]
             on = new_high - new_low >= 2
             live = live[on]
             low[live], high[live] = new_low[on], new_high[on]
@@ -247,9 +266,10 @@ def repeated_in_shard(lists: list[np.ndarray], window: int, twice: list[bool] |
     """For each fragment's words: which of its windows occur at least twice among all of them; those
     marked `twice` stand for several copies.
 
-    Fragments are streamed through the shard's index: first whole, which settles copies; then
-    window by window from the left.  A window of which only the last k words match leaves out all
-    windows that hold these words and the one before them.
+    Fragments are streamed through the shard's index.  Where a window matches, the search goes on to
+    the left, and all windows in the match are settled; where only its last k words do, so are all
+    windows that hold these and the word before them.  A fragment's last window goes first, which
+    settles copies; then its first, which settles most that only share an anchor; then middles.
     """
     size = np.array([len(x) for x in lists])
     again = np.flatnonzero(np.zeros(len(lists), bool) if twice is None else np.array(twice, bool))
@@ -262,19 +282,27 @@ def repeated_in_shard(lists: list[np.ndarray], window: int, twice: list[bool] |
     index = FmIndex(symbols, len(known) + 1, int(size.max()))
     counts = np.maximum(size - window + 1, 0)
     offset = np.cumsum(counts) - counts
-    out = np.zeros(counts.sum(), bool)
     begin = ends[: len(lists)] - 1 - size
-    long = np.flatnonzero(counts)
-    whole = index.matching_lengths(symbols, begin[long] + size[long], size[long]) == size[long]
-    out = np.repeat(np.isin(np.arange(len(lists)), long[whole]), counts)
-    live = long[~whole]
-    at = np.zeros(len(lists), np.int64)
-    while len(live):
-        length = index.matching_lengths(symbols, begin[live] + at[live] + window, window)
-        out[(offset[live] + at[live])[length == window]] = True
-        at[live] += np.maximum(window - length, 1)
-        live = live[at[live] < counts[live]]
-    return np.split(out, np.cumsum(counts)[:-1])
+    edges = np.zeros(counts.sum() + 1, np.int64)
+    # Windows not settled yet: fragment, from, to, and which of them goes next.
+    which = np.flatnonzero(counts)
+    low, high = np.zeros(len(which), np.int64), counts[which]
+    turn = np.full(len(which), LAST)
+    while len(which):
+        at = np.select([turn == LAST, turn == FIRST], [high - 1, low], (low + high) // 2)
+        length = index.matching_lengths(symbols, begin[which] + at + window, at + window - low)
+        repeats = length >= window
+        begins = np.where(repeats, at + window - length, at)  # what is settled, from here ..
+        behind = np.where(repeats, at + 1, np.minimum(at + window - length, high))  # .. to here
+        np.add.at(edges, (offset[which] + begins)[repeats], 1)
+        np.add.at(edges, (offset[which] + behind)[repeats], -1)
+        left = np.where(turn == LAST, FIRST, MIDDLE)
+        right = np.where(repeats & (turn != LAST), MIDDLE, FIRST)
+        some_left, some_right = low < begins, behind < high
+        which, low, high, turn = (
+            np.concatenate([x[some_left], y[some_right]]) for x, y in ((which, which), (low, behind), (begins, high), (left, right))
+        )
+    return np.split(np.cumsum(edges[:-1]) > 0, np.cumsum(counts)[:-1])
 
 
 def _search(window: int, most_words: int):
