@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import MOLAR_MASS, on_distinct, power_of, read_date, read_range, to_mmol, unit_key
+from ..functions.units import onto_one_scale
+from ..functions.parsing import MOLAR_MASS, on_distinct, power_of, read_date, read_range, to_mmol, unit_key, unit_of_range
 from ..operators.graph import cut_lineage
 
 KEYS = ["indicator_id", "material"]
@@ -48,9 +49,8 @@ def without_retellings(rows: DataFrame) -> DataFrame:
 def _scale(name: str | None, unit: str | None, reference: str | None) -> dict:
     """Everything that the printed name, unit and range say of a value's scale."""
     key = unit_key(unit)
-    if key is None and reference:  # the unit that a range prints after its numbers
-        tail = reference.strip().rsplit(" ", 1)[-1]
-        key = unit_key(tail) if any(c.isalpha() for c in tail) and ("/" in tail or "%" in tail) else None
+    if key is None:
+        key = unit_of_range(reference)
     analyte = next((a for a in MOLAR_MASS if a in (name or "").lower()), None)
     molar, power = to_mmol(analyte, key) if analyte else None, power_of(key)
     if molar:
@@ -113,22 +113,12 @@ def joined_spellings(rows: DataFrame, agreement: float = 2.0, least: int = 2) ->
 
 
 def one_power(rows: DataFrame, least: int = 2) -> DataFrame:
-    """Values printed at another power of ten, told by their ranges, move to the usual one; `moved`."""
-    middle = F.when((F.col("low") > 0) & (F.col("high") > 0), F.log10(F.sqrt(F.col("low") * F.col("high"))))
-    rows = rows.withColumn("_log", middle)
-    keys = [*KEYS, "series"]
-    usual = rows.groupBy(*keys).agg(F.median("_log").alias("_usual"), F.count("_log").alias("_n"))
-    usual = usual.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    met = rows.join(usual, same, "left")
-    apart = F.col("_log") - F.col("_usual")
-    power = F.when((F.col("_n") >= least) & (F.abs(apart - F.bround(apart)) <= 0.07), F.bround(apart)).otherwise(0.0)
-    met = met.withColumn("moved", F.coalesce(power, F.lit(0.0)).cast("int"))
-    for c in ("number", "low", "high"):
-        met = met.withColumn(c, F.col(c) / F.pow(F.lit(10.0), "moved"))
-    return met.drop("_log", "_usual", "_n", *[f"_{k}" for k in keys])
+    """Values and ranges of a series printed at several powers of ten, told by their ranges, move to the
+    power that most are printed at; `moved` and `band_moved` say how many above it they were."""
+    met = onto_one_scale(rows, [*KEYS, "series"], least=least)
+    shift = {"number": "moved", "low": "band_moved", "high": "band_moved"}
+    met = met.withColumns({c: F.col(c) * F.pow(F.lit(10.0), by) for c, by in shift.items()})
+    return met.withColumns({by: -F.col(by) for by in ("moved", "band_moved")})
 
 
 def charts(rows: DataFrame) -> DataFrame:

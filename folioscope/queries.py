@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.parsing import on_distinct
+from .functions.units import onto_one_scale, unit_key, unit_of_range
 from .functions.text import fold, sliding_windows, stems, text_pages, words
 from .operators import compaction, copies, graph, islands, joins, overlay, rules, suspects
 from .plans.archive import IS_RESULT, Filters, material_key, verdict
@@ -854,3 +856,72 @@ def stream_latest(spark, sf_dir):
     log = _stream(spark, sf_dir).select("user_id", "event_id")
     log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return streams.latest_state(spark, f"{base}/out").select("user_id", "event_id")
+
+
+# ---------------------------------------------------------------- units and scales
+
+# Spellings of units, and the key that each has; a printed unit is dealt to each row by its number.
+SPELLINGS = [
+    ("Г/л", "10^9/l"), ("G/L", "10^9/l"), ("10⁹/л", "10^9/l"), ("10*9/л", "10^9/l"), ("x10^9/L", "10^9/l"), ("10E9/L", "10^9/l"), ("Т/л", "10^12/l"),
+    ("10¹²/л", "10^12/l"), ("г/л", "g/l"), ("g/L", "g/l"), ("МГ/Л", "mg/l"), ("мкг/л", "ug/l"), ("µg/L", "ug/l"), ("мкмоль/л", "umol/l"),
+    ("мкмoль/л", "umol/l"), ("umol/L", "umol/l"), ("ммоль/л", "mmol/l"), ("mM/l", "mmol/l"), ("мм/л", "mmol/l"), ("МЕ/л", "u/l"), ("IU/L", "u/l"),
+    ("Од/л", "u/l"), ("UI/L", "u/l"), ("мкМЕ/мл", "uu/ml"), ("µIU/mL", "uu/ml"), ("мМО/л", "mu/l"), ("уд/мин", "/min"), ("уд в 1 хв", "/min"),
+    ("bpm", "/min"), ("мин", "min"), ("мм/год", "mm/h"), ("mm/hora", "mm/h"), ("в п/зр", "hpf"), ("кл/мкл", "/ul"), ("клітин/мкл", "/ul"),
+    ("10³/мм³", "10^3/ul"), ("UFC/mL", "cfu/ml"), ("°С", "°c"), ("г/1", "g/l"), ("нг\\мл", "ng/ml"), (" ", None),
+]
+_UNIT_ROWS = ", ".join(f"({k}, '{a}', {'NULL' if b is None else chr(39) + b + chr(39)})" for k, (a, b) in enumerate(SPELLINGS))
+
+
+@query(f"""WITH u(k, printed, key) AS (VALUES {_UNIT_ROWS}), v AS (SELECT (l_partkey + l_linenumber) % {len(SPELLINGS)} AS k, l_quantity FROM lineitem)
+  SELECT key, count(DISTINCT printed) AS spellings, count(*) AS "values", round(sum(l_quantity), 2) AS total FROM v JOIN u USING (k) GROUP BY 1""")
+def unit_keys(spark, sf_dir):
+    """Printed units brought to one key, in a table whose rows print them in many ways."""
+    printed = F.get(F.array(*[F.lit(a) for a, _ in SPELLINGS]), ((F.col("l_partkey") + F.col("l_linenumber")) % len(SPELLINGS)).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(printed.alias("printed"), "l_quantity")
+    read = on_distinct(rows, ["printed"], lambda u: {"key": unit_key(u)}, "key string", "unit_")
+    return read.groupBy(F.col("unit_key").alias("key")).agg(
+        F.countDistinct("printed").alias("spellings"), F.count(F.lit(1)).alias("values"), F.round(F.sum("l_quantity"), 2).alias("total")
+    )
+
+
+# Printed ranges, and the unit that each names.
+RANGES = [
+    ("53-115 мкмоль/л", "umol/l"), ("0,01-0,08 x10 9 /л", "10^9/l"), ("4-9 Г/л", "10^9/l"), ("10-20 МГ/Л", "mg/l"), ("19,0-37,0%", "%"), ("3-5 мг%", "mg/dl"),
+    ("19 - 37 % 1,200 - 3,000*10⁹/л", None), ("до 5", None), ("0-5 IU/L", "u/l"), ("г/л", None), ("4.5-11 10^9/L", "10^9/l"), ("< 5 нг/мл", "ng/ml"),
+]
+_RANGE_ROWS = ", ".join(f"({k}, '{a}', {'NULL' if b is None else chr(39) + b + chr(39)})" for k, (a, b) in enumerate(RANGES))
+
+
+@query(f"""WITH u(k, printed, unit) AS (VALUES {_RANGE_ROWS}), v AS (SELECT (l_suppkey + l_linenumber) % {len(RANGES)} AS k FROM lineitem)
+  SELECT unit, count(DISTINCT printed) AS ranges, count(*) AS "values" FROM v JOIN u USING (k) GROUP BY 1""")
+def units_of_ranges(spark, sf_dir):
+    printed = F.get(F.array(*[F.lit(a) for a, _ in RANGES]), ((F.col("l_suppkey") + F.col("l_linenumber")) % len(RANGES)).cast("int"))
+    read = on_distinct(table(spark, sf_dir, "lineitem").select(printed.alias("printed")), ["printed"], lambda r: {"unit": unit_of_range(r)}, "unit string", "r_")
+    return read.groupBy(F.col("r_unit").alias("unit")).agg(F.countDistinct("printed").alias("ranges"), F.count(F.lit(1)).alias("values"))
+
+
+# A test is a part's type; some forms print it a hundredfold, range and number or one of them; every fifth test has ranges of no common scale.
+SCALED = """
+SELECT l_orderkey, l_linenumber, p_type AS test,
+       CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_quantity * CASE WHEN l_suppkey % 10 < 3 THEN 100.0 ELSE 1.0 END END AS number,
+       CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CASE WHEN p_size % 5 = 0 AND l_linenumber = 1 THEN 3.0 ELSE 5.0 END * CASE WHEN l_suppkey % 10 < 4 THEN 100.0 ELSE 1.0 END END AS low,
+       CASE WHEN l_suppkey % 4 = 1 THEN NULL ELSE 60.0 * CASE WHEN l_suppkey % 10 < 4 THEN 100.0 ELSE 1.0 END END AS high
+FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+
+@query(f"""WITH r AS ({SCALED}), m AS (SELECT *, CASE WHEN low > 0 AND high > 0 THEN log10(sqrt(low * high)) END AS middle FROM r),
+  a AS (SELECT *, min(middle) OVER t AS least, count(middle) OVER t AS n FROM m WINDOW t AS (PARTITION BY test)),
+  p AS (SELECT *, CAST(round_even(middle - least, 0) AS INT) AS power FROM a),
+  s AS (SELECT test AS t, max(abs(middle - least - power)) AS off, list_sort(list(DISTINCT power) FILTER (power IS NOT NULL)) AS scales FROM p GROUP BY test),
+  o AS (SELECT *, n >= 2 AND off <= 0.15 AND len(scales) > 1 AS two FROM p JOIN s ON test = t),
+  w AS (SELECT *, CASE WHEN two THEN CASE WHEN power IS NOT NULL AND (number IS NULL OR number BETWEEN low AND high) THEN power
+     WHEN number > 0 THEN list_sort(list_transform(scales, lambda x: [abs(log10(number) - least - x), x]))[1][2]::INT END END AS own FROM o),
+  c AS (SELECT test, own, count(*) AS times FROM w WHERE own IS NOT NULL GROUP BY 1, 2),
+  u AS (SELECT test AS t2, arg_max(own, times * 1000 - own) AS usual FROM c GROUP BY 1)
+  SELECT l_orderkey, l_linenumber, CAST(coalesce(CASE WHEN two THEN usual - own END, 0) AS INT) AS moved, CAST(coalesce(CASE WHEN two THEN usual - power END, 0) AS INT) AS band_moved
+  FROM w LEFT JOIN u ON test = t2""")
+def one_scale(spark, sf_dir):
+    """By how many powers of ten a value and its range move to the scale that most of their test are printed at."""
+    rows = bound(spark, sf_dir, SCALED, "lineitem", "part")
+    return onto_one_scale(rows, ["test"]).select("l_orderkey", "l_linenumber", "moved", "band_moved")
