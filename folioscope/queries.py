@@ -356,13 +356,12 @@ def newest_per_key(spark, sf_dir):
     return compaction.newest_per_key(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.asc("event_id")], 8)
 
 
-EDITS = """edits AS (SELECT event_id AS seq, user_id * 7 AS document_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS value, event_type = 'error' AS removed FROM events WHERE event_id % 2 = 1),
+EDITS = """edits AS (SELECT event_id AS seq, user_id * 7 AS document_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS value, event_type = 'error' AS removed FROM events),
   standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) r FROM edits) WHERE r = 1)"""
 
 
 def _edits(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 2 = 1")
-    return rows.select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         (F.col("user_id") * 7).alias("document_id"),
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("value"),
@@ -663,8 +662,8 @@ _DUCK_VALUES = VALUES.replace("date_add(CAST(l_shipdate AS DATE), -CAST(l_quanti
   UNION ALL SELECT 'named_after_the_eye', document_id FROM v WHERE name = 'OD'
   UNION ALL SELECT 'several_measurements_in_one_value', document_id FROM v WHERE value = 'sph 1.5 cyl 2'
   UNION ALL SELECT 'date_to_check', document_id FROM d WHERE flagged
-  UNION ALL SELECT 'unreadable_parts', document_id FROM p WHERE document_id % 7 = 0
-  UNION ALL SELECT 'unreadable_on_images', document_id FROM p WHERE document_id % 7 = 0 AND document_id % 2 = 1
+  UNION ALL SELECT 'unreadable_parts', document_id FROM p WHERE got = ' '
+  UNION ALL SELECT 'unreadable_on_images', document_id FROM p WHERE got = ' ' AND NOT as_text
   UNION ALL SELECT 'institution_looks_like_a_name', document_id FROM d WHERE institution_was IS NOT NULL
   UNION ALL SELECT 'lab_form_without_a_title', document_id FROM d WHERE doc_type = 'lab_panel' AND transcribed AND title = ' '
   UNION ALL SELECT 'value_names_another_test', document_id FROM (SELECT DISTINCT observation_id, document_id FROM v WHERE value = 'no hemoglobin seen')
@@ -692,7 +691,7 @@ def rule_findings(spark, sf_dir):
     pages = bound(spark, sf_dir, SHEETS, "lineitem")
     tables = {
         "values": bound(spark, sf_dir, VALUES, "lineitem", "part"), "documents": documents, "pages": pages,
-        "unreadable": pages.where("document_id % 7 = 0").select("document_id", "page"),
+        "unreadable": pages.where("trim(got) = ''").select("document_id", "page"),
         "indicators": spark.createDataFrame([("blood colour", "Hemoglobin"), ("short", "seen")], "indicator_id string, spelling string"),
     }
     return rules.tally(rules.run(tables, only=LATER))
@@ -759,9 +758,11 @@ def access_counts(spark, sf_dir):
 
 #: Groups of spellings: the names of a test, but for one test that nobody has grouped.
 GROUPS = "SELECT DISTINCT split_part(p_name, ' ', 2) AS label, p_name AS name FROM part WHERE split_part(p_name, ' ', 2) <> 'gear'"
-PRINTED_NAMES = "SELECT p_name AS name, count(*) AS values FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 3 GROUP BY p_name"
-VERDICTS = "SELECT split_part(p_name, ' ', 2) AS label, p_name AS name FROM part WHERE p_partkey < 40 OR length(p_name) - length(split_part(p_name, ' ', 1)) = 5"
-SOURCES = "SELECT l_suppkey AS source, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 60 AND l_quantity < 10"
+PRINTED_NAMES = "SELECT p_name AS name, count(*) AS values FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name"
+VERDICTS = "SELECT CASE WHEN p_name LIKE 'large%' THEN 'settled apart' ELSE split_part(p_name, ' ', 2) END AS label, p_name AS name FROM part"
+# A form of one piece names the part; other forms name nothing.
+SOURCES = "SELECT l_suppkey AS source, CASE WHEN l_quantity = 1 THEN concat(p_name, ' ', CAST(p_partkey AS STRING)) END AS name FROM lineitem JOIN part ON l_partkey = p_partkey"
+CARRIED = "SELECT concat(p_brand, ' ', CAST(p_partkey AS STRING)) AS label, concat(p_name, ' ', CAST(p_partkey AS STRING)) AS name FROM part"
 
 
 @query(f"""WITH g AS ({GROUPS}), p AS ({PRINTED_NAMES}) SELECT label, count(*) AS names, count(p.name) AS used, CAST(coalesce(sum(values), 0) AS BIGINT) AS values
@@ -782,11 +783,10 @@ def groups_to_reread(spark, sf_dir):
     return views.groups_to_reread(bound(spark, sf_dir, GROUPS, "part"), views.digests(bound(spark, sf_dir, VERDICTS, "part")))
 
 
-@query(f"""WITH g AS (SELECT DISTINCT p_brand AS label, p_name AS name FROM part WHERE p_size < 3), s AS ({SOURCES}), b AS (SELECT label, count(DISTINCT source) AS sources FROM g LEFT JOIN s ON g.name = s.name GROUP BY 1)
+@query(f"""WITH g AS ({CARRIED}), s AS ({SOURCES}), b AS (SELECT label, count(DISTINCT source) AS sources FROM g LEFT JOIN s ON g.name = s.name GROUP BY 1)
   SELECT label, CASE WHEN sources = 0 THEN 'left' WHEN sources = 1 THEN 'settled' ELSE 'proposed' END AS fate, sources FROM b""")
 def carried_joins(spark, sf_dir):
-    groups = table(spark, sf_dir, "part").where("p_size < 3").select(F.col("p_brand").alias("label"), F.col("p_name").alias("name"))
-    return views.carried_joins(groups, bound(spark, sf_dir, SOURCES, "lineitem", "part"))
+    return views.carried_joins(bound(spark, sf_dir, CARRIED, "part"), bound(spark, sf_dir, SOURCES, "lineitem", "part"))
 
 
 PAGES = "SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page FROM lineitem"
