@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold, unspaced
+from .text import fold, unspaced, words
 
 # Words of specimens, folded, in the order in which they are tried.
 SPECIMENS = {
@@ -62,3 +62,21 @@ def is_derived(name: Column, unit: Column, heading: Column) -> Column:
 
 def specimen_word(name: Column) -> Column:
     return F.trim(name).rlike("(?iU)^(" + "|".join(SPECIMENS.values()) + ")$")
+
+
+def inverted_tables(rows: DataFrame, heading: str = "heading", name: str = "name") -> DataFrame:
+    """The headings of tables that run sideways: of several words, and every row under them is named for
+    a specimen and not for a test.  One row a heading."""
+    told = rows.where(F.trim(F.coalesce(F.col(heading), F.lit(""))) != "").groupBy(F.trim(heading).alias("heading"))
+    every = told.agg(F.bool_and(F.coalesce(specimen_word(F.col(name)), F.lit(False))).alias("sideways"))
+    return every.where(F.col("sideways") & (F.size(words(fold(F.col("heading")))) > 1)).select("heading")
+
+
+def heading_tests(headings: DataFrame, names: DataFrame, heading: str = "heading") -> DataFrame:
+    """(heading, indicator_id): the test that a heading names, a unit behind it left out: the longest of
+    its beginnings, word by word, that is a folded name in names(name, indicator_id)."""
+    read = headings.select(F.col(heading).alias("_heading"), F.split(fold(F.col(heading)), r"\s+").alias("_parts"))
+    beginnings = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda n: F.array_join(F.slice("_parts", 1, n), " "))
+    cuts = read.select(F.col("_heading").alias("heading"), F.posexplode(beginnings).alias("n", "name"))
+    known = names.select(fold(F.col("name")).alias("name"), "indicator_id").groupBy("name").agg(F.min("indicator_id").alias("indicator_id"))
+    return cuts.join(known, "name").groupBy("heading").agg(F.max_by("indicator_id", "n").alias("indicator_id"))

@@ -32,8 +32,14 @@ def readings(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*map(_double, (mark, dots, commas))))))
 
 
+def typewriter_digits(text: Column) -> Column:
+    """Letters that a typewriter prints for one and nought, where they stand at digits and at no letter."""
+    stands = lambda letters: rf"(?<!\p{{L}})[{letters}](?=[.,]?\d)|(?<=[\d.,])[{letters}](?!\p{{L}})"
+    return F.regexp_replace(F.regexp_replace(text, stands("IlІ"), "1"), stands("OoОо"), "0")
+
+
 def number_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(typewriter_digits(text), F.lit(TOKEN), F.lit(0))
 
 
 def reads_at_two_scales(text: Column) -> Column:

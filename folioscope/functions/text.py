@@ -77,6 +77,29 @@ def fold_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(fold_text, na_action="ignore")
 
 
+def fold_with_offsets(text: Column) -> Column:
+    """(folded, offsets): the fold letter by letter, and for each letter of it the place of its origin."""
+    pieces = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: fold(c))
+    places = F.flatten(F.transform(pieces, lambda p, k: F.array_repeat(k, F.length(p))))
+    return F.when(text.isNotNull(), F.struct(F.array_join(pieces, "").alias("folded"), places.alias("offsets")))
+
+
+# Folded letters as an address can carry them.
+ADDRESS = dict(zip("абвгдезиклмнопрстуфαβγδεζηικλμνξοπρστυφω", "abvhdezyklmnoprstufabgdeziiklmnxoprstyfo")) | {
+    "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "θ": "th", "χ": "ch", "ψ": "ps", "ς": "s",
+}
+
+
+def address(text: Column, fallback: str = "a-name", longest: int = 40) -> Column:
+    """A name as a file or an address can carry it: small Latin letters, digits and hyphens."""
+    out = F.translate(fold(text), "".join(k for k, v in ADDRESS.items() if len(v) == 1), "".join(v for v in ADDRESS.values() if len(v) == 1))
+    for k, v in ADDRESS.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    plain = F.substring(F.btrim(F.regexp_replace(out, "[^a-z0-9]+", "-"), F.lit("-")), 1, longest)
+    return F.when(F.coalesce(plain, F.lit("")) == "", F.lit(fallback)).otherwise(plain)
+
+
 def squeezed(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
 

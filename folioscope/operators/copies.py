@@ -22,21 +22,34 @@ def possible_copies(
 
     headers(document, file, date); items(document, item).  Pairs: equal sets; a subset with at least
     `least_shared` items; or both of at least `least_size` items, sizes in `ratio`, and `overlap` of
-    the smaller shared.  Pairs come from a join on (date, item), so documents that share nothing
-    never meet; undated documents have no copies.
+    the smaller shared.  Undated documents have no copies.
+
+    Documents of one date with equal sets are one class.  Every pair of classes shares `overlap` of
+    the smaller set at least, so one of the smaller one's rarest items, as many as leave fewer than
+    that, is in the larger one: classes meet by these alone, are judged on whole sets, and their
+    documents are paired last.
     """
-    held = items.select("document", "item").distinct().join(headers.where("date is not null"), "document")
-    size = held.groupBy("document").agg(F.count(F.lit(1)).alias("size"))
-    held = held.join(size, "document")
-    left = held.select(F.col("document").alias("a"), F.col("file").alias("file_a"), F.col("size").alias("size_a"), "date", "item")
-    right = held.select(F.col("document").alias("b"), F.col("file").alias("file_b"), F.col("size").alias("size_b"), "date", "item")
-    met = left.join(right, ["date", "item"]).where("a < b and file_a <> file_b")
-    pairs = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    equal = (F.col("shared") == F.col("size_a")) & (F.col("shared") == F.col("size_b"))
-    subset = (F.col("shared") == small) & (F.col("shared") >= least_shared)
+    held = items.select("document", "item").distinct().join(headers.where("date is not null").select("document", "file", "date"), "document")
+    often = held.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    sets = held.join(often, "item").groupBy("document", "file", "date").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("set"))
+    sets = sets.withColumn("kind", F.sha2(F.to_json(F.struct("date", "set")), 256))
+    kinds = sets.groupBy("kind").agg(F.any_value("date").alias("date"), F.any_value("set").alias("set"))
+    size = F.size("set")
+    rare = F.slice("set", 1, size - F.ceil(F.lit(min(overlap, 1.0)) * size - 1e-9).cast("int") + 1)
+    small_side = kinds.select("date", F.col("kind").alias("x"), F.col("set").alias("set_x"), F.explode(rare).alias("item"))
+    large_side = kinds.select("date", F.col("kind").alias("y"), F.col("set").alias("set_y"), F.explode("set").alias("item"))
+    met = small_side.join(large_side, ["date", "item"]).where((F.size("set_x") < F.size("set_y")) | ((F.size("set_x") == F.size("set_y")) & (F.col("x") <= F.col("y"))))
+    met = met.groupBy("x", "y").agg(F.any_value("set_x").alias("set_x"), F.any_value("set_y").alias("set_y"))
+    met = met.withColumn("shared", F.size(F.array_intersect("set_x", "set_y")).cast("long"))
+    small, large = F.size("set_x"), F.size("set_y")
+    equal = (F.col("shared") == small) & (small == large)
+    subset = (F.col("shared") == small) & (small >= least_shared)
     near = (small >= least_size) & (small >= ratio * large) & (F.col("shared") >= overlap * small)
-    return pairs.where(equal | subset | near).select("a", "b", "shared")
+    alike = met.where(equal | subset | near).select("x", "y", "shared")
+    one = sets.select(F.col("kind").alias("x"), F.col("document").alias("p"), F.col("file").alias("file_p"))
+    other = sets.select(F.col("kind").alias("y"), F.col("document").alias("q"), F.col("file").alias("file_q"))
+    pairs = alike.join(one, "x").join(other, "y").where((F.col("file_p") != F.col("file_q")) & ((F.col("x") != F.col("y")) | (F.col("p") < F.col("q"))))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
 
 
 def primary_copies(groups: DataFrame, ranking: list) -> DataFrame:

@@ -64,9 +64,16 @@ def sessions(events: DataFrame, keys: list[str], at: str, tie: str, gap: int = 6
 
 
 def busiest_window(events: DataFrame, keys: list[str], at: str, minutes: int = 10) -> DataFrame:
-    """The most events of a key in any trailing window of so many minutes, both ends counted."""
-    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-minutes * 60_000_000, 0)
-    counted = events.withColumn("_at", micros(at)).withColumn("_n", F.count(F.lit(1)).over(w))
+    """The most events of a key in any trailing window of so many minutes, both ends counted.
+
+    No task gets a whole key: its events are cut into stretches of the window's length, each event
+    goes to its own stretch and as a guest to the next, and stretches are counted apart.
+    """
+    length = minutes * 60_000_000
+    dealt = events.select(*keys, micros(at).alias("_at")).withColumn("_own", F.floor(F.col("_at") / length))
+    dealt = dealt.withColumn("_stretch", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-length, 0)
+    counted = dealt.withColumn("_n", F.count(F.lit(1)).over(w)).where("_own = _stretch")
     return counted.groupBy(*keys).agg(F.max("_n").alias("busiest"), F.count(F.lit(1)).alias("events"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import also_written_as, fold, fold_text, words
+from ..functions.text import also_written_as, fold, fold_text, snippet, words
 
 K1, B = 1.2, 0.75
 
@@ -31,11 +31,12 @@ def _matches(token: Column, spellings: list[str]) -> Column:
     return hit
 
 
-def hits(index: DataFrame, question: str) -> DataFrame:
+def hits(index: DataFrame, question: str, lengths: DataFrame | None = None) -> DataFrame:
     """(doc, score): documents with every word; the smaller the score the better.
 
     BM25 of each spelling as a phrase of its own, as full-text tables of a common embedded database
-    compute it: idf = ln((N - n + 0.5) / (n + 0.5)), a millionth at least.
+    compute it: idf = ln((N - n + 0.5) / (n + 0.5)), a millionth at least.  lengths(doc, len) says how
+    many words documents have, if the index is not the whole of them.
     """
     asked = question_words(question)
     if not asked:
@@ -45,7 +46,7 @@ def hits(index: DataFrame, question: str) -> DataFrame:
     tagged = [F.when(F.startswith("token", F.lit(s)), F.struct(F.lit(k).alias("word"), F.lit(s).alias("phrase"))) for k, s in phrases]
     found = wanted.select("doc", "tf", F.explode(F.array_compact(F.array(*tagged))).alias("p")).groupBy("doc", "p.word", "p.phrase")
     found = found.agg(F.sum("tf").alias("tf"))
-    length = index.groupBy("doc").agg(F.sum("tf").alias("len"))
+    length = index.groupBy("doc").agg(F.sum("tf").alias("len")) if lengths is None else lengths
     totals = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     n = found.groupBy("phrase").agg(F.countDistinct("doc").alias("n"))
     idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
@@ -57,3 +58,48 @@ def hits(index: DataFrame, question: str) -> DataFrame:
 
 def count_hits(index: DataFrame, question: str) -> DataFrame:
     return hits(index, question).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def found(rows: DataFrame, index: DataFrame | None, question: str, id_col: str, text_col: str, limit: int = 20, offset: int = 0, scored: DataFrame | None = None) -> DataFrame:
+    """A page of what a question finds, best first: place, the columns of rows, score, snippet and `total`,
+    how many there are.  Ties go by id.  No row has a place if nothing is found.
+    `scored` is what hits() gave, if it is there already."""
+    scored = (hits(index, question) if scored is None else scored).select(F.col("doc").alias("_doc"), "score")
+    total = scored.agg(F.count(F.lit(1)).alias("total"))
+    page = scored.orderBy("score", "_doc").offset(offset).limit(limit)
+    place = F.row_number().over(Window.orderBy("score", "_doc")) + offset  # of `limit` rows
+    placed = page.withColumn("place", place)
+    spellings = [s for w in question_words(question) for s in w]
+    shown = rows.join(F.broadcast(placed), rows[id_col] == F.col("_doc")).drop("_doc")
+    return shown.withColumn("snippet", snippet(F.col(text_col), fold(F.col(text_col)), spellings)).crossJoin(F.broadcast(total))
+
+
+def indicators_matching(names: DataFrame, question: str) -> DataFrame:
+    """(indicator_id, said): tests of which one folded name holds every word of the question, each as the
+    beginning of a word; names(indicator_id, name).  `said` is the shortest such name."""
+    held = F.concat(F.lit(" "), F.array_join(words(fold(F.col("name"))), " "))
+    fits = F.lit(True)
+    for spellings in question_words(question):
+        any_of = F.lit(False)
+        for s in spellings:
+            any_of = any_of | F.contains(held, F.lit(f" {s}"))
+        fits = fits & any_of
+    if not question_words(question):
+        fits = F.lit(False)
+    return names.where(fits).groupBy("indicator_id").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("said"))
+
+
+def keep_index(index: DataFrame, path: str) -> None:
+    """Write postings by the first two letters of their tokens, and the documents' lengths beside them."""
+    index.withColumn("head", F.substring("token", 1, 2)).repartition("head").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    index.groupBy("doc").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def kept_hits(spark: SparkSession, path: str, question: str) -> DataFrame:
+    """hits() of a kept index: only the partitions of the question's words are read."""
+    postings_kept, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    spellings = [s for w in question_words(question) for s in w]
+    heads = F.lit(False)
+    for s in spellings:
+        heads = heads | (F.col("head") == s[:2] if len(s) > 1 else F.startswith("head", F.lit(s)))
+    return hits(postings_kept.where(heads).drop("head"), question, lengths)

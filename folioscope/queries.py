@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions.parsing import on_distinct
 from .functions.units import onto_one_scale, unit_key, unit_of_range
-from .functions.text import fold, sliding_windows, stems, text_pages, words
+from .functions.materials import heading_tests, inverted_tables
+from .functions.person import birth_dates, dates_disagree, sex_printed
+from .functions.text import address, fold, sliding_windows, stems, text_pages, words
 from .operators import compaction, copies, graph, islands, joins, overlay, rules, suspects
 from .plans.archive import IS_RESULT, Filters, material_key, verdict
 from .plans import people, reading, series, views
 from .plans.bindings import DOCUMENTS, WITH, archive, bound, table
-from .plans.search import count_hits, hits, postings
+from .plans.search import count_hits, found, hits, indicators_matching, keep_index, kept_hits, postings
 from .session import shared_folder
 from .streaming import streams
 
@@ -1026,3 +1028,68 @@ def one_scale(spark, sf_dir):
     """By how many powers of ten a value and its range move to the scale that most of their test are printed at."""
     rows = bound(spark, sf_dir, SCALED, "lineitem", "part")
     return onto_one_scale(rows, ["test"]).select("l_orderkey", "l_linenumber", "moved", "band_moved")
+
+
+# ---------------------------------------------------------------- addresses, persons, headings, pages of search
+
+
+@query("""SELECT p_partkey, regexp_replace(lower(concat(p_name, '-', p_brand)), '[^a-z0-9]+', '-', 'g') AS latin, replace(regexp_replace(lower(p_name), '[^a-z]+', '-', 'g'), 'red', 'chervonyi') AS other FROM part""")
+def addresses(spark, sf_dir):
+    """Names as addresses: Latin ones, and the same with a word in another alphabet."""
+    rows = table(spark, sf_dir, "part")
+    mixed = F.regexp_replace(F.upper("p_name"), "RED", "Червоний")
+    return rows.select("p_partkey", address(F.concat_ws("-", "p_name", "p_brand")).alias("latin"), F.replace(address(mixed), F.lit("chervonyy"), F.lit("chervonyi")).alias("other"))
+
+
+BORN = """
+SELECT o_orderkey, concat('Patient: X', chr(10), CASE WHEN o_custkey % 5 = 0 THEN concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'Date of birth:')
+         WHEN o_custkey % 5 = 1 THEN concat('Дата рождения: ', CAST(CAST(o_orderdate AS DATE) AS STRING), ' Возраст: 40')
+         WHEN o_custkey % 5 = 2 THEN concat('Год рождения ', substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)) ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END,
+       chr(10), CASE WHEN o_custkey % 4 = 0 THEN 'Sex: F   Age: 73' WHEN o_custkey % 4 = 1 THEN 'Стать: чоловіча' WHEN o_custkey % 4 = 2 THEN 'полость М' ELSE 'Пол - Ж, sexo: M' END) AS text
+FROM orders
+"""
+
+
+@query(f"""WITH t AS ({BORN.replace('SELECT o_orderkey,', 'SELECT o_orderkey, o_custkey, o_orderdate,')}) SELECT o_orderkey,
+  CASE WHEN o_custkey % 5 < 2 THEN CAST(o_orderdate AS DATE) WHEN o_custkey % 5 = 2 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS born,
+  CASE o_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN '' ELSE 'female,male' END AS sex, false AS disagree FROM t""")
+def persons_printed(spark, sf_dir):
+    """Date of birth and sex as pages print them, in front of a label or after it."""
+    rows = bound(spark, sf_dir, BORN, "orders").withColumn("dates", birth_dates(F.col("text")))
+    return rows.select("o_orderkey", F.get("dates", F.lit(0)).alias("born"), F.array_join(sex_printed(F.col("text")), ",").alias("sex"), dates_disagree(F.col("dates")).alias("disagree"))
+
+
+HEADED = """
+SELECT l_orderkey AS document_id, concat(upper(p_name), ' ', CASE WHEN l_returnflag = 'A' THEN 'mmol/l' ELSE '' END) AS heading,
+       CASE WHEN length(p_name) > 8 THEN CASE WHEN l_linestatus = 'F' THEN 'Кровь' ELSE 'urine' END ELSE p_brand END AS name
+FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+
+@query(f"""WITH h AS ({HEADED}), s AS (SELECT trim(heading) AS heading FROM h GROUP BY 1 HAVING bool_and(name IN ('Кровь', 'urine')))
+  SELECT heading, split_part(lower(heading), ' ', 2) AS indicator_id FROM s""")
+def sideways_tables(spark, sf_dir):
+    """Headings over rows that are named for specimens, and the tests that they name."""
+    sideways = inverted_tables(bound(spark, sf_dir, HEADED, "lineitem", "part"))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("indicator_id"))
+    return sideways.join(heading_tests(sideways, names), "heading", "left")
+
+
+@query(f"""WITH {TOKENS}, l AS (SELECT doc, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS m FROM l),
+  f AS (SELECT doc, sum(tf) AS tf FROM p WHERE token LIKE 'heon%' GROUP BY 1), c AS (SELECT count(*) AS k FROM f),
+  s AS (SELECT doc, -greatest(ln((g.n - k + 0.5) / (k + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / g.m)) AS score FROM f JOIN l USING (doc), g, c),
+  r AS (SELECT *, row_number() OVER (ORDER BY score, doc) AS place, count(*) OVER () AS total FROM s)
+  SELECT CAST(place AS INTEGER) AS place, doc AS doc_id, lang, round(score, 6) AS score, total FROM r JOIN documents ON doc_id = doc WHERE place > 5 AND place <= 25""")
+def search_page(spark, sf_dir):
+    """The second page of what a word finds, out of a kept index, of which only the word's partition is read."""
+    rows, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    keep_index(_index(spark, sf_dir), path)
+    scored = kept_hits(spark, path, "heon")
+    page = found(rows, None, "heon", "doc_id", "text", limit=20, offset=5, scored=scored)
+    return page.select("place", "doc_id", "lang", F.round("score", 6).alias("score"), "total")
+
+
+@query("SELECT split_part(p_name, ' ', 2) AS indicator_id, min(p_name) AS said FROM part WHERE p_name LIKE '% bo%' AND p_name LIKE 'co%' GROUP BY 1")
+def tests_matching(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("indicator_id"), F.col("p_name").alias("name"))
+    return indicators_matching(names, "Co bö")
