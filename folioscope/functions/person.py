@@ -48,7 +48,7 @@ def birth_dates(text: Column) -> Column:
     after it, up to the next colon.  A year alone is its first of January."""
     lower = F.lower(F.coalesce(text, F.lit("")))
     touching = F.regexp_extract_all(lower, F.lit(rf"({_DATE}){_BIRTH}"), F.lit(1))
-    after = F.regexp_extract_all(lower, F.lit(rf"(?<!\d){_BIRTH}[^\d\n]{{0,40}}?(?=\d)([^:\n]{{1,30}})"), F.lit(1))
+    after = F.regexp_extract_all(lower, F.lit(rf"(?<!\d){_BIRTH}[^\d\n]{{0,40}}?(?=(\d[^:\n]{{0,29}}))"), F.lit(1))
     snippets = F.concat(touching, after)
     return F.when(F.size(snippets) > 0, _dates(snippets)).otherwise(F.array().cast("array<date>"))
 
