@@ -358,13 +358,19 @@ def similar_links(
         pairs = x.alias("x").join(y.alias("y"), apart).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.min(small).alias("small"))
         return checked(staged(pairs.where(F.col("n") >= part * (1 + F.floor(F.col("small") / 20))).select("a", "b"), "similar-pairs"))
 
-    def parted(what: DataFrame, links: DataFrame) -> DataFrame:
-        """what(sig, ...) with `part`: the component of its sig over links."""
-        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        label = smallest_reachable(ends.select("node", F.col("node").alias("label")), links)
+    def labelled(what: DataFrame, label: DataFrame) -> DataFrame:
+        """what(sig, ...) with `part`, that of label(node, label), or its sig."""
         label = label.select(F.col("node").alias("sig"), F.col("label").alias("part"))
         return what.join(label, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
 
+    def stars(links: DataFrame) -> DataFrame:
+        """(node, label): the least node within two links, so nodes about one centre have one label.  Nodes
+        of one label are connected, though not all that are connected have one."""
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+        near = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+        far = both.join(near.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("label"))
+        return staged(far, "similar-stars")
+
     sizes = rows.where("size > 0").groupBy("fp", "sig").agg(F.min("size").alias("size"))
     heads_of = staged(sizes.groupBy("fp").agg(F.min("sig").alias("head")), "similar-marks")
     own = sizes.join(heads_of, "fp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
@@ -373,14 +379,18 @@ def similar_links(
     links = checked(staged(own.union(other.select("head_a", "head_b")), "similar-proposed"))
 
     dealt = rows.select(F.explode("first").alias("gram"), "sig", "size").repartition("gram").sortWithinPartitions("gram", "sig")
-    met = staged(parted(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), links), "similar-met")
+    met = staged(labelled(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), stars(links)), "similar-met")
     crowded = met.where(F.col("n") >= crowd)
     hubs = crowded.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig").alias("draw"), "sig", "size", "part")).alias("hub"))
     links = links.union(sharing(crowded, hubs.select("gram", "hub.sig", "hub.size", "hub.part"), F.lit(True), 0.5))
-    apart = staged(parted(met.drop("part"), links), "similar-apart")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    label = staged(smallest_reachable(ends.select("node", F.col("node").alias("label")), links), "similar-labels")
+    apart = staged(labelled(met.drop("part"), label), "similar-apart")
     several = apart.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     apart = apart.join(several.select("gram"), "gram", "left_semi")
-    return rows.select("id", "tie", "sig"), links.union(sharing(apart, apart, F.col("x.sig") < F.col("y.sig"), 1.0))
+    # A labelled node's link to its label stands for all links so far: few rounds are left to do.
+    stars_so_far = label.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return rows.select("id", "tie", "sig"), stars_so_far.union(sharing(apart, apart, F.col("x.sig") < F.col("y.sig"), 1.0))
 
 
 def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
