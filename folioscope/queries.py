@@ -15,7 +15,7 @@ from .functions.person import birth_dates, dates_disagree, sex_printed
 from .functions.text import address, fold, sliding_windows, stems, text_pages, words
 from .operators import compaction, copies, graph, islands, joins, overlay, rules, suspects
 from .plans.archive import IS_RESULT, Filters, material_key, verdict
-from .plans import people, reading, series, views
+from .plans import people, reading, series, views, work
 from .plans.bindings import DOCUMENTS, WITH, archive, bound, table
 from .plans.search import count_hits, found, hits, indicators_matching, keep_index, kept_hits, postings
 from .session import shared_folder
@@ -964,7 +964,7 @@ def stream_latest(spark, sf_dir):
 # ---------------------------------------------------------------- units and scales
 
 # Spellings of units, and the key that each has; a printed unit is dealt to each row by its number.
-SPELLINGS = [
+UNITS_PRINTED = [
     ("Г/л", "10^9/l"), ("G/L", "10^9/l"), ("10⁹/л", "10^9/l"), ("10*9/л", "10^9/l"), ("x10^9/L", "10^9/l"), ("10E9/L", "10^9/l"), ("Т/л", "10^12/l"),
     ("10¹²/л", "10^12/l"), ("г/л", "g/l"), ("g/L", "g/l"), ("МГ/Л", "mg/l"), ("мкг/л", "ug/l"), ("µg/L", "ug/l"), ("мкмоль/л", "umol/l"),
     ("мкмoль/л", "umol/l"), ("umol/L", "umol/l"), ("ммоль/л", "mmol/l"), ("mM/l", "mmol/l"), ("мм/л", "mmol/l"), ("МЕ/л", "u/l"), ("IU/L", "u/l"),
@@ -972,14 +972,14 @@ SPELLINGS = [
     ("bpm", "/min"), ("мин", "min"), ("мм/год", "mm/h"), ("mm/hora", "mm/h"), ("в п/зр", "hpf"), ("кл/мкл", "/ul"), ("клітин/мкл", "/ul"),
     ("10³/мм³", "10^3/ul"), ("UFC/mL", "cfu/ml"), ("°С", "°c"), ("г/1", "g/l"), ("нг\\мл", "ng/ml"), (" ", None),
 ]
-_UNIT_ROWS = ", ".join(f"({k}, '{a}', {'NULL' if b is None else chr(39) + b + chr(39)})" for k, (a, b) in enumerate(SPELLINGS))
+_UNIT_ROWS = ", ".join(f"({k}, '{a}', {'NULL' if b is None else chr(39) + b + chr(39)})" for k, (a, b) in enumerate(UNITS_PRINTED))
 
 
-@query(f"""WITH u(k, printed, key) AS (VALUES {_UNIT_ROWS}), v AS (SELECT (l_partkey + l_linenumber) % {len(SPELLINGS)} AS k, l_quantity FROM lineitem)
+@query(f"""WITH u(k, printed, key) AS (VALUES {_UNIT_ROWS}), v AS (SELECT (l_partkey + l_linenumber) % {len(UNITS_PRINTED)} AS k, l_quantity FROM lineitem)
   SELECT key, count(DISTINCT printed) AS spellings, count(*) AS "values", round(sum(l_quantity), 2) AS total FROM v JOIN u USING (k) GROUP BY 1""")
 def unit_keys(spark, sf_dir):
     """Printed units brought to one key, in a table whose rows print them in many ways."""
-    printed = F.get(F.array(*[F.lit(a) for a, _ in SPELLINGS]), ((F.col("l_partkey") + F.col("l_linenumber")) % len(SPELLINGS)).cast("int"))
+    printed = F.get(F.array(*[F.lit(a) for a, _ in UNITS_PRINTED]), ((F.col("l_partkey") + F.col("l_linenumber")) % len(UNITS_PRINTED)).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(printed.alias("printed"), "l_quantity")
     read = on_distinct(rows, ["printed"], lambda u: {"key": unit_key(u)}, "key string", "unit_")
     return read.groupBy(F.col("unit_key").alias("key")).agg(
@@ -988,17 +988,17 @@ def unit_keys(spark, sf_dir):
 
 
 # Printed ranges, and the unit that each names.
-RANGES = [
+RANGES_PRINTED = [
     ("53-115 мкмоль/л", "umol/l"), ("0,01-0,08 x10 9 /л", "10^9/l"), ("4-9 Г/л", "10^9/l"), ("10-20 МГ/Л", "mg/l"), ("19,0-37,0%", "%"), ("3-5 мг%", "mg/dl"),
     ("19 - 37 % 1,200 - 3,000*10⁹/л", None), ("до 5", None), ("0-5 IU/L", "u/l"), ("г/л", None), ("4.5-11 10^9/L", "10^9/l"), ("< 5 нг/мл", "ng/ml"),
 ]
-_RANGE_ROWS = ", ".join(f"({k}, '{a}', {'NULL' if b is None else chr(39) + b + chr(39)})" for k, (a, b) in enumerate(RANGES))
+_RANGE_ROWS = ", ".join(f"({k}, '{a}', {'NULL' if b is None else chr(39) + b + chr(39)})" for k, (a, b) in enumerate(RANGES_PRINTED))
 
 
-@query(f"""WITH u(k, printed, unit) AS (VALUES {_RANGE_ROWS}), v AS (SELECT (l_suppkey + l_linenumber) % {len(RANGES)} AS k FROM lineitem)
+@query(f"""WITH u(k, printed, unit) AS (VALUES {_RANGE_ROWS}), v AS (SELECT (l_suppkey + l_linenumber) % {len(RANGES_PRINTED)} AS k FROM lineitem)
   SELECT unit, count(DISTINCT printed) AS ranges, count(*) AS "values" FROM v JOIN u USING (k) GROUP BY 1""")
 def units_of_ranges(spark, sf_dir):
-    printed = F.get(F.array(*[F.lit(a) for a, _ in RANGES]), ((F.col("l_suppkey") + F.col("l_linenumber")) % len(RANGES)).cast("int"))
+    printed = F.get(F.array(*[F.lit(a) for a, _ in RANGES_PRINTED]), ((F.col("l_suppkey") + F.col("l_linenumber")) % len(RANGES_PRINTED)).cast("int"))
     read = on_distinct(table(spark, sf_dir, "lineitem").select(printed.alias("printed")), ["printed"], lambda r: {"unit": unit_of_range(r)}, "unit string", "r_")
     return read.groupBy(F.col("r_unit").alias("unit")).agg(F.countDistinct("printed").alias("ranges"), F.count(F.lit(1)).alias("values"))
 
@@ -1093,3 +1093,81 @@ def search_page(spark, sf_dir):
 def tests_matching(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("indicator_id"), F.col("p_name").alias("name"))
     return indicators_matching(names, "Co bö")
+
+
+# ---------------------------------------------------------------- what is left to do
+
+FILED = "SELECT DISTINCT o_custkey AS file_id, l_linenumber AS page, l_linenumber % 2 = 0 AS tabular FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+SORTED = "SELECT o_custkey AS file_id, l_linenumber AS page FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 10"
+
+
+@query(f"""WITH p AS ({FILED}), c AS (SELECT DISTINCT * FROM ({SORTED})), d AS ({DOCUMENTS}),
+  ready AS (SELECT file_id FROM p LEFT JOIN c USING (file_id, page) GROUP BY 1 HAVING bool_and(c.page IS NOT NULL)),
+  t AS (SELECT file_id, count(*) AS tables FROM p WHERE tabular AND page <= 3 GROUP BY 1)
+  SELECT document_id, CAST(coalesce(tables, 0) AS INTEGER) AS tables FROM d JOIN ready USING (file_id) LEFT JOIN t USING (file_id)""")
+def due_documents(spark, sf_dir):
+    pages = bound(spark, sf_dir, FILED, "orders", "lineitem")
+    classified = bound(spark, sf_dir, SORTED, "orders", "lineitem")
+    documents = archive(spark, sf_dir).documents.select("document_id", "file_id", F.lit(1).alias("first"), F.lit(3).alias("last"))
+    return work.due_documents(pages, classified, documents).select("document_id", F.size("tabular").alias("tables"))
+
+
+@query(f"""WITH d AS ({DOCUMENTS}) SELECT document_id, date FROM d WHERE year(date) IN (1992, 1995, 1996, 1997)""")
+def documents_of_years(spark, sf_dir):
+    rows = archive(spark, sf_dir).documents.withColumn("year", F.year("date"))
+    return work.of_years(rows, "year", "1995-1997, 1992").select("document_id", "date")
+
+
+@query("""WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS pages FROM lineitem GROUP BY 1)
+  SELECT l_orderkey, CASE WHEN len(pages) = 1 THEN 1 ELSE (len(pages) - 1 + 1) // 2 END::INTEGER AS calls, (len(pages) + greatest((len(pages) - 1 + 1) // 2 - 1, 0))::INTEGER AS sent FROM p""")
+def calls_of_documents(spark, sf_dir):
+    """A document's pages in calls of three, the first page in each."""
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("int"))).alias("pages"))
+    calls = pages.select("l_orderkey", work.call_chunks(F.col("pages"), 3).alias("calls"))
+    return calls.select("l_orderkey", F.size("calls").alias("calls"), F.size(F.flatten("calls")).alias("sent"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS k, CAST(l_quantity AS INTEGER) * 20 AS spot FROM lineitem),
+  r AS (SELECT k, min(spot) AS spot FROM p GROUP BY 1 UNION ALL SELECT r.k, (SELECT min(p.spot) FROM p WHERE p.k = r.k AND p.spot >= r.spot + 200) FROM r WHERE r.spot IS NOT NULL)
+  SELECT k AS l_orderkey, CAST(count(spot) AS INTEGER) AS cuts, CAST(sum(spot) AS BIGINT) AS total FROM r GROUP BY 1""")
+def text_cuts(spark, sf_dir):
+    places = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("int") * 20).alias("places"))
+    cuts = places.select("l_orderkey", work.cuts_in(F.col("places")).alias("cuts"))
+    return cuts.select("l_orderkey", F.size("cuts").alias("cuts"), F.aggregate("cuts", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH d AS ({DOCUMENTS}) SELECT copy_group, min(CASE WHEN primary_copy THEN document_id END) AS chosen, arg_min(date, document_id) FILTER (date IS NOT NULL) AS date,
+  array_to_string(list_sort(list(document_id)), ',') AS members FROM d WHERE copy_group IS NOT NULL GROUP BY 1""")
+def copy_group_members(spark, sf_dir):
+    groups = work.copy_group_members(archive(spark, sf_dir).documents)
+    return groups.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
+
+
+@query("SELECT user_id, event_id, event_type FROM events e WHERE event_id < (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id)")
+def earlier_readings(spark, sf_dir):
+    return work.earlier_readings(table(spark, sf_dir, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("""WITH p AS (SELECT l_returnflag AS route FROM lineitem), c AS (SELECT l_returnflag AS route, max(l_quantity) AS seconds FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+  SELECT route, count(*) AS pages, round(count(*) * any_value(seconds) / 3600.0, 6) AS hours FROM p LEFT JOIN c USING (route) GROUP BY 1""")
+def hours_by_route(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    prices = lines.where("l_returnflag <> 'N'").select(F.col("l_returnflag").alias("route"), F.col("l_quantity").alias("seconds"))
+    return work.hours_for(lines.select(F.col("l_returnflag").alias("route")), prices).withColumn("hours", F.round("hours", 6))
+
+
+@query(f"""WITH d AS ({DOCUMENTS}), f AS (SELECT DISTINCT event_type AS rule, user_id AS document_id FROM events),
+  v AS (SELECT event_type AS rule, user_id AS document_id, arg_max(event_id % 3, event_id) AS verdict FROM events WHERE value > 50 GROUP BY 1, 2)
+  SELECT CASE rule WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS place, rule, document_id, date, verdict FROM f LEFT JOIN d USING (document_id) LEFT JOIN v USING (rule, document_id)""")
+def review_rows(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "rule", "user_id": "document_id"})
+    verdicts = events.where("value > 50").select("rule", "document_id", F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("verdict"))
+    out = work.review_rows(events, ["purchase", "view"], archive(spark, sf_dir).documents, verdicts)
+    return out.withColumn("place", F.col("place").cast("int"))
+
+
+@query("""WITH i AS (SELECT l_returnflag AS source, max(l_shipdate) AS newest FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag AS source, max(l_shipdate) AS built FROM lineitem WHERE l_returnflag <> 'R' AND l_tax > 0.03 GROUP BY 1)
+  SELECT source, built IS NULL OR newest > built AS stale FROM i LEFT JOIN b USING (source)""")
+def stale_sources(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_shipdate").alias("at"), "l_tax")
+    return work.stale(lines.where("source <> 'R' and l_tax > 0.03"), lines).select("source", "stale")
