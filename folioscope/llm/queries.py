@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup, sha256_hex
 from .html_text import extract_text
 from .language import identify_languages
 from .mixing import mix_sources
+from .packing import pack_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_dedup
@@ -60,6 +61,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids, with a digest of each piece's ids."""
+    import public_tokenizers
+
+    pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op3_secret_scan SQL can say: how many spans of each base kind a document has."""
     return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -79,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_secret_scan, op4_substring_dedup, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash, secret_counts, mix_targets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_secret_scan, op4_substring_dedup, op5_html_extract, op6_mix_sources, op7_toxicity, op8_language_id, op9_sharding, op10_simhash, op11_packing, secret_counts, mix_targets, pipeline)}
 
 SQL = {
     "op1_exact_dedup": """
