@@ -16,7 +16,7 @@ def plain(value):
 def test_query_against_its_sql(spark, name):
     got = queries.QUERIES[name](spark, SF)
     base = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = base.execute(queries.SQL[name])
     names = [d[0] for d in want.description]
