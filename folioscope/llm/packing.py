@@ -9,6 +9,7 @@ sequence needs no padding.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -25,8 +26,10 @@ from .common import slices, with_carried
 #: Tokens in a full sequence, and windows that a task holds open before it pours them together: with
 #: 4 bytes a token at most 64 MB of rests.
 WINDOW, MOST_OPEN = 4096, 4096
-#: Characters of words whose tokens a task remembers; beyond, it starts anew.
-MOST_CHARS = 4_000_000
+#: Characters of words whose tokens a worker remembers; beyond, it starts anew.
+MOST_CHARS = 10_000_000
+#: Punctuation that may follow a word.
+STOPS = ".,;:!?"
 #: Sequence ids of a task begin at its number times this.
 PER_TASK = 1 << 40
 
@@ -34,8 +37,8 @@ PER_TASK = 1 << 40
 class Words:
     """Token ids of texts, each different stretch between blanks tokenised once.
 
-    Right for tokenizers whose tokens never span a blank and whose treatment of a stretch does not
-    depend on its neighbours, as those that split at white space before they merge.
+    Right for tokenizers of words with an end mark that split at white space, and between letters and
+    punctuation, before they merge, treat each such part by itself, and make letters small.
     """
 
     def __init__(self, path: str, end: int) -> None:
@@ -43,43 +46,74 @@ class Words:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._end = Tokenizer.from_file(path), end
+        vocabulary = self._tokenizer.get_vocab()
+        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
-        self._chars = 0
         self._ids, self._at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._chars = 0
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        if self._chars > MOST_CHARS:
-            self._forget()
-        new = [w for w in words if w not in self._known]
-        if new:
-            found = [e.ids for e in self._tokenizer.encode_batch(new, add_special_tokens=False)]
-            self._chars += sum(map(len, new))
-            ends = self._at[-1] + np.cumsum([len(x) for x in found])
-            self._known.update(zip(new, range(len(self._at) - 1, len(self._at) - 1 + len(new)), strict=True))
-            self._at = np.concatenate([self._at, ends])
-            self._ids = np.concatenate([self._ids, *(np.array(x, np.uint32) for x in found)])
-        return np.array([self._known[w] for w in words], np.int64)
+    def _encode(self, parts: list[str]) -> None:
+        """Keep the ids of parts: those of letters in one text, which is parted where a token ends a word."""
+        letters = [p for p in parts if p.isalpha()]
+        ids = np.array(self._tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self._closes[ids]) + 1
+        if len(ends) != len(letters):
+            letters, ids, ends = [], ids[:0], ends[:0]
+        done = set(letters)
+        rest = [p for p in parts if p not in done]
+        found = [e.ids for e in self._tokenizer.encode_batch(rest, add_special_tokens=False)]
+        self._known.update(zip([*letters, *rest], range(len(self._known), len(self._known) + len(parts)), strict=True))
+        self._chars += sum(map(len, parts))
+        self._ids = np.concatenate([self._ids, ids, np.array([i for x in found for i in x], np.uint32)])
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in found], np.int64)])
+        self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(sizes)])
+
+    def _numbers(self, parts: pa.DictionaryArray) -> np.ndarray:
+        """The number of each part, under which its ids are."""
+        different = parts.dictionary.to_pylist()
+        if new := [p for p in different if p not in self._known]:
+            self._encode(new)
+        known = self._known
+        return np.array([known[p] for p in different], np.int64)[parts.indices.to_numpy(zero_copy_only=False)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each closed by the end id, and where each text's begin and end."""
+        """All ids of the texts, each closed by the end id, and where each text's begin and end.
+
+        A word has two parts, itself and the punctuation that follows a letter or digit at its end.  Small letters say the same,
+        but not in what may be a special token.
+        """
+        if self._chars > MOST_CHARS:
+            self._forget()
         pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat = pieces.flatten().dictionary_encode()
+        words = pieces.flatten().dictionary_encode()
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        known = self._learn(flat.dictionary.to_pylist())
-        word = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-        size = self._at[word + 1] - self._at[word]
+        core, tail = pc.utf8_rtrim(words.dictionary, STOPS), pc.replace_substring_regex(words.dictionary, f"^(?s:.*)[^{STOPS}]", "")
+        parted = pc.match_substring_regex(core, r"[\pL\pN]$")  # else the punctuation belongs to what is before
+        core, tail = pc.if_else(parted, core, words.dictionary), pc.if_else(parted, tail, "")
+        plain = pc.and_not(pc.string_is_ascii(core), pc.match_substring(core, "<|"))
+        core = pc.if_else(plain, pc.ascii_lower(core), core)
+        halves = np.column_stack([self._numbers(core.dictionary_encode()), self._numbers(tail.dictionary_encode())])
+        part = halves[words.indices.to_numpy(zero_copy_only=False)].ravel()
+        size = self._at[part + 1] - self._at[part]
         before = np.concatenate([[0], np.cumsum(size)])
-        at = before[starts] + np.arange(len(starts))  # one end id for each text before
+        at = before[2 * starts] + np.arange(len(starts))  # one end id for each text before
         out = np.full(at[-1], self._end, np.uint32)
         keep = np.ones(at[-1], bool)
         keep[at[1:] - 1] = False
-        out[keep] = self._ids[np.repeat(self._at[word] - before[:-1], size) + np.arange(before[-1])]
+        out[keep] = self._ids[np.repeat(self._at[part] - before[:-1], size) + np.arange(before[-1])]
         return out, at
 
 
+@functools.cache
+def _words(path: str, end: int) -> Words:
+    """One for all tasks of a worker."""
+    return Words(path, end)
+
+
 class Packer:
     """The windows of one task; each pieces() is what has become of sequences since the last call.
 
@@ -199,7 +233,7 @@ def pack_documents(
     schema["doc_id"].dataType = docs.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer, end)
+        words = _words(tokenizer, end)
         task = TaskContext.get()
         packer = Packer(window, most_open, (task.partitionId() if task else 0) * PER_TASK)
 
@@ -212,7 +246,7 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=labels)
 
         labels, kinds = [f.name for f in schema], [to_arrow_type(f.dataType) for f in schema]
-        for part in slices(batches, "c1"):
+        for part in slices(batches, "c1", 1 << 22):
             ids, at = words(part.column(1))
             others = [c.to_pylist() for k, c in enumerate(part.columns) if k != 1]
             for k in range(part.num_rows):
