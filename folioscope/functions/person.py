@@ -3,54 +3,103 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .parsing import read_date
+from .dates import Line, read_date
 from .text import fold, fold_text
 
 # Labels, and answers to them.
-SEX_LABELS = "sexo sex gender стать пол φύλο".split()
+SEX_LABELS = "sex gender sexo стать пол φύλο".split()
 SEX_ANSWERS = {
-    "male": "чоловіча чоловік мужской муж male m ч м hombre varón άνδρας αρσενικό".split(),
-    "female": "жіноча женский жен female f ж mujer γυναίκα θηλυκό".split(),
+    "male": "male m hombre varón чоловіча чоловік мужской муж ч м άνδρας αρσενικό".split(),
+    "female": "female f mujer жіноча женский жен ж γυναίκα θηλυκό".split(),
 }
-# Labels of a date of birth, in small letters; Greek in both forms of its letters.
+# Labels of a date of birth, word by word; a word that ends in a dash is how one begins.
 BIRTH_LABELS = [
-    r"дата\s+рожд\p{L}*", r"год\s+рожд\p{L}*", r"дата\s+народж\p{L}*", r"р[іi]к\s+народж\p{L}*", r"fecha\s+de\s+nacimiento", r"date\s+of\s+birth", r"birth\s*date",
-    r"d\.\s*o\.\s*b\.?", r"\bdob\b", r"ημερομην[ίι]α\s+γ[έε]ννη[σς]η[σς]", r"ημ\.?\s*γ[έε]ννη[σς]η[σς]", r"[έε]το[σς]\s+γ[έε]ννη[σς]η[σς]",
+    "date of birth", "birth date", "birthdate", "dob", "d o b", "fecha de nacimiento", "дата рожд-", "год рожд-", "дата народж-", "рік народж-",
+    "ημερομηνία γέννησης", "ημ γέννησης", "έτος γέννησης",
 ]
-_BIRTH = "(?:" + "|".join(BIRTH_LABELS) + ")"
-_DATE = r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{4}"
+_BIRTH = [[fold_text(w) for w in label.split()] for label in BIRTH_LABELS]
+#: What every page with such a label has, folded.
+_MAY_TELL = "birth|dob|nacimiento|рожд|народж|γεννησ|" + r"d\W{0,3}o\W{0,3}b"
+#: A date stands no further behind its label than this many characters.
+WITHIN = 40
 
 
 def sex_printed(text: Column) -> Column:
     """The answers to "sex" that a text states: an array of male and female, sorted.  The answer is the
-    first word after the label, on the same line."""
-    label = rf"(?imU)(?:^|[\s(\[|;])(?:{'|'.join(SEX_LABELS)})(?!\p{{L}})\s*[:-]?[ \t]*([^\s,;|]{{1,14}})"
-    said = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(label), F.lit(1)), lambda x: fold(F.btrim(x, F.lit(".:"))))
-    known = [F.when(F.arrays_overlap(said, F.array(*[F.lit(fold_text(w)) for w in words])), F.lit(sex)) for sex, words in sorted(SEX_ANSWERS.items())]
-    return F.array_compact(F.array(*known))
+    first word after the label, past one sign at most, on the same line."""
+    words = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+|\n|[^\s\p{L}]"), F.lit(0))
+    labels, answers = [fold_text(w) for w in SEX_LABELS], {fold_text(w): sex for sex, said in SEX_ANSWERS.items() for w in said}
 
+    def answer(word: Column, k: Column) -> Column:
+        sign = F.get(words, k + 1).isin(":", "-")
+        return F.when(word.isin(labels), F.when(sign, F.get(words, k + 2)).otherwise(F.get(words, k + 1)))
 
-@F.pandas_udf(T.ArrayType(T.DateType()))
-def _dates(snippets: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in snippets:
-        read = part.map(lambda texts: [(read_date(t) or {}).get("value") for t in texts])
-        yield read.map(lambda found: sorted({d for d in found if d is not None}))
+    said = F.transform(words, answer)
+    known = [F.when(F.exists(said, lambda x: x.isin([w for w, s in answers.items() if s == sex])), F.lit(sex)) for sex in sorted(SEX_ANSWERS)]
+    return F.transform(F.array_compact(F.array(*known)), lambda x: x)
 
 
-def birth_dates(text: Column) -> Column:
+def _labels(line: Line) -> list[tuple[int, int]]:
+    """(first, past the last) token of each birth label; full stops between its words do not matter."""
+    out = []
+    words = [fold_text(t.text) for t in line.tokens]
+    for k in range(len(words)):
+        for label in _BIRTH:
+            at = k
+            for n, want in enumerate(label):
+                while n and at < len(words) and words[at] == ".":
+                    at += 1
+                if at >= len(words) or not (words[at].startswith(want[:-1]) if want.endswith("-") else words[at] == want):
+                    break
+                at += 1
+            else:
+                out.append((k, at))
+                break
+    return out
+
+
+def birth_dates_of(text: str, today: date) -> list[date]:
+    """Of each label: the date that touches it in front, else the first one behind it, with one colon between
+    them at most."""
+    line, out = Line(text, today), set()
+    small = line.small
+    for first, past in _labels(line):
+        start = line.tokens[first].start
+        touching = [f for k in range(max(0, first - 5), first) for f in line.found(k) if f.last == first - 1 and not line.tokens[first].gap]
+        if touching:
+            out.add(min(touching, key=lambda f: f.first).value)
+            continue
+        end = line.tokens[past - 1].end
+        number = next((t for t in line.tokens[past:] if t.kind == "n"), None)
+        between = small[end : number.start] if number else ""
+        if not number or number.start - end > WITHIN or between.count(":") > 1 or "\n" in between.strip(" \t:.") or start == end:
+            continue
+        back = next((t for t in reversed(line.tokens[past:]) if t.end <= number.start and t.kind == "w"), None)  # a month may stand first
+        behind = small[back.start if back else number.start :].split("\n")[0]
+        read = read_date(behind[: 60].split(":")[0], today) or read_date(small[number.start : number.start + 30].split(":")[0], today)
+        if read:
+            out.add(read["value"])
+    return sorted(out)
+
+
+def birth_dates(text: Column, today: date | None = None) -> Column:
     """The dates printed beside a date-of-birth label, sorted: in front of it where one touches it, else
-    after it, up to the next colon.  A year alone is its first of January."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    touching = F.regexp_extract_all(lower, F.lit(rf"({_DATE}){_BIRTH}"), F.lit(1))
-    after = F.regexp_extract_all(lower, F.lit(rf"(?<!\d){_BIRTH}[^\d\n]{{0,40}}?(?=(\d[^:\n]{{0,29}}))"), F.lit(1))
-    snippets = F.concat(touching, after)
-    return F.when(F.size(snippets) > 0, _dates(snippets)).otherwise(F.array().cast("array<date>"))
+    after it.  A year alone is its first of January.  `today` (the driver's, if none is given) says
+    which century a short year is of."""
+    now = today or date.today()
+
+    @F.pandas_udf("array<date>")
+    def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(lambda t: birth_dates_of(t, now) if isinstance(t, str) else [])
+
+    return read(F.when(fold(text).rlike(_MAY_TELL), text))
 
 
 def dates_disagree(dates: Column) -> Column:

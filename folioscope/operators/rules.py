@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions.parsing import on_distinct, printed_ends, read_date, read_range, to_mmol, unit_key
+from ..functions.dates import quoted_dates
+from ..functions.parsing import on_distinct, printed_ends, read_range, to_mmol, unit_key
 from ..functions.text import fold, mixed_script_words, words
 from . import copies, suspects
 
@@ -270,8 +271,8 @@ def unit_from_range(t):
 @rule("value_quoted_from_another_study", "charts", "value", least_days=31, ahead=3)
 def value_quoted_from_another_study(t, least_days, ahead):
     """Values whose own line names a day at least a month from the document's date, and not after it."""
-    quoted = on_distinct(t["values"], ["snippet"], read_date, "value date, precision string, ambiguous boolean", "q_").where("q_precision = 'day' and year(q_value) >= 1900")
-    return _line(quoted.where((F.abs(F.datediff("date", "q_value")) >= least_days) & (F.datediff("q_value", "date") <= ahead)))
+    day = quoted_dates(F.col("snippet"), F.col("date"), least_days - 1, ahead)
+    return _line(t["values"].withColumn("_quoted", day).where("_quoted is not null"))
 
 
 @rule("one_scale_for_a_test", "charts", "value", on=False)

@@ -12,21 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import onto_one_scale
-from ..functions.parsing import MOLAR_MASS, on_distinct, power_of, read_date, read_range, to_mmol, unit_key, unit_of_range
+from ..functions.dates import quoted_dates
+from ..functions.parsing import MOLAR_MASS, on_distinct, power_of, read_range, to_mmol, unit_key, unit_of_range
 from ..operators.graph import cut_lineage
 
 KEYS = ["indicator_id", "material"]
 RETELLING_DAYS = 45
-QUOTED_DAYS = 31
 
 
 def with_quoted_dates(rows: DataFrame) -> DataFrame:
     """Values whose own line names another day, a month or more away, move to that day; `quoted`."""
-    read = on_distinct(rows, ["snippet"], read_date, "value date, precision string", "q_")
-    quoted = (F.col("q_precision") == "day") & (F.abs(F.datediff("date", "q_value")) >= QUOTED_DAYS) & (F.datediff("q_value", "date") <= 3)
-    quoted = F.coalesce(quoted & (F.year("q_value") >= 1900), F.lit(False))
-    out = read.withColumn("quoted", quoted).withColumn("date", F.when(F.col("quoted"), F.col("q_value")).otherwise(F.col("date")))
-    return out.drop("q_value", "q_precision")
+    read = rows.withColumn("_quoted", quoted_dates(F.col("snippet"), F.col("date")))
+    out = read.withColumn("quoted", F.col("_quoted").isNotNull()).withColumn("date", F.coalesce("_quoted", "date"))
+    return out.drop("_quoted")
 
 
 def without_retellings(rows: DataFrame) -> DataFrame:

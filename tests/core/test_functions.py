@@ -21,7 +21,7 @@ TODAY = date(2026, 5, 1)
 def test_ranges(text, want):
     got = read_range(text)
     assert (got and (got["low"], got["high"])) == want
-    assert printed_ends("10-2") == {"low": 10.0, "high": 2.0}
+    assert printed_ends("10-2") == {"low": 10.0, "high": 2.0, "two_ways": False}
 
 
 def test_outside(spark):
@@ -96,5 +96,5 @@ def test_on_distinct(spark):
     frame = spark.createDataFrame([(1, "3-5"), (2, "3-5"), (3, None), (4, "word")], "id long, t string")
     got = {r.id: (r.low, r.high) for r in on_distinct(frame, ["t"], read_range, "low double, high double").collect()}
     assert got == {1: (3.0, 5.0), 2: (3.0, 5.0), 3: (None, None), 4: (None, None)}
-    when = on_distinct(frame.select("id", F.lit("12.03.2020").alias("t")), ["t"], read_date, "value date, precision string, ambiguous boolean")
+    when = on_distinct(frame.select("id", F.lit("12.03.2020").alias("t")), ["t"], lambda t: read_date(t, TODAY), "value date, precision string, ambiguous boolean")
     assert when.first().value == date(2020, 3, 12)
