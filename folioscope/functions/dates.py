@@ -16,9 +16,9 @@ from .tokens import Token, small, spelled, tokens
 
 # How the months begin, in English, Spanish, Ukrainian, Russian and Greek.
 MONTHS = {
-    1: "jan ene січ янв ιαν", 2: "feb лют фев φεβ φλεβ", 3: "mar бер мар μαρ", 4: "apr abr кві апр απρ",
-    5: "may травен травн май мая μαι", 6: "jun черве июн ιουν", 7: "jul лип июл ιουλ", 8: "aug ago серп авг αυγ",
-    9: "sep set вер сен σεπ", 10: "oct жов окт οκτ", 11: "nov лист ноя νοε", 12: "dec dic груд дек δεκ",
+    1: "jan ene січ янв ιαν", 2: "feb лют фев φεβ φλεβ", 3: "mar берез мар μαρ", 4: "apr abr квіт апр απρ",
+    5: "may травен травн май мая μαι", 6: "jun черв июн ιουν", 7: "jul лип июл ιουλ", 8: "aug ago серп авг αυγ",
+    9: "sep set верес сен σεπ", 10: "oct жовт окт οκτ", 11: "nov листоп ноя νοε", 12: "dec dic груд дек δεκ",
 }
 # Words that say "this was done then".
 INTRODUCING = "від от с з from del de στις дата".split()
@@ -222,6 +222,8 @@ def quoted_date(text: str | None, document: date | None, apart: int = APART_DAYS
         return None
     line = Line(text, date(document.year + 1, 1, 1))
     every = [f for k in range(len(line.tokens)) for f in line.found(k) if f.how != "spaced" and f.precision != "year"]
+    days = [f for f in every if f.precision == "day"]
+    every = [f for f in every if f.precision == "day" or not any(d.first <= f.first and f.last <= d.last for d in days)]
 
     def far(f: Found) -> bool:
         days = (f.value - document).days

@@ -1171,3 +1171,6 @@ def review_rows(spark, sf_dir):
 def stale_sources(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_shipdate").alias("at"), "l_tax")
     return work.stale(lines.where("source <> 'R' and l_tax > 0.03"), lines).select("source", "stale")
+
+
+from . import printed_queries  # noqa: E402, F401  registers its own
