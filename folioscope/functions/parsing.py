@@ -51,16 +51,16 @@ MOLAR_MASS = {
     "glucose": 180.16, "cholesterol": 386.65, "triglyceride": 885.4, "creatinine": 113.12, "urea": 60.06, "uric acid": 168.11,
     "bilirubin": 584.66, "calcium": 40.08, "phosphate": 30.97, "magnesium": 24.305, "iron": 55.845,
 }
-_MOLES = {"mol/l": 1e3, "mmol/l": 1.0, "umol/l": 1e-3, "nmol/l": 1e-6}
-_GRAMS = {"g/l": 1e3, "g/dl": 1e4, "mg/l": 1.0, "mg/dl": 10.0, "ug/dl": 1e-2, "ug/l": 1e-3, "ng/ml": 1e-3}
+MOLES = {"mol/l": 1e3, "mmol/l": 1.0, "umol/l": 1e-3, "nmol/l": 1e-6}
+GRAMS = {"g/l": 1e3, "g/dl": 1e4, "mg/l": 1.0, "mg/dl": 10.0, "ug/dl": 1e-2, "ug/l": 1e-3, "ng/ml": 1e-3}
 
 
 def to_mmol(analyte: str | None, unit: str | None) -> dict | None:
     """The factor that brings a value of the analyte in this unit (a key) to mmol/l."""
-    if unit in _MOLES:
-        return {"factor": _MOLES[unit]}
+    if unit in MOLES:
+        return {"factor": MOLES[unit]}
     mass = MOLAR_MASS.get(analyte or "")
-    return {"factor": _GRAMS[unit] / mass} if mass and unit in _GRAMS else None
+    return {"factor": GRAMS[unit] / mass} if mass and unit in GRAMS else None
 
 
 def power_of(unit: str | None) -> int | None:

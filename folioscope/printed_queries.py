@@ -10,9 +10,10 @@ from .functions.dates import read_date
 from .functions.parsing import on_distinct
 from .functions.ranges import outside, read_range
 from .functions.slips import read_spellings, with_slips
+from .operators import rules
 from .plans import series
-from .plans.bindings import bound, table
-from .queries import query
+from .plans.bindings import bound
+from .queries import _DUCK_VALUES, PAPERS, SHEETS, VALUES, query
 
 
 def _concat(template: str) -> str:
@@ -117,3 +118,51 @@ def slipped_spellings(spark, sf_dir):
     vocabulary = rows.select(F.col("word").alias("meaning"), "word")
     read = read_spellings(rows.select("p_partkey", F.upper(printed).alias("printed")), "printed", with_slips(vocabulary, "meaning", "word"))
     return read.select("p_partkey", F.col("meaning").alias("indicator_id"), "slipped")
+
+
+# ---------------------------------------------------------------- what other thresholds would find, and what is open
+
+# Rules, and the thresholds that are tried.
+TRIED = {"number_far_from_the_others": [1.5, 2, 3, 5, 10, 50], "unit_missing_where_others_have_one": [1, 4, 10, 100], "page_text_missing": [5, 15, 20, 60], "page_text_short": [0.1, 0.5, 0.9], "value_quoted_from_another_study": [10, 20, 31, 45], "dates_far_apart": [0, 30, 60]}
+_TRIED = ", ".join(f"('{r}', {float(v)}::DOUBLE)" for r, values in TRIED.items() for v in values)
+
+
+@query(f"""WITH v AS ({_DUCK_VALUES}), d AS ({PAPERS}), p AS ({SHEETS}), t(rule, threshold) AS (VALUES {_TRIED}),
+  positive AS (SELECT * FROM v WHERE value_role = 'result' AND value_numeric > 0),
+  med AS (SELECT indicator_id AS i, coalesce(unit, '') AS u, coalesce(material, '') AS m, median(value_numeric) AS middle, count(*) AS n FROM positive GROUP BY 1, 2, 3),
+  habit AS (SELECT indicator_id AS i, count(*) AS n FROM v WHERE unit IS NOT NULL AND value_numeric IS NOT NULL GROUP BY 1),
+  w AS (SELECT document_id, len(regexp_extract_all(sent, '[a-z0-9]+')) AS sent, len(regexp_extract_all(got, '[a-z0-9]+')) AS got FROM p),
+  m AS (SELECT 'number_far_from_the_others' AS rule, document_id, greatest(value_numeric / middle, middle / value_numeric) AS x FROM positive JOIN med ON indicator_id = i AND coalesce(unit, '') = u AND coalesce(material, '') = m WHERE n >= 4
+   UNION ALL SELECT 'unit_missing_where_others_have_one', document_id, n FROM v JOIN habit ON indicator_id = i WHERE unit IS NULL AND value_numeric IS NOT NULL
+   UNION ALL SELECT 'page_text_missing', document_id, -length(trim(got)) FROM p UNION ALL SELECT 'page_text_short', document_id, -got / sent FROM w WHERE sent > 40
+   UNION ALL SELECT 'value_quoted_from_another_study', document_id, date - CAST(right(snippet, 10) AS DATE) FROM v WHERE snippet LIKE 'seen on %' AND date - CAST(right(snippet, 10) AS DATE) > 0
+   UNION ALL SELECT 'dates_far_apart', document_id, CASE WHEN document_id % 3 = 0 THEN document_id % 90 ELSE 0 END FROM d)
+  SELECT t.rule, threshold, count(document_id) AS findings, count(DISTINCT document_id) AS documents FROM t LEFT JOIN m ON t.rule = m.rule
+    AND CASE WHEN t.rule LIKE 'page_text%' THEN -x < threshold WHEN t.rule = 'dates_far_apart' THEN x > threshold ELSE x >= threshold END GROUP BY 1, 2""")
+def rule_trial(spark, sf_dir):
+    """What each of six rules would find at each of several thresholds; one pass a rule."""
+    documents = bound(spark, sf_dir, PAPERS, "orders").withColumn("page_dates", F.array("date", F.when(F.col("document_id") % 3 == 0, F.date_add("date", (F.col("document_id") % 90).cast("int"))).otherwise(F.col("date"))))
+    tables = {"values": bound(spark, sf_dir, VALUES, "lineitem", "part"), "documents": documents, "pages": bound(spark, sf_dir, SHEETS, "lineitem")}
+    tried = [rules.trial(tables, name, values) for name, values in TRIED.items()]
+    out = tried[0]
+    for more in tried[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+# Findings by the kinds of events, and which of them are settled.
+OPEN = """
+SELECT user_id AS document_id, CASE event_id % 9 WHEN 0 THEN 'page_text_missing' WHEN 1 THEN 'page_text_short' WHEN 2 THEN 'unreadable_parts' WHEN 3 THEN 'value_not_in_page_text' WHEN 4 THEN 'value_not_on_the_page'
+       WHEN 5 THEN 'number_differs' WHEN 6 THEN 'repeated_value' WHEN 7 THEN 'possible_copy' ELSE 'date_to_check' END AS rule, event_type FROM events
+"""
+
+
+@query(f"""WITH f AS ({OPEN}), s AS (SELECT DISTINCT document_id, rule FROM f WHERE event_type = 'purchase'), o AS (SELECT *, CASE WHEN rule LIKE 'page_text%' OR rule LIKE 'unread%' THEN 'transcription_incomplete'
+    WHEN rule LIKE 'value_not%' THEN 'value_not_on_the_page' WHEN rule IN ('number_differs', 'repeated_value') THEN 'checks_still_failing' ELSE 'other' END AS summary FROM f ANTI JOIN s USING (document_id, rule)),
+  k AS (SELECT document_id, count(DISTINCT rule) AS rules, count(DISTINCT summary) AS summaries FROM o GROUP BY 1), m AS (SELECT * FROM o JOIN k USING (document_id))
+  SELECT summary, rule, count(*) AS findings, count(DISTINCT document_id) AS documents, count(DISTINCT document_id) FILTER (rules = 1) AS only_here FROM m GROUP BY 1, 2
+  UNION ALL SELECT summary, NULL, count(*), count(DISTINCT document_id), count(DISTINCT document_id) FILTER (summaries = 1) FROM m GROUP BY 1 UNION ALL SELECT NULL, NULL, count(*), count(DISTINCT document_id), count(DISTINCT document_id) FROM m""")
+def open_summaries(spark, sf_dir):
+    """Open findings by rule, by what summarises it, and in all; settled ones are left out."""
+    found = bound(spark, sf_dir, OPEN, "events")
+    return rules.open_summaries(found.select("document_id", "rule"), found.where("event_type = 'purchase'"))
