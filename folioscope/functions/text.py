@@ -104,6 +104,9 @@ def squeezed(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
 def words(folded: Column) -> Column:
     """Runs of letters and digits."""
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")

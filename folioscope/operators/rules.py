@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions.dates import quoted_dates
 from ..functions.parsing import GRAMS, MOLAR_MASS, MOLES, on_distinct, printed_ends, unit_key, unit_of_range
-from ..functions.text import fold, mixed_script_words, words
+from ..functions.text import WORD, fold, mixed_script_words, words
 from . import copies, suspects
 from .graph import cut_lineage
 
@@ -78,6 +78,14 @@ def _read_reference(reference: str | None, unit: str | None) -> dict:
     return {"low": None if reversed_ else low, "high": None if reversed_ else high, "reversed": reversed_, "names": unit_of_range(reference)}
 
 
+def _or_empty(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def _word_count(column: str) -> Column:
+    return F.regexp_count(_or_empty(column), F.lit(WORD))
+
+
 class Prepared:
     """The subject tables with what the rules read of them, each made once and only if a rule asks."""
 
@@ -99,9 +107,15 @@ class Prepared:
 
     @cached_property
     def met(self) -> DataFrame:
-        """Values with their pages."""
-        own = ["document_id", "page", "value", "value_kind", "reference", "snippet"]
-        return self.values.select(*own).join(self._tables["pages"].select("document_id", "page", "sent", "got", "as_text"), ["document_id", "page"])
+        """Values with their pages, both without blanks and with their numbers cut out, once each."""
+        packed = lambda c: F.regexp_replace(_or_empty(c), r"\s+", "")
+        numbers = lambda c: F.transform(N.number_tokens(_or_empty(c)), lambda x: F.regexp_replace(x, r"\s+", ""))
+        own = self.values.select(
+            "document_id", "page", "value", "value_kind", "snippet", packed("value").alias("value_packed"), packed("reference").alias("reference_packed"),
+            numbers("value").alias("value_numbers"), numbers("reference").alias("reference_numbers"),
+        )
+        pages = self._tables["pages"].select("document_id", "page", "as_text", packed("sent").alias("sent_packed"), packed("got").alias("got_packed"), _word_count("sent").alias("sent_words"))
+        return own.join(pages, ["document_id", "page"])
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -387,10 +401,6 @@ def unit_by_numbers(t, agreement, least_to_join):
 # ------------------------------------------------------------------ step extract
 
 
-def _or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 @row_rule("page_text_missing", "extract", "pages", least=20)
 def page_text_missing(least):
     return F.length(F.trim(_or_empty("got"))) < least
@@ -398,7 +408,7 @@ def page_text_missing(least):
 
 @row_rule("page_text_short", "extract", "pages", sent_words=40, share=0.5)
 def page_text_short(sent_words, share):
-    sent, got = (F.size(words(_or_empty(c))) for c in ("sent", "got"))
+    sent, got = _word_count("sent"), _word_count("got")
     return (sent > sent_words) & (got < share * sent)
 
 
@@ -442,15 +452,15 @@ def word_in_two_alphabets():
 def _absent(as_text: bool, column: str, against: str, numbers_only: bool) -> Column:
     """Whether `column` of a value has a number, or is as a whole, what the text of its page has not."""
     of_page = (F.coalesce("value_kind", F.lit("")) != "qualitative") & (F.col("as_text") == as_text)
-    page = F.regexp_replace(_or_empty(against), r"\s+", "")
+    page = F.col(f"{against}_packed")
     if not numbers_only:
-        return of_page & ~F.contains(page, F.regexp_replace(_or_empty(column), r"\s+", ""))
-    return of_page & F.exists(N.number_tokens(_or_empty(column)), lambda x: ~F.contains(page, F.regexp_replace(x, r"\s+", "")))
+        return of_page & ~F.contains(page, F.col(f"{column}_packed"))
+    return of_page & F.exists(f"{column}_numbers", lambda x: ~F.contains(page, x))
 
 
 @row_rule("value_not_on_the_page", "extract", "met", line=_snippet, least_words=40)
 def value_not_on_the_page(least_words):
-    return (F.size(words(_or_empty("sent"))) >= least_words) & _absent(True, "value", "sent", True)
+    return (F.col("sent_words") >= least_words) & _absent(True, "value", "sent", True)
 
 
 @row_rule("value_not_in_page_text", "extract", "met", line=_snippet)
@@ -535,7 +545,7 @@ METRICS = {
 
 
 def _share_of_words(t: Prepared, sent_words: int) -> DataFrame:
-    sent, got = (F.size(words(_or_empty(c))) for c in ("sent", "got"))
+    sent, got = _word_count("sent"), _word_count("got")
     return t["pages"].where(sent > sent_words).select("document_id", (got / sent).alias("metric"))
 
 
