@@ -19,7 +19,7 @@ from .plans import people, reading, series, views, work
 from .plans.bindings import DOCUMENTS, WITH, archive, bound, table
 from .plans.search import count_hits, found, hits, indicators_matching, keep_index, kept_hits, postings
 from .session import shared_folder
-from .streaming import streams
+from .streaming import expiring, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -947,8 +947,35 @@ def stream_session(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedupe(spark, sf_dir):
-    """Each event once, though the stream may bring it again within the watermark."""
-    return _finished(streams.first_of_key(_stream(spark, sf_dir), ["event_id"], "ts")).select("event_id", "user_id")
+    """Each event once, though the stream brings every one of them twice."""
+    twice = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir))
+    return _finished(streams.first_of_key(twice, ["event_id"], "ts")).select("event_id", "user_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+  r AS (SELECT user_id, ts, k, 0::BIGINT AS repeats FROM e WHERE k = 1
+    UNION ALL SELECT n.user_id, n.ts, n.k, n.k - r.k - 1 FROM r, LATERAL (SELECT user_id, ts, k FROM e WHERE e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 12 HOURS ORDER BY k LIMIT 1) n)
+  SELECT user_id, ts AS at, repeats FROM r""")
+def stream_throttled(spark, sf_dir):
+    """A user's first event, then silence for half a day; how many were held back; state that expires."""
+    out = _finished(expiring.throttled(_stream(spark, sf_dir), "user_id", "ts", quiet=12 * 3600, keep=90 * 86_400))
+    return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), "repeats")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type = 'purchase' AS ok, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rights FROM events),
+  g AS (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id, rights ORDER BY ts) > INTERVAL 3 DAYS, FALSE))::INT AS b FROM e WHERE NOT ok),
+  i AS (SELECT *, sum(b) OVER (PARTITION BY user_id, rights ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, rights, island ORDER BY ts) AS nth FROM i)
+  SELECT user_id, ts AS at, CASE nth // 2 WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 15 END AS minutes, TRUE AS as_in_batch FROM n WHERE nth % 2 = 0""")
+def stream_waits(spark, sf_dir):
+    """Waits that grow with every second event that is no purchase; state that expires; and the same by windows."""
+    rules = {"run": 2, "quiet_minutes": 3 * 24 * 60}
+    bought = _stream(spark, sf_dir).withColumn("right", F.col("event_type") == "purchase")
+    out = _finished(expiring.waiting(bought, "user_id", "ts", "right", **rules))
+    log = table(spark, sf_dir, "events").withColumn("right", F.col("event_type") == "purchase")
+    twin = expiring.waits_of_log(log, "user_id", "ts", "right", **rules).select("user_id", F.col("ts").alias("at"), "minutes", F.lit(True).alias("as_in_batch"))
+    stream = out.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), "minutes")
+    same = twin.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return stream.join(same, ["user_id", "at", "minutes"], "full").select("user_id", "at", "minutes", F.coalesce("as_in_batch", F.lit(False)).alias("as_in_batch"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")

@@ -12,7 +12,7 @@ from folioscope.plans.archive import page_of
 from folioscope.plans.series import bands, charts, why_no_line
 from folioscope.sources import files as S
 from folioscope.sources import logs
-from folioscope.streaming import streams
+from folioscope.streaming import expiring, streams
 
 SF = "/root/testdata/sf0.001"
 LOG = StructType([StructField("seq", LongType()), StructField("key", StringType())])
@@ -115,13 +115,13 @@ def test_stream_state(spark, tmp_path):
     folder = str(tmp_path / "r")
     spark.createDataFrame(rows, "who string, at timestamp, ok boolean").coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema("who string, at timestamp, ok boolean").parquet(folder)
-    got = run_stream(streams.throttled(stream, "who", "at"), "throttled").collect()
+    got = run_stream(expiring.throttled(stream, "who", "at"), "throttled").collect()
     assert sorted((r.who, (r.at - t0).seconds, r.repeats) for r in got) == [("a", 0, 0), ("a", 60, 2), ("a", 130, 0), ("b", 0, 0)]
     rows = [("a", t0 + timedelta(seconds=s), s == 12) for s in range(24)]
     folder = str(tmp_path / "w")
     spark.createDataFrame(rows, "who string, at timestamp, ok boolean").coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema("who string, at timestamp, ok boolean").parquet(folder)
-    got = run_stream(streams.waiting(stream, "who", "at", "ok"), "waiting").collect()
+    got = run_stream(expiring.waiting(stream, "who", "at", "ok"), "waiting").collect()
     assert sorted(((r.at - t0).seconds, r.minutes) for r in got) == [(4, 1), (9, 5), (17, 1), (22, 5)]
 
 
@@ -170,3 +170,23 @@ def test_page(spark):
     assert [r.id for r in page["rows"]] == [8, 9] and page["total"] == 10 and page["next_offset"] is None
     assert page_of(spark.range(10), [F.col("id")], 4)["next_offset"] == 4
     assert json.dumps(page["returned"]) == "2"
+
+
+def test_state_expires(spark, tmp_path):
+    """Batches by file: what a key held is gone once the watermark has passed its time."""
+    t0, folder = datetime(2024, 1, 1), tmp_path / "in"
+    folder.mkdir()
+    batches = [[("a", 0), ("a", 5), ("b", 0)], [("c", 8000)], [("c", 9000)], [("a", 9010), ("b", 9020), (None, 9020)]]
+    for k, batch in enumerate(batches):
+        rows = [(w, t0 + timedelta(seconds=s)) for w, s in batch]
+        spark.createDataFrame(rows, "who string, at timestamp").coalesce(1).write.parquet(str(folder / f"{k}.parquet"))
+    stream = spark.readStream.schema("who string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder))
+    out = expiring.throttled(stream, "who", "at", quiet=60, keep=600, late="0 seconds")
+    base = str(tmp_path / "out")
+    query = out.writeStream.format("parquet").option("path", base).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(((r.at - t0).seconds, r.who, r.repeats) for r in spark.read.schema(out.schema).parquet(base).collect())
+    assert [(s, w) for s, w, _ in got] == [(0, "a"), (0, "b"), (8000, "c"), (9000, "c"), (9010, "a"), (9020, "b")]
+    assert all(repeats == 0 for *_, repeats in got)  # the one held back of "a" is forgotten with its state
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (p.json for p in query.recentProgress)) if p["stateOperators"]]
+    assert rows[-1] <= 4 and max(rows) >= 3
