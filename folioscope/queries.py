@@ -19,6 +19,7 @@ from .plans import people, reading, series, views, work
 from .plans.bindings import DOCUMENTS, WITH, archive, bound, table
 from .plans.search import count_hits, found, hits, indicators_matching, keep_index, kept_hits, postings
 from .session import shared_folder
+from .sources.store import Store
 from .streaming import expiring, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -980,12 +981,27 @@ def stream_waits(spark, sf_dir):
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_latest(spark, sf_dir):
-    """Last-wins state kept by a foreachBatch sink."""
+    """Last-wins state kept by a foreachBatch sink: deltas under a manifest."""
     base = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
-    sink = streams.keep_latest(f"{base}/out", ["user_id"], "event_id")
+    sink = streams.keep_latest(spark, f"{base}/out", ["user_id"], "event_id")
     log = _stream(spark, sf_dir).select("user_id", "event_id")
     log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return streams.latest_state(spark, f"{base}/out").select("user_id", "event_id")
+    return Store(spark, f"{base}/out", ["user_id"], "event_id").read().select("user_id", "event_id")
+
+
+@query("""WITH n AS (SELECT *, ntile(4) OVER (ORDER BY event_id) AS part FROM events), v AS (SELECT unnest([1, 2, 4]) AS version)
+  SELECT version, user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM n JOIN v ON part <= version GROUP BY 1, 2""")
+def store_versions(spark, sf_dir):
+    """A store after its first, second and fourth change: deltas merged on read, a base once they outgrow it, and
+    each version still readable."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    edges = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", ["user_id"], "event_id", outgrown=0.9)
+    bounds = [float("-inf"), *edges, float("inf")]
+    for low, high in zip(bounds, bounds[1:]):
+        store.commit(events.where((F.col("event_id") > low) & (F.col("event_id") <= high)))
+    out = [store.read(v).select(F.lit(v).alias("version"), "user_id", "event_id", "event_type") for v in (1, 2, 4)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # ---------------------------------------------------------------- units and scales

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compaction import latest_by
+from ..sources.store import Store
 
 
 def event_time(stream: DataFrame, at: str, late: str = "1 hour") -> DataFrame:
@@ -36,60 +36,7 @@ def first_of_key(stream: DataFrame, keys: list[str], at: str, late: str = "1 hou
     return event_time(stream, at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def keep_latest(path: str, keys: list[str], *place: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: compacts each batch with what is at `path`, last place wins.
-
-    The state is cut into `parts` by a hash of the keys, and a batch rewrites those that it
-    touches.  Each batch writes a generation of its own, so a batch that runs again writes the
-    same; of a part, generations older than the one that this batch read are removed.
-    """
-    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_part", part)
-        touched = {r["_part"] for r in rows.select("_part").distinct().collect()}  # `parts` at most
-        if not touched:
-            return
-        held = {k: found for k, found in _generations(spark, path, before=epoch).items() if k in touched}
-        if held:
-            old = spark.read.schema(batch.schema).parquet(*[_place(path, found[-1], k) for k, found in held.items()])
-            rows = rows.unionByName(old.withColumn("_part", part))
-        latest_by(rows, [*keys, "_part"], *place).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/generation={epoch}")
-        fs, at = _file_system(spark, path)
-        for k, found in held.items():
-            for generation in found[:-1]:
-                fs.delete(at(_place(path, generation, k)), True)
-
-    return sink
-
-
-def _place(path: str, generation: int, part: int) -> str:
-    return f"{path}/generation={generation}/_part={part}"
-
-
-def _file_system(spark, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def _generations(spark, path: str, before: int | None = None) -> dict[int, list[int]]:
-    """For each part the whole generations that have it, oldest first, found through the cluster's file system."""
-    fs, at = _file_system(spark, path)
-    out: dict[int, list[int]] = {}
-    for status in fs.listStatus(at(path)) if fs.exists(at(path)) else ():
-        name = status.getPath().getName()
-        if not name.startswith("generation=") or not fs.exists(at(status.getPath(), "_SUCCESS")):
-            continue
-        generation = int(name.removeprefix("generation="))
-        if before is None or generation < before:
-            for inner in fs.listStatus(status.getPath()):
-                if inner.getPath().getName().startswith("_part="):
-                    out.setdefault(int(inner.getPath().getName().removeprefix("_part=")), []).append(generation)
-    return {k: sorted(found) for k, found in out.items()}
-
-
-def latest_state(spark, path: str) -> DataFrame | None:
-    """What keep_latest() holds: the newest whole generation of each part."""
-    found = _generations(spark, path)
-    return spark.read.parquet(*[_place(path, g[-1], k) for k, g in sorted(found.items())]) if found else None
+def keep_latest(spark: SparkSession, path: str, keys: list[str], *place: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the newest row of each key in a Store: a batch writes its own rows, not
+    the state, and counts once though it may run again."""
+    return Store(spark, path, keys, *place).sink()

@@ -12,6 +12,7 @@ from folioscope.plans.archive import page_of
 from folioscope.plans.series import bands, charts, why_no_line
 from folioscope.sources import files as S
 from folioscope.sources import logs
+from folioscope.sources.store import Store
 from folioscope.streaming import expiring, streams
 
 SF = "/root/testdata/sf0.001"
@@ -103,9 +104,9 @@ def test_stream_latest(spark, events, tmp_path):
     path = str(tmp_path / "state")
     keyed = stream.select("user_id", "event_id", "value")
     for _ in range(2):  # again from the checkpoint: nothing new
-        q = keyed.writeStream.foreachBatch(streams.keep_latest(path, ["user_id"], "event_id")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q = keyed.writeStream.foreachBatch(streams.keep_latest(spark, path, ["user_id"], "event_id")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination()
-    got = {r.user_id: r.event_id for r in streams.latest_state(spark, path).collect()}
+    got = {r.user_id: r.event_id for r in Store(spark, path, ["user_id"], "event_id").read().collect()}
     assert got == {r.user_id: r.m for r in rows.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
 
 
