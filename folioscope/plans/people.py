@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.doctors import doctors_in_text  # noqa: F401
 from ..functions.text import fold, words
 from ..operators.graph import components
 from ..operators.rules import looks_like_a_person
@@ -50,20 +51,6 @@ def families(pairs: DataFrame) -> DataFrame:
     return label.join(head, "component").select(F.col("node").alias("name"), "family")
 
 
-#: What introduces a doctor's name, and the shapes of one: surname and initials, either way, or two or three words.
-_LABEL = r"(?:dr|prof|doctor|physician|врач|доктор|лікар|проф|медик|médico|doctora?|dra|ιατρ[οό]ς)"
-_SHAPE = r"(\p{Lu}[\p{Ll}’']+(?:-\p{Lu}\p{Ll}+)?\s+\p{Lu}\.\s?(?:\p{Lu}\.)?|\p{Lu}\.\s?(?:\p{Lu}\.\s?)?\p{Lu}[\p{Ll}’']+|\p{Lu}[\p{Ll}’']+(?:\s+\p{Lu}[\p{Ll}’']+){1,2})"
-
-
-def doctors_in_text(pages: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
-    """(id, name): names after a doctor's label, line by line; brackets are blanked and lines of a
-    referral ("sent by") are passed over."""
-    line = F.regexp_replace(F.col("line"), r"\([^)]*\)", " ")
-    lines = pages.select(id_col, F.explode(F.split(text_col, "\n")).alias("line")).where(~F.col("line").rlike(r"(?iU)\b(referred|sent by|направ\w*|remitid\w*)"))
-    found = F.regexp_extract_all(line, F.lit(rf"(?<!\p{{L}})(?iu:{_LABEL})[.:\s]+{_SHAPE}"), F.lit(1))
-    return lines.select(id_col, F.explode(found).alias("name")).select(id_col, F.trim("name").alias("name"))
-
-
 def who_stands_in_the_text(found: DataFrame, id_col: str = "document_id") -> DataFrame:
     by = found.withColumn("folded", fold(F.col("name"))).groupBy("folded")
     return by.agg(F.min("name").alias("name"), F.countDistinct(id_col).alias("documents"), F.count(F.lit(1)).alias("times"))
