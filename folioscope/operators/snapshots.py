@@ -44,8 +44,12 @@ def digests(rows: DataFrame, keys: list[str], edges: DataFrame) -> DataFrame:
 
 
 def _place(keys: list[str]) -> Column:
-    """In which range a row's key is: how many edges are not above it."""
-    return F.size(F.filter("edges", lambda e: e <= F.struct(*keys)))
+    """In which range a row's key is: how many edges after the first are not above it, counted by steps of FAN."""
+    key = F.struct(*keys)
+    reached = lambda edges: F.size(F.filter(edges, lambda e: e <= key))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size("edges") - 1) / FAN).cast("int")), lambda k: F.get("edges", k * FAN))
+    whole = F.greatest(reached(steps) - 1, F.lit(0)) * FAN
+    return F.greatest(whole + reached(F.slice("edges", whole + 1, F.lit(FAN))) - 1, F.lit(0))
 
 
 def first_difference(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

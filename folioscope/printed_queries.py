@@ -1,4 +1,5 @@
-"""Queries over what forms print: ranges, dates, spellings.  Every row prints its own numbers."""
+"""Queries over what forms print (ranges, dates, spellings, names) and over what is kept of it.  Every row prints
+its own numbers."""
 
 from __future__ import annotations
 
@@ -10,9 +11,9 @@ from .functions.dates import read_date
 from .functions.parsing import on_distinct
 from .functions.ranges import outside, read_range
 from .functions.slips import read_spellings, with_slips
-from .operators import rules
-from .plans import series
-from .plans.bindings import bound
+from .operators import rules, snapshots
+from .plans import people, series, vocabulary
+from .plans.bindings import bound, table
 from .queries import _DUCK_VALUES, PAPERS, SHEETS, VALUES, query
 
 
@@ -166,3 +167,116 @@ def open_summaries(spark, sf_dir):
     """Open findings by rule, by what summarises it, and in all; settled ones are left out."""
     found = bound(spark, sf_dir, OPEN, "events")
     return rules.open_summaries(found.select("document_id", "rule"), found.where("event_type = 'purchase'"))
+
+
+# ---------------------------------------------------------------- the vocabulary
+
+# Spellings that two tests hold, the later edit owning them; some waiting, some of tests not approved.
+STORED = """
+SELECT split_part(p_name, ' ', 2) AS indicator_id, split_part(p_name, ' ', 2) AS label, CASE WHEN p_size = 50 THEN 'proposed' ELSE 'approved' END AS status,
+       concat(CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END, CASE WHEN p_size < 20 THEN '''' ELSE '' END, ' ', CAST(p_size % 7 AS STRING)) AS spelling,
+       p_retailprice > 1500 AS proposed, p_partkey AS edited FROM part
+"""
+NAMED = "SELECT l_orderkey, l_linenumber, concat(initcap(split_part(p_name, ' ', 1)), ' ', CAST(l_suppkey % 8 AS STRING)) AS name, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey"
+_REFOLDED = f"""s AS ({STORED}), r AS (SELECT indicator_id, lower(replace(spelling, '''', '')) AS folded, arg_max(status, edited) AS status, bool_and(proposed) AS proposed, max(edited) AS edited FROM s GROUP BY 1, 2),
+  a AS (SELECT * FROM r WHERE status = 'approved' AND NOT proposed), o AS (SELECT folded, arg_max(indicator_id, edited) AS owner FROM a GROUP BY 1)"""
+
+
+@query(f"WITH {_REFOLDED}, c AS (SELECT folded, list_sort(list(DISTINCT indicator_id)) AS ids FROM a GROUP BY 1) SELECT folded, array_to_string(ids, ',') AS claimed_by, owner FROM c JOIN o USING (folded) WHERE len(ids) > 1")
+def names_claimed_twice(spark, sf_dir):
+    """Spellings that several tests hold, folded as of today, and the test that took each last."""
+    out = vocabulary.names_claimed_twice(bound(spark, sf_dir, STORED, "part"))
+    return out.select("folded", F.array_join("claimed_by", ",").alias("claimed_by"), "owner")
+
+
+@query(f"""WITH {_REFOLDED}, v AS ({NAMED.replace("initcap(split_part(p_name, ' ', 1))", "split_part(p_name, ' ', 1)")})
+  SELECT owner AS indicator_id, count(*) AS "values", round(sum(l_quantity), 2) AS total FROM v LEFT JOIN o ON folded = name GROUP BY 1""")
+def values_to_indicators(spark, sf_dir):
+    """Values by the test that owns their printed name."""
+    met = vocabulary.values_to_indicators(bound(spark, sf_dir, NAMED, "lineitem", "part"), bound(spark, sf_dir, STORED, "part"))
+    return met.groupBy("indicator_id").agg(F.count(F.lit(1)).alias("values"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+_GROUPS = {
+    "proposed": "SELECT o_custkey AS \"group\", o_orderpriority AS name FROM orders WHERE o_orderstatus <> 'P'",
+    "settled": "SELECT p_size % 3 AS \"group\", CASE p_size % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-high' ELSE '3-MEDIUM' END AS name FROM part UNION ALL SELECT 0, '5-LOW' FROM part",
+    "refused": "SELECT l_suppkey AS \"group\", CASE WHEN l_returnflag = 'A' THEN '4-NOT SPECIFIED' ELSE '2-HIGH' END AS name FROM lineitem",
+}
+
+
+@query(f"""WITH p AS (SELECT DISTINCT "group" AS g, lower(name) AS name FROM ({_GROUPS['proposed']})), t AS (SELECT DISTINCT "group" AS w, lower(name) AS name FROM ({_GROUPS['settled']})),
+  r AS (SELECT DISTINCT array_to_string(list_sort(list(DISTINCT lower(name))), '|') AS signature FROM ({_GROUPS['refused']}) GROUP BY "group"),
+  s AS (SELECT g, array_to_string(list_sort(list(name)), '|') AS signature, count(*) AS n FROM p GROUP BY 1),
+  w AS (SELECT g, min(w) AS within FROM (SELECT g, w, count(*) AS k FROM p JOIN t USING (name) GROUP BY 1, 2) JOIN s USING (g) WHERE k = n GROUP BY 1),
+  l AS (SELECT g, array_to_string(list_sort(list(name)), '|') AS left_over FROM p WHERE name NOT IN (SELECT name FROM t) GROUP BY 1)
+  SELECT g AS "group", CASE WHEN signature IN (SELECT signature FROM r) THEN 'refused' WHEN within IS NOT NULL THEN 'settled' ELSE 'open' END AS verdict, within, coalesce(left_over, '') AS left_over
+  FROM s LEFT JOIN w USING (g) LEFT JOIN l USING (g)""")
+def group_decisions(spark, sf_dir):
+    """Groups of names turned down before as exactly this set, within one settled group, or open; and what is left of them."""
+    sets = {k: bound(spark, sf_dir, sql.replace('"group"', "`group`"), "orders", "part", "lineitem") for k, sql in ((k, v) for k, v in _GROUPS.items())}
+    return vocabulary.group_decisions(**sets).withColumn("left_over", F.array_join("left_over", "|"))
+
+
+_EVERYDAY = [(["red thing"], ["RED"]), (["nothing at all"], ["no such name"])]
+_LANGUAGES = "SELECT coalesce(substring(o_orderpriority, 3, 20), 'not said') AS language, count(*) AS documents FROM orders GROUP BY 1"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS id, lower(p_name) AS name FROM part), l AS ({_LANGUAGES})
+  SELECT 'by name' AS question, 'test' AS kind, id AS answer, '' AS said, CAST(NULL AS BIGINT) AS documents FROM n WHERE contains(name, 'blue') GROUP BY id
+  UNION ALL SELECT 'by word', 'test', id, 'Red thing', NULL FROM n WHERE contains(name, 'red') GROUP BY id
+  UNION ALL SELECT 'by neither', 'language', language, 'nothing at all', documents FROM l""")
+def tests_asked(spark, sf_dir):
+    """A question that names answer, one that only an everyday word answers, and one that nothing does."""
+    names = bound(spark, sf_dir, "SELECT split_part(p_name, ' ', 2) AS indicator_id, p_name AS name FROM part", "part")
+    documents = bound(spark, sf_dir, "SELECT o_orderkey AS document_id, substring(o_orderpriority, 3, 20) AS language FROM orders", "orders")
+    out = None
+    for how, question in (("by name", "BLUE"), ("by word", "Red thing"), ("by neither", "nothing at all")):
+        part = vocabulary.tests_asked(names, documents, question, _EVERYDAY).withColumn("question", F.lit(how))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Lines with a doctor, and the name that each prints; without one, none proves itself.
+SURNAMES = "Квазитрофенко,Пселлофазюк,Іваненко,Коваль,Петренко,Мельник,Шевченко"
+DOCTOR_LINES = [
+    ("Лікар: {s} А.В.", "{s} А.В."), ("Зав. відділенням    к.м.н.  [підпис]  О.П.{s}", "О.П.{s}"), ("Врач: КДЦ {s}  І. І.", "{s} І. І."), ("Лікар {s} Орися Павлівна", "{s} Орися Павлівна"), ("Направив лікар {s} А.В.", ""),
+    ("Лікар {s}", ""), ("Лікарняний лист видано пацієнтові {s} А.В.", ""), ("Завідуюча КДЛ {s}", ""), ("DRA. QUALTRINA VEXMOOR", "QUALTRINA VEXMOOR"), ("Лікар {s} О.П. направив Інший І.І.", "{s} О.П."),
+]
+_D = len(DOCTOR_LINES)
+_SURNAME = f"SELECT o_orderkey AS document_id, o_custkey % {_D} AS form, split_part('{SURNAMES}', ',', CAST(o_custkey % 7 + 1 AS INT)) AS s FROM orders"
+PAPER = f"SELECT document_id, concat('Form 5\\n', {_case('form', [_concat(f[0]) for f in DOCTOR_LINES])}, '\\nend') AS text FROM ({_SURNAME}) AS o"
+
+
+@query(f"""WITH o AS ({_SURNAME}), n AS (SELECT document_id, {_case('form', [_concat(f[1]) if f[1] else 'NULL' for f in DOCTOR_LINES])} AS name FROM o)
+  SELECT name, count(DISTINCT document_id) AS documents, count(*) AS times FROM n WHERE name IS NOT NULL GROUP BY 1""")
+def who_stands_in_the_text(spark, sf_dir):
+    """Doctors that papers name, by a table function in a lateral join; each document counts once."""
+    found = people.doctors_in_text(bound(spark, sf_dir, PAPER, "orders"))
+    return people.who_stands_in_the_text(found).select("name", "documents", "times")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 97 = 5 AND l_orderkey > 300 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem),
+  d AS ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)), k AS (SELECT l_orderkey, l_linenumber FROM d ORDER BY 1, 2 LIMIT 1)
+  SELECT 'changed' AS run, l_orderkey, l_linenumber, count(*) AS in_one, count(*) AS in_other FROM a JOIN k USING (l_orderkey, l_linenumber) GROUP BY 2, 3""")
+def snapshot_differences(spark, sf_dir):
+    """The first key at which two runs differ, and none for two that are alike; only one range of keys is looked at."""
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
+    moved = F.when((F.col("l_suppkey") % 97 == 5) & (F.col("l_orderkey") > 300), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    other, one = one.withColumn("l_quantity", moved).drop("l_suppkey"), one.drop("l_suppkey")
+    keys = ["l_orderkey", "l_linenumber"]
+    changed = snapshots.first_difference(one, other, keys).withColumn("run", F.lit("changed"))
+    alike = snapshots.first_difference(one, one.repartition(7, "l_quantity"), keys).withColumn("run", F.lit("alike"))
+    return changed.unionByName(alike)
+
+
+@query("SELECT 256 AS ranges, count(*) AS \"rows\", TRUE AS alike, FALSE AS changed_alike FROM lineitem")
+def snapshot_digests(spark, sf_dir):
+    """The root of the digests of a table, of the same rows in another order, and of a table with one row changed."""
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    keys = ["l_orderkey", "l_linenumber"]
+    last = one.agg(F.max("l_orderkey").alias("last"))
+    other = one.crossJoin(F.broadcast(last)).withColumn("l_quantity", F.when(F.col("l_orderkey") == F.col("last"), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).drop("last")
+    cut = snapshots.edges(one, keys)
+    root = lambda t: snapshots.digests(t, keys, cut).where("level = 2").select("digest", "n")
+    met = root(one).crossJoin(F.broadcast(root(one.repartition(5, "l_quantity")).select(F.col("digest").alias("same")))).crossJoin(F.broadcast(root(other).select(F.col("digest").alias("changed"))))
+    return met.select(F.lit(snapshots.LEAVES).alias("ranges"), F.col("n").alias("rows"), (F.col("digest") == F.col("same")).alias("alike"), (F.col("digest") == F.col("changed")).alias("changed_alike"))
