@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import with_groups
+
 
 def medians(values: DataFrame, keys: list[str], number: str) -> DataFrame:
     """keys, `median` (exact) and `n` of the numbers that are not null.
@@ -15,7 +17,7 @@ def medians(values: DataFrame, keys: list[str], number: str) -> DataFrame:
     counts = values.where(F.col(number).isNotNull()).groupBy(*keys, F.col(number).alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
     totals = counts.groupBy(*keys).agg(F.sum("_k").alias("n"))
     upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    met = counts.withColumn("_upto", upto).join(totals, keys)
+    met = with_groups(counts.withColumn("_upto", upto), totals, {k: f"_key_{k}" for k in keys})  # null keys are keys
     holds = lambda place: (F.col("_upto") - F.col("_k") < place) & (place <= F.col("_upto"))
     lower, upper = holds(F.ceil(F.col("n") / 2)), holds(F.floor(F.col("n") / 2) + 1)
     middle = (F.max(F.when(lower, F.col("_x"))) + F.max(F.when(upper, F.col("_x")))) / 2

@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.units import onto_one_scale
 from ..functions.dates import quoted_dates
 from ..functions.parsing import MOLAR_MASS, on_distinct, power_of, read_range, to_mmol, unit_key, unit_of_range
+from ..functions.units import ends_agree, fits_range, onto_one_scale, same_size, with_groups
 from ..operators.graph import cut_lineage
+from ..operators.suspects import medians
 
 KEYS = ["indicator_id", "material"]
 RETELLING_DAYS = 45
@@ -70,15 +71,70 @@ def with_scales(rows: DataFrame) -> DataFrame:
 
 
 def placed_by_numbers(rows: DataFrame, agreement: float = 2.0, least: int = 2) -> DataFrame:
-    """Values without a unit join the only scale of their test and material whose spread they fit."""
-    spread = rows.where("scale <> '' and number > 0").groupBy(*KEYS, F.col("scale").alias("to_scale")).agg(
+    """Values without a unit join the only scale of their test and material that the evidence leaves;
+    `by_numbers` marks them.  All numbers of a test are placed together, or none.
+
+    The evidence comes in stages, each asked only where the one before says nothing.  A range printed
+    beside them, at its widest, must fit the scale's numbers.  Without one, their spread must agree
+    with the scale's at both ends (a single number must fit into it), or else each of them must be
+    the size of the value nearest in time on that scale, before or after it.  Scales of fewer than
+    `least` values are not joined, and where two are left nothing is.
+    """
+    numbers = rows.where("number is not null").withColumn("_bare", F.col("scale") == "")
+    scales = numbers.where("not _bare").groupBy(*KEYS, F.col("scale").alias("to_scale")).agg(
         F.min("number").alias("least"), F.max("number").alias("most"), F.count(F.lit(1)).alias("n")
     )
-    bare = rows.where("scale = '' and number > 0").select(*KEYS, "observation_id", "number")
-    same = bare["indicator_id"].eqNullSafe(spread["indicator_id"]) & bare["material"].eqNullSafe(spread["material"])
-    fits = bare.join(spread.where(F.col("n") >= least), same).where((F.col("number") * agreement >= F.col("least")) & (F.col("number") <= F.col("most") * agreement))
-    one = fits.groupBy("observation_id").agg(F.min("to_scale").alias("to_scale"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-    return rows.join(one, "observation_id", "left").withColumn("scale", F.coalesce("to_scale", "scale")).drop("to_scale")
+    bare = rows.where("scale = ''").groupBy(*KEYS).agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("number").alias("own_least"), F.max("number").alias("own_most")
+    )
+    met = _meeting(bare, scales.where(F.col("n") >= least))
+    ranged = F.col("low").isNotNull() | F.col("high").isNotNull()
+    by_range = fits_range(F.col("low"), F.col("high"), F.col("least"), F.col("most"), agreement)
+    several = F.col("own_least") != F.col("own_most")
+    by_ends = F.when(several, ends_agree(F.col("own_least"), F.col("own_most"), F.col("least"), F.col("most"), agreement)).otherwise(
+        fits_range(F.col("least"), F.col("most"), F.col("own_least"), F.col("own_most"), agreement)
+    )
+    told = F.when(ranged, by_range).otherwise(F.coalesce(by_ends, F.lit(False)))
+    met = cut_lineage(met.select(*KEYS, "to_scale", told.alias("fits"), (~ranged & ~told & F.col("own_least").isNotNull()).alias("open")))
+    pairs = pairs_in_time_agree(numbers, met.where("open").select(*KEYS, "to_scale"), agreement)
+    near = met.where("fits").select(*KEYS, "to_scale").unionByName(pairs)
+    one = near.groupBy(*KEYS).agg(F.min("to_scale").alias("to_scale"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
+    one = one.withColumnsRenamed({"indicator_id": "_i", "material": "_m"})
+    same = F.col("indicator_id").eqNullSafe(F.col("_i")) & F.col("material").eqNullSafe(F.col("_m")) & (F.col("scale") == "") & F.col("number").isNotNull()
+    out = rows.join(one, same, "left").drop("_i", "_m")
+    placed = F.col("to_scale").isNotNull()
+    return out.withColumn("by_numbers", placed).withColumn("scale", F.coalesce("to_scale", "scale")).drop("to_scale")
+
+
+def _meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of one test and material, null meeting null."""
+    other = other.withColumnsRenamed({"indicator_id": "_i", "material": "_m"})
+    return one.join(other, F.col("indicator_id").eqNullSafe(F.col("_i")) & F.col("material").eqNullSafe(F.col("_m"))).drop("_i", "_m")
+
+
+def pairs_in_time_agree(numbers: DataFrame, asked: DataFrame, agreement: float) -> DataFrame:
+    """Of asked(test, material, to_scale) those on which every dated value without a unit is the size of the
+    nearest dated one, in either direction; at equal distance the smaller one is the nearest.
+
+    numbers are rows with `_bare`.  A day is one row before anything is ordered: its least value on a
+    scale, its least and greatest without a unit.  So no test has more rows in a window than the
+    calendar has days, however often it was measured.
+    """
+    dated = numbers.where("date is not null")
+    theirs = dated.where("not _bare").groupBy(*KEYS, F.col("scale").alias("to_scale"), "date").agg(F.min("number").alias("x"))
+    ours = dated.where("_bare").groupBy(*KEYS, "date").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    none = F.lit(None).cast("double")
+    ours = _meeting(ours, asked).select(*KEYS, "to_scale", "date", none.alias("x"), "lo", "hi")
+    theirs = theirs.select(*KEYS, "to_scale", "date", "x", none.alias("lo"), none.alias("hi"))
+    by = Window.partitionBy(*KEYS, "to_scale").orderBy("date", F.col("x").isNull())
+    point = F.when(F.col("x").isNotNull(), F.struct("date", "x"))
+    before = F.last(point, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(point, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    met = ours.unionByName(theirs).withColumns({"_before": before, "_after": after}).where("lo is not null")
+    near = F.array_min(F.array_compact(F.array(*[F.when(p.isNotNull(), F.struct(F.abs(F.datediff(p["date"], "date")).alias("days"), p["x"].alias("x"))) for p in (F.col("_before"), F.col("_after"))])))["x"]
+    agrees = F.coalesce(same_size(F.col("lo"), F.col("_near"), agreement) & same_size(F.col("hi"), F.col("_near"), agreement), F.lit(False))
+    every = met.withColumn("_near", near).groupBy(*KEYS, "to_scale").agg(F.bool_and(agrees).alias("agree"))
+    return every.where("agree").select(*KEYS, "to_scale")
 
 
 def joined_spellings(rows: DataFrame, agreement: float = 2.0, least: int = 2) -> DataFrame:
@@ -86,7 +142,9 @@ def joined_spellings(rows: DataFrame, agreement: float = 2.0, least: int = 2) ->
 
     Greedy, in order of first date and name, over one row a scale.
     """
-    stat = rows.groupBy(*KEYS, "scale").agg(F.median("number").alias("median"), F.count("number").alias("n"), F.min("date").alias("since"))
+    since = rows.groupBy(*KEYS, "scale").agg(F.min("date").alias("since"))
+    by = [*KEYS, "scale"]
+    stat = with_groups(since, medians(rows, by, "number"), {k: f"_key_{k}" for k in by}).withColumn("n", F.coalesce("n", F.lit(0)))
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["since", "scale"], na_position="last")

@@ -280,3 +280,38 @@ def snapshot_digests(spark, sf_dir):
     root = lambda t: snapshots.digests(t, keys, cut).where("level = 2").select("digest", "n")
     met = root(one).crossJoin(F.broadcast(root(one.repartition(5, "l_quantity")).select(F.col("digest").alias("same")))).crossJoin(F.broadcast(root(other).select(F.col("digest").alias("changed"))))
     return met.select(F.lit(snapshots.LEAVES).alias("ranges"), F.col("n").alias("rows"), (F.col("digest") == F.col("same")).alias("alike"), (F.col("digest") == F.col("changed")).alias("changed_alike"))
+
+
+# ---------------------------------------------------------------- values placed by their numbers
+
+# Tests of five kinds: a range beside the bare values; ends that agree; ends that do not, but pairs in time; none of these; a range that fits two scales.
+PLACED = """
+SELECT l_orderkey * 10 + l_linenumber AS observation_id, p_type AS indicator_id, CASE WHEN p_size % 2 = 0 THEN 'blood' END AS material, CAST(l_shipdate AS DATE) AS date,
+       CASE WHEN l_returnflag = 'N' THEN '' WHEN l_returnflag = 'A' THEN 'g/l' ELSE 'mg/l' END AS scale,
+       CASE length(p_type) % 5 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity WHEN 2 THEN power(2.0, year(l_shipdate) - 1990) WHEN 3 THEN l_quantity * CASE WHEN l_returnflag = 'N' THEN 30.0 ELSE 1.0 END ELSE l_quantity END
+         * CASE WHEN l_returnflag = 'R' THEN 1000.0 ELSE 1.0 END AS number,
+       CASE WHEN l_returnflag = 'N' AND length(p_type) % 5 = 0 THEN 1.0 WHEN l_returnflag = 'N' AND length(p_type) % 5 = 4 AND l_suppkey % 3 = 0 THEN 0.5 END AS low,
+       CASE WHEN l_returnflag = 'N' AND length(p_type) % 5 = 0 THEN 30.0 + l_linenumber WHEN l_returnflag = 'N' AND length(p_type) % 5 = 4 AND l_suppkey % 3 = 0 THEN 60000.0 END AS high
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' OR length(p_type) % 5 <> 2 OR year(l_shipdate) < 1998
+"""
+
+
+@query(f"""WITH v AS ({PLACED}), n AS (SELECT * FROM v WHERE scale <> ''), x AS (SELECT * FROM v WHERE scale = ''),
+  s AS (SELECT indicator_id AS i, material AS m, scale AS s, min(number) AS least, max(number) AS most FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+  b AS (SELECT indicator_id AS i, material AS m, min(low) AS low, max(high) AS high, min(number) AS lo, max(number) AS hi FROM x GROUP BY 1, 2),
+  c AS (SELECT b.*, s.s, least, most, low IS NOT NULL OR high IS NOT NULL AS ranged,
+     least >= low / 2 AND most <= high * 2 AS by_range,
+     CASE WHEN lo <> hi THEN greatest(lo, least) <= 2 * least(lo, least) AND greatest(hi, most) <= 2 * least(hi, most) ELSE lo >= least / 2 AND hi <= most * 2 END AS by_ends FROM b JOIN s ON b.i = s.i AND b.m IS NOT DISTINCT FROM s.m),
+  d AS (SELECT indicator_id AS i, material AS m, scale AS s, date, min(number) AS y FROM n GROUP BY 1, 2, 3, 4),
+  e AS (SELECT indicator_id AS i, material AS m, date, min(number) AS lo, max(number) AS hi FROM x GROUP BY 1, 2, 3),
+  o AS (SELECT i, m, s FROM c WHERE NOT ranged AND NOT by_ends),
+  p AS (SELECT e.i, e.m, o.s, e.date, any_value(e.lo) AS lo, any_value(e.hi) AS hi, arg_min(d.y, abs(d.date - e.date) * 1e9 + d.y) AS y FROM e JOIN o ON e.i = o.i AND e.m IS NOT DISTINCT FROM o.m JOIN d ON d.i = o.i AND d.m IS NOT DISTINCT FROM o.m AND d.s = o.s GROUP BY 1, 2, 3, 4),
+  q AS (SELECT i, m, s FROM p GROUP BY 1, 2, 3 HAVING bool_and(greatest(lo, y) <= 2 * least(lo, y) AND greatest(hi, y) <= 2 * least(hi, y))),
+  f AS (SELECT i, m, s, CASE WHEN ranged THEN 'range' ELSE 'ends' END AS how FROM c WHERE CASE WHEN ranged THEN by_range ELSE by_ends END UNION ALL SELECT i, m, s, 'pairs' FROM q),
+  g AS (SELECT i, m, min(s) AS s, min(how) AS how FROM f GROUP BY 1, 2 HAVING count(*) = 1)
+  SELECT x.indicator_id, x.material, coalesce(g.s, '') AS scale, count(*) AS "values" FROM x LEFT JOIN g ON g.i = x.indicator_id AND g.m IS NOT DISTINCT FROM x.material GROUP BY 1, 2, 3""")
+def values_placed(spark, sf_dir):
+    """Values without a unit on the scale that ranges, spreads or neighbours in time leave; by test."""
+    rows = bound(spark, sf_dir, PLACED, "lineitem", "part").withColumns({c: F.col(c).cast("double") for c in ("number", "low", "high")})
+    placed = series.placed_by_numbers(rows.withColumn("bare", F.col("scale") == ""))
+    return placed.where("bare").groupBy("indicator_id", "material", "scale").agg(F.count(F.lit(1)).alias("values"))
