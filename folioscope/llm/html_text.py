@@ -46,8 +46,12 @@ NAME_SAYS = dict.fromkeys(
     -12.0,
 ) | dict.fromkeys("article content post entry story main maincontent".split(), 2.0)
 NAME_SAYS["header"] = -6.0
-#: Names that on a single paragraph may as well speak of what it says, and what they say there.
+#: Names that may as well speak of what a text says, and what they say on a single paragraph, and on any
+#: other element as a part of a longer name (expert-comment, notice-board), but for plurals.
 VAGUE, VAGUE_SAYS = set("comment comments reply replies respond notice notices alert header related menu widget skip".split()), -1.0
+VAGUE_PART = dict.fromkeys("comment reply respond notice alert header related menu widget skip".split(), -4.0)
+#: What speaks against a block less than this is weighed together with what speaks for it.
+DECIDED = -6.0
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th".split())
 #: What a block outside all articles says on a page that has one with text.
 ELSEWHERE = -3.0
@@ -112,11 +116,23 @@ def _says(name: str, rest: str) -> float:
         if m[1].lower() == "role":
             said += ROLE_SAYS.get(value.strip(), 0.0)
         else:
-            told = [VAGUE_SAYS if x in VAGUE and name in PARAGRAPHS else NAME_SAYS[x] for x in set(_PART.findall(value)) if x in NAME_SAYS]
-            said += min(told) if min(told, default=0.0) < 0 else max(told, default=0.0)
+            told = _named(value, name in PARAGRAPHS)
+            worst, best = min(told, default=0.0), max(told, default=0.0)
+            said += worst if worst <= DECIDED else min(worst, 0.0) + max(best, 0.0)
     return said
 
 
+def _named(value: str, paragraph: bool) -> list[float]:
+    """What the parts of a class or id say."""
+    out = []
+    for whole in value.split():
+        parts = set(_PART.findall(whole))
+        for part in parts & NAME_SAYS.keys():
+            vague = VAGUE_SAYS if paragraph and part in VAGUE else VAGUE_PART.get(part) if len(parts) > 1 else None
+            out.append(NAME_SAYS[part] if vague is None else max(vague, NAME_SAYS[part]))
+    return out
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order, each with its place in the tree of block elements.
 
@@ -176,10 +192,11 @@ def blocks_of(html: str) -> list[Block]:
                 close(node)
             continue
         rest = m["rest"] or ""
-        if name in RAW and not rest.endswith("/"):
-            # Raw text up to its own end tag; noscript and template are skipped the same way.
+        if name in RAW:
+            # Raw text up to its own end tag, whatever the start tag ends with; noscript and template are
+            # skipped the same way.  One that says it is empty, and has no end tag, is.
             end = _RAW_ENDS[name].search(html, place)
-            place = end.end() if end else len(html)
+            place = end.end() if end else place if rest.endswith("/") else len(html)
             continue
         if name in INLINE:
             if name in LINKS:
@@ -254,7 +271,11 @@ def fitted(rows: np.ndarray, label: np.ndarray, count: np.ndarray) -> np.ndarray
 def log_odds(blocks: list[Block], weight: np.ndarray) -> list[float]:
     """The classifier's word on each block, and that of the elements around it."""
     any_article = any(b.node.article and not b.node.against for b in blocks)
-    around = [b.node.against or b.node.pro or (ELSEWHERE if any_article else 0.0) for b in blocks]
+    around = []
+    for b in blocks:
+        against, pro = b.node.against, b.node.pro
+        outside = ELSEWHERE if any_article and not pro else 0.0
+        around.append(against if against <= DECIDED else against + pro + outside)
     return (traits(blocks) @ weight + np.array(around)).tolist()
 
 

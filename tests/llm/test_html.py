@@ -155,3 +155,46 @@ def test_the_classifier_learns_from_semantic_pages(spark):
     # Without labelled blocks the prior holds.
     none = spark.createDataFrame([(1, page(False))], "page_id long, html string")
     assert np.allclose(learn(none, "page_id", "html"), PRIOR)
+
+
+def test_raw_elements_end_at_their_end_tag_only():
+    page = "<article><p>Before the script.</p><script src=x />var leak=1;</script><p>After the script.</p><style/>p{}</style><p>The end of it.</p></article>"
+    assert main_text(page).split("\n") == ["Before the script.", "After the script.", "The end of it."]
+    assert main_text("<article><p>One line of text.</p><iframe src=y /><p>Another line of it.</p></article>").split("\n") == ["One line of text.", "Another line of it."]
+
+
+def test_vague_parts_of_names_of_containers():
+    prose = "<p>The board met on a cold day in March to talk about the new bridge.</p><p>It was agreed that the work would begin in the summer of that year.</p>"
+    want = ["The board met on a cold day in March to talk about the new bridge.", "It was agreed that the work would begin in the summer of that year."]
+    assert main_text(f'<main><div class="notice-board article">{prose}</div></main>').split("\n") == want
+    assert main_text(f'<div class="content"><div class="expert-comment">{prose}</div></div>').split("\n") == want
+    for name in ("comments", "reader-comments", "comment", "cookie-notice", "notice", "site-menu nav"):
+        page = f'<article><p>This is the story, told in one sentence.</p><div class="{name}">{prose}</div></article>'
+        assert main_text(page) == "This is the story, told in one sentence.", name
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_pages_against_every_labelling(spark, seed):
+    """The query's own path: the labelling it returns is a cheapest one of all."""
+    import folioscope.llm.html_text as H
+
+    rng = np.random.default_rng(seed)
+    kinds = ["<p>{}</p>", "<li>{}</li>", '<div class="sidebar"><p>{}</p></div>', "<h2>{}</h2>", '<p><a href="x">{}</a></p>', "<article><p>{}</p></article>", "<div>{}</div>"]
+    page = "<body>" + "".join(kinds[rng.integers(len(kinds))].format(" ".join(f"w{k}x{j}" for j in range(rng.integers(1, 14))) + rng.choice([".", ""])) for k in range(8)) + "</body>"
+    frame = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    got = set(extract_text(frame).first().text.split("\n"))
+    blocks = H.blocks_of(page)
+    odds = H.log_odds(blocks, H.learn(frame, "page_id", "html"))
+    edges, last = [], {}
+    for i, b in enumerate(blocks):
+        if i and (apart := H._distance(blocks[i - 1].node, b.node)) < H.FAR:
+            edges.append((i - 1, i, H.SMOOTH_NEXT / (1 + apart)))
+        if id(b.node.parent) in last:
+            edges.append((last[id(b.node.parent)], i, H.SMOOTH_SIBLING))
+        last[id(b.node.parent)] = i
+
+    def cost(kept):
+        return sum(math.log1p(math.exp(-o if k else o)) for o, k in zip(odds, kept)) + sum(w for a, b, w in edges if kept[a] != kept[b])
+
+    every = min(cost(x) for x in itertools.product([False, True], repeat=len(blocks)))
+    assert cost([b.text in got for b in blocks]) == pytest.approx(every)
