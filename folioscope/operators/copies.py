@@ -15,19 +15,16 @@ def exact_copies(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return digest.join(first, "digest").where("id <> copy_of").select("id", "copy_of")
 
 
-def possible_copies(
+def copy_classes(
     headers: DataFrame, items: DataFrame, least_shared: int = 3, least_size: int = 5, ratio: float = 0.6, overlap: float = 0.8
-) -> DataFrame:
-    """(a, b, shared): documents of one date and different files that hold nearly the same items.
+) -> tuple[DataFrame, DataFrame]:
+    """members(document, file, kind) and alike(x, y, shared): documents of one date that hold equal sets are one
+    class, and classes are alike if their sets are equal (x = y), a subset with at least `least_shared`
+    items, or both of at least `least_size` items, sizes in `ratio`, and `overlap` of the smaller shared.
 
-    headers(document, file, date); items(document, item).  Pairs: equal sets; a subset with at least
-    `least_shared` items; or both of at least `least_size` items, sizes in `ratio`, and `overlap` of
-    the smaller shared.  Undated documents have no copies.
-
-    Documents of one date with equal sets are one class.  Every pair of classes shares `overlap` of
-    the smaller set at least, so one of the smaller one's rarest items, as many as leave fewer than
-    that, is in the larger one: classes meet by these alone, are judged on whole sets, and their
-    documents are paired last.
+    headers(document, file, date); items(document, item).  Undated documents are in no class.  Every pair
+    of classes shares `overlap` of the smaller set at least, so one of the smaller one's rarest items,
+    as many as leave fewer than that, is in the larger one: classes meet by these alone.
     """
     held = items.select("document", "item").distinct().join(headers.where("date is not null").select("document", "file", "date"), "document")
     often = held.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -45,13 +42,39 @@ def possible_copies(
     equal = (F.col("shared") == small) & (small == large)
     subset = (F.col("shared") == small) & (small >= least_shared)
     near = (small >= least_size) & (small >= ratio * large) & (F.col("shared") >= overlap * small)
-    alike = met.where(equal | subset | near).select("x", "y", "shared")
-    one = sets.select(F.col("kind").alias("x"), F.col("document").alias("p"), F.col("file").alias("file_p"))
-    other = sets.select(F.col("kind").alias("y"), F.col("document").alias("q"), F.col("file").alias("file_q"))
+    return sets.select("document", "file", "kind"), met.where(equal | subset | near).select("x", "y", "shared")
+
+
+def possible_copies(headers: DataFrame, items: DataFrame, **limits) -> DataFrame:
+    """(a, b, shared): documents of different files whose classes are alike.  As many rows as there are pairs;
+    copy_links() says as much of who belongs together, in a row or two a document."""
+    members, alike = copy_classes(headers, items, **limits)
+    one = members.select(F.col("kind").alias("x"), F.col("document").alias("p"), F.col("file").alias("file_p"))
+    other = members.select(F.col("kind").alias("y"), F.col("document").alias("q"), F.col("file").alias("file_q"))
     pairs = alike.join(one, "x").join(other, "y").where((F.col("file_p") != F.col("file_q")) & ((F.col("x") != F.col("y")) | (F.col("p") < F.col("q"))))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
 
 
+def copy_links(headers: DataFrame, items: DataFrame, **limits) -> DataFrame:
+    """(a, b): links that connect exactly the documents that all of possible_copies() connect, a link or two for
+    each document and for each pair of classes.
+
+    Documents of one file are no copies of each other.  A class with two files is connected: each of
+    its documents is linked to one of another file, the class's first or last.  Two alike classes
+    then need one link between different files, if there is one.
+    """
+    members, alike = copy_classes(headers, items, **limits)
+    ends = members.groupBy("kind").agg(F.min(F.struct("file", "document")).alias("low"), F.max(F.struct("file", "document")).alias("high"))
+    own = members.join(ends, "kind").where("low.file <> high.file")
+    inside = own.select(F.col("document").alias("a"), F.when(F.col("file") != F.col("low.file"), F.col("low.document")).otherwise(F.col("high.document")).alias("b"))
+    met = alike.where("x <> y").join(ends.select(F.col("kind").alias("x"), F.col("low").alias("x_low"), F.col("high").alias("x_high")), "x")
+    met = met.join(ends.select(F.col("kind").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high")), "y")
+    tried = [(p, q) for p in ("x_low", "x_high") for q in ("y_low", "y_high")]
+    link = F.coalesce(*[F.when(F.col(f"{p}.file") != F.col(f"{q}.file"), F.struct(F.col(f"{p}.document").alias("a"), F.col(f"{q}.document").alias("b"))) for p, q in tried])
+    across = met.select(link.alias("link")).where("link is not null").select("link.a", "link.b")
+    return inside.union(across)
+
+
 def primary_copies(groups: DataFrame, ranking: list) -> DataFrame:
     """One document of each copy group: the first in the ranking."""
     return newest_per_key(groups, ["copy_group"], ranking)

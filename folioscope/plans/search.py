@@ -57,7 +57,13 @@ def hits(index: DataFrame, question: str, lengths: DataFrame | None = None) -> D
 
 
 def count_hits(index: DataFrame, question: str) -> DataFrame:
-    return hits(index, question).agg(F.count(F.lit(1)).alias("documents"))
+    """How many documents have every word; nothing is scored."""
+    asked = question_words(question)
+    if not asked:
+        return index.select("doc").limit(0).agg(F.count(F.lit(1)).alias("documents"))
+    says = [F.bool_or(_matches(F.col("token"), spellings)) for spellings in asked]
+    has = index.where(_matches(F.col("token"), [s for spellings in asked for s in spellings])).groupBy("doc").agg(*[s.alias(f"w{k}") for k, s in enumerate(says)])
+    return has.where(" and ".join(f"w{k}" for k in range(len(asked)))).agg(F.count(F.lit(1)).alias("documents"))
 
 
 def found(rows: DataFrame, index: DataFrame | None, question: str, id_col: str, text_col: str, limit: int = 20, offset: int = 0, scored: DataFrame | None = None) -> DataFrame:
@@ -90,8 +96,10 @@ def indicators_matching(names: DataFrame, question: str) -> DataFrame:
 
 
 def keep_index(index: DataFrame, path: str) -> None:
-    """Write postings by the first two letters of their tokens, and the documents' lengths beside them."""
-    index.withColumn("head", F.substring("token", 1, 2)).repartition("head").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    """Write postings by the first two letters of their tokens, and the documents' lengths beside them.  Letters
+    that very many tokens begin with are dealt to several tasks and files."""
+    dealt = index.withColumn("head", F.substring("token", 1, 2)).repartition("head", F.pmod(F.xxhash64("doc"), F.lit(16)))
+    dealt.write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
     index.groupBy("doc").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 

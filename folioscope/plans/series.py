@@ -185,8 +185,23 @@ def charts(rows: DataFrame) -> DataFrame:
     placed = cut_lineage(placed_by_numbers(without_retellings(read)))
     out = one_power(joined_spellings(placed))
     why = F.when(F.col("number").isNull(), "not_a_number").when(F.col("date").isNull(), "undated")
-    order = Window.partitionBy(*KEYS, "series").orderBy(F.col("date").asc_nulls_last(), "document_id", "observation_id")
-    return out.withColumn("why", why).withColumn("place", F.row_number().over(order))
+    return numbered(out.withColumn("why", why))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `place`: 1, 2 ... in the series in order of date, undated ones last; ties by document,
+    observation and number.
+
+    Days are counted first, and each goes on from those before it; rows are ordered within their day
+    alone.  So a window has a day's rows, or one row a day, however long a series is.
+    """
+    keys = [*KEYS, "series", "date"]
+    days = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*KEYS, "series").orderBy(F.col("date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*keys).orderBy("document_id", "observation_id", "number", "low", "high")
+    met = with_groups(rows.withColumn("_place", F.row_number().over(within)), days, {k: f"_key_{k}" for k in keys})
+    return met.withColumn("place", F.col("_before") + F.col("_place")).drop("_before", "_place")
 
 
 def bands(rows: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from .functions.dates import read_date
 from .functions.parsing import on_distinct
 from .functions.ranges import outside, read_range
 from .functions.slips import read_spellings, with_slips
-from .operators import rules, snapshots
-from .plans import people, series, vocabulary
+from .operators import overlay, rules, snapshots
+from .plans import people, reading, series, vocabulary
 from .plans.bindings import bound, table
 from .queries import _DUCK_VALUES, PAPERS, SHEETS, VALUES, query
 
@@ -315,3 +315,48 @@ def values_placed(spark, sf_dir):
     rows = bound(spark, sf_dir, PLACED, "lineitem", "part").withColumns({c: F.col(c).cast("double") for c in ("number", "low", "high")})
     placed = series.placed_by_numbers(rows.withColumn("bare", F.col("scale") == ""))
     return placed.where("bare").groupBy("indicator_id", "material", "scale").agg(F.count(F.lit(1)).alias("values"))
+
+
+# ---------------------------------------------------------------- dates of documents, habits of forms, corrections of lines
+
+DATES = """
+SELECT o_orderkey AS document_id, CASE WHEN o_custkey % 11 = 0 THEN CAST(o_orderdate AS DATE) END AS person, CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS study,
+       CASE WHEN o_custkey % 4 <> 0 THEN CAST('1995-06-17' AS DATE) END AS report, CASE WHEN o_custkey % 5 <> 0 THEN CAST('1996-01-01' AS DATE) END AS page_date, CASE WHEN o_custkey % 2 = 0 THEN CAST('1890-01-01' AS DATE) END AS second_look,
+       CASE WHEN o_custkey % 7 = 0 THEN CAST(o_orderdate AS DATE) END AS born, CASE WHEN o_custkey % 13 > 0 THEN 'printed' END AS printed, o_custkey % 17 = 0 AS ambiguous FROM orders
+"""
+
+
+@query(f"""WITH d AS ({DATES}), s AS (SELECT *, CASE WHEN study IS DISTINCT FROM born THEN study END AS s, CASE WHEN report IS DISTINCT FROM born THEN report END AS r, CASE WHEN page_date IS DISTINCT FROM born THEN page_date END AS p FROM d),
+  p AS (SELECT *, coalesce(person, s, r, p, second_look) AS day, CASE WHEN person IS NOT NULL THEN 'person' WHEN s IS NOT NULL THEN 'study' WHEN r IS NOT NULL THEN 'report' WHEN p IS NOT NULL THEN 'page_date' WHEN second_look IS NOT NULL THEN 'second_look' END AS how FROM s)
+  SELECT document_id, day AS date, how AS date_source, array_to_string(list_filter([CASE WHEN day IS NULL AND printed IS NOT NULL THEN 'not_read' END, CASE WHEN how IS DISTINCT FROM 'person' AND ambiguous THEN 'ambiguous' END,
+    CASE WHEN day > DATE '1998-01-01' THEN 'future' END, CASE WHEN year(day) < 1900 THEN 'early' END, CASE WHEN how IS DISTINCT FROM 'person' AND abs(study - report) > 60 THEN 'apart' END,
+    CASE WHEN how IS DISTINCT FROM 'person' AND born IN (study, report, page_date) THEN 'birth_date' END, CASE WHEN how = 'second_look' THEN 'second_look' END], lambda x: x IS NOT NULL), ',') AS flags FROM p""")
+def document_dates(spark, sf_dir):
+    """The date of each document, by whose word, and what is to be said of it; dates of birth never count."""
+    rows = bound(spark, sf_dir, DATES, "orders").withColumn("birth_dates", F.array_compact(F.array("born")))
+    out = reading.document_dates(rows, F.lit("1998-01-01").cast("date"))
+    return out.select("document_id", "date", "date_source", F.array_join("date_flags", ",").alias("flags"))
+
+
+@query("""WITH d AS (SELECT o_orderkey AS document_id, o_custkey % 50 AS provider, day(o_orderdate) AS d, month(o_orderdate) AS m, o_custkey % 50 < 25 AS first FROM orders),
+  t AS (SELECT document_id, provider, d > 12 AND first AS day, d > 12 AND NOT first AND m <= 12 AS month FROM d), o AS (SELECT document_id, provider, bool_or(day) AS a, bool_or(month) AS b FROM t GROUP BY 1, 2),
+  p AS (SELECT provider, bool_or(day) AS a, bool_or(month) AS b FROM t GROUP BY 1)
+  SELECT document_id, CASE WHEN o.a AND NOT o.b THEN TRUE WHEN o.b AND NOT o.a THEN FALSE WHEN p.a AND NOT p.b THEN TRUE WHEN p.b AND NOT p.a THEN FALSE END AS day_first FROM o JOIN p USING (provider)""")
+def day_first_habits(spark, sf_dir):
+    """Whether a document writes the day first, by its own dates or else by those of its provider."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 50).alias("provider"), F.date_format("o_orderdate", "dd").alias("d"), F.date_format("o_orderdate", "MM").alias("m"))
+    printed = F.when(F.col("provider") < 25, F.concat_ws("/", "d", "m", F.lit("1995"))).otherwise(F.concat_ws("/", "m", "d", F.lit("1995")))
+    return reading.day_first_evidence(rows.select("document_id", "provider", printed.alias("printed")))
+
+
+EDITS = "SELECT user_id AS document, CASE WHEN event_type = 'view' THEN concat('k', CAST(event_id % 5 AS STRING)) ELSE concat('s', CAST(event_id % 4 AS STRING)) END AS edit_key, CAST(event_id AS STRING) AS value, event_id AS seq FROM events"
+LINED = "SELECT DISTINCT user_id AS document, concat('k', CAST(event_id % 7 AS STRING)) AS key, concat('s', CAST(event_id % 7 % 5 AS STRING)) AS short_key, concat('line ', CAST(event_id % 7 AS STRING)) AS value FROM events"
+
+
+@query(f"""WITH e AS ({EDITS}), l AS ({LINED}), s AS (SELECT document, edit_key, arg_max(value, seq) AS v FROM e GROUP BY 1, 2), o AS (SELECT document, short_key FROM l GROUP BY 1, 2 HAVING count(*) = 1)
+  SELECT l.document, l.key, coalesce(f.v, h.v, l.value) AS value, coalesce(f.v, h.v) IS NOT NULL AS corrected FROM l LEFT JOIN s f ON f.document = l.document AND f.edit_key = l.key
+    LEFT JOIN (SELECT s.* FROM s JOIN o ON o.document = s.document AND o.short_key = s.edit_key) h ON h.document = l.document AND h.edit_key = l.short_key""")
+def lines_corrected(spark, sf_dir):
+    """Corrections that name a line by its key, or, if they are old, by a short key that one line alone has."""
+    out = overlay.overlay_by_line(bound(spark, sf_dir, LINED, "events"), bound(spark, sf_dir, EDITS, "events"))
+    return out.select("document", "key", "value", "corrected")

@@ -313,24 +313,24 @@ NEAR = """i AS (SELECT DISTINCT l_orderkey AS document, l_partkey % 6 AS item FR
         OR (least(na, nb) >= 5 AND least(na, nb) >= 0.6 * greatest(na, nb) AND shared >= 0.8 * least(na, nb)))"""
 
 
-def _near(spark, sf_dir):
+def _papers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_partkey") % 6).alias("item"))
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("document"), F.col("o_custkey").alias("file"), F.col("o_orderdate").cast("date").alias("date")
     )
-    return copies.possible_copies(heads, lines)
+    return heads, lines
 
 
 @query(f"WITH {NEAR} SELECT a, b, shared FROM q")
 def near_copies(spark, sf_dir):
-    return _near(spark, sf_dir)
+    return copies.possible_copies(*_papers(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {NEAR}, e AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q),
   r AS (SELECT DISTINCT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x)
   SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def copy_components(spark, sf_dir):
-    return graph.components(_near(spark, sf_dir))
+    return graph.components(copies.copy_links(*_papers(spark, sf_dir)))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, list_distinct(string_split(name, ' ')) AS ws FROM n)
@@ -700,7 +700,20 @@ def rule_findings(spark, sf_dir):
     return rules.tally(rules.run(tables, only=LATER))
 
 
-@query()
+@query(f"""WITH v AS ({PRINTED}), s AS (SELECT *, CASE WHEN unit IS NOT NULL THEN unit WHEN reference = '10-40 g/l' THEN 'g/l' ELSE '' END AS scale,
+    CASE WHEN reference = '10-40 g/l' THEN 10.0 END AS lo, CASE reference WHEN '10-40 g/l' THEN 40.0 WHEN '< 30' THEN 30.0 END AS hi FROM v),
+  n AS (SELECT indicator_id AS i, material AS m, scale AS s, min(value_numeric) AS least, max(value_numeric) AS most, median(value_numeric) AS middle, count(*) AS n, min(date) AS since FROM s GROUP BY 1, 2, 3),
+  b AS (SELECT indicator_id AS i, material AS m, min(lo) AS low, max(hi) AS high, min(value_numeric) AS lo, max(value_numeric) AS hi FROM s WHERE scale = '' GROUP BY 1, 2),
+  f AS (SELECT b.i, b.m, n.s, CASE WHEN high IS NOT NULL THEN most <= 2 * high AND greatest(high, most) <= 2 * least(high, most) ELSE greatest(b.lo, least) <= 2 * least(b.lo, least) AND greatest(b.hi, most) <= 2 * least(b.hi, most) END AS fits
+     FROM b JOIN n ON b.i = n.i AND b.m IS NOT DISTINCT FROM n.m AND n.s <> '' AND n.n >= 2),
+  o AS (SELECT i, m, min(s) AS s FROM f WHERE fits GROUP BY 1, 2 HAVING count(*) = 1),
+  p AS (SELECT v.*, CASE WHEN v.scale = '' THEN coalesce(o.s, '') ELSE v.scale END AS spot FROM s v LEFT JOIN o ON o.i = v.indicator_id AND o.m IS NOT DISTINCT FROM v.material),
+  t AS (SELECT indicator_id AS i, material AS m, spot, median(value_numeric) AS middle, count(*) AS n, min(date) AS since FROM p GROUP BY 1, 2, 3),
+  j AS (SELECT x.i, x.m, x.spot, coalesce(arg_min(y.spot, (epoch(y.since), y.spot)) FILTER (y.n >= 2 AND x.n >= 2 AND greatest(x.middle, y.middle) <= 2 * least(x.middle, y.middle) AND (y.since, y.spot) < (x.since, x.spot) AND x.spot <> ''), x.spot) AS series
+     FROM t x LEFT JOIN t y ON x.i = y.i AND x.m IS NOT DISTINCT FROM y.m AND y.spot <> '' GROUP BY x.i, x.m, x.spot),
+  w AS (SELECT p.*, series FROM p JOIN j ON j.i = p.indicator_id AND j.m IS NOT DISTINCT FROM p.material AND j.spot = p.spot)
+  SELECT observation_id, indicator_id, material, series, date, value_numeric AS number, CAST(lo AS DOUBLE) AS low, CAST(hi AS DOUBLE) AS high, CAST(0 AS INT) AS moved, CAST(0 AS BIGINT) AS retold, CAST(NULL AS VARCHAR) AS why,
+         row_number() OVER (PARTITION BY indicator_id, material, series ORDER BY date, document_id, observation_id, value_numeric, lo NULLS FIRST, hi NULLS FIRST) AS place FROM w""")
 def series_charts(spark, sf_dir):
     out = series.charts(_printed(spark, sf_dir)["values"])
     return out.select("observation_id", "indicator_id", "material", "series", "date", "number", "low", "high", "moved", "retold", "why", "place")
