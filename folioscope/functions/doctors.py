@@ -62,6 +62,19 @@ def _said(pieces: list[Piece], k: int, phrase: str) -> int:
     return k
 
 
+def _firsts(phrases: list[str]) -> tuple[frozenset[str], tuple[str, ...]]:
+    """What the phrases can begin with: whole words, and beginnings of words."""
+    words = [p.split()[0] for p in phrases]
+    whole = frozenset(fold_text(w.rstrip(".")) or "" for w in words)
+    return whole, tuple(fold_text(w[:-1]) or "" for w in words if w.endswith("-") and len(w) > 3)
+
+
+_LABELS = [*HONORIFICS, *SIGNED]
+_WHOLE, _BEGIN = _firsts(_LABELS)
+_SENT_WHOLE, _SENT_BEGIN = _firsts(REFERRED)
+_DEGREE_WHOLE = _firsts(DEGREES)[0]
+
+
 def _is_capital(text: str, alphabet: str = "") -> bool:
     return text[:1].isupper() and (not alphabet or alphabet in unicodedata.name(text[0], ""))
 
@@ -129,7 +142,7 @@ def _past_filler(pieces: list[Piece], k: int) -> Iterator[int]:
         if k >= len(pieces):
             return
         text = pieces[k].text
-        past = next((p for d in DEGREES if (p := _said(pieces, k, d))), 0)
+        past = next((p for d in DEGREES if (p := _said(pieces, k, d))), 0) if pieces[k].folded in _DEGREE_WHOLE else 0
         if past:
             k = past + (past < len(pieces) and pieces[past].text == ".")
         elif text in tuple(":：-_/\\|.,;()№") or text.isalpha() and text.islower() and len(text) > 2:
@@ -148,11 +161,14 @@ def readings(text: str | None) -> Iterator[tuple[str, str, str, str]]:
     for line in (text or "").split("\n"):
         pieces = _pieces(line)
         names = _Names(pieces)
-        sent = min((k for k in range(len(pieces)) for p in REFERRED if _said(pieces, k, p)), default=len(pieces))
+        may_send = (k for k, p in enumerate(pieces) if p.folded in _SENT_WHOLE or p.folded.startswith(_SENT_BEGIN))
+        sent = min((k for k in may_send for p in REFERRED if _said(pieces, k, p)), default=len(pieces))
         told = set()
         for k in range(min(sent, len(pieces))):
+            if pieces[k].folded not in _WHOLE and not pieces[k].folded.startswith(_BEGIN):
+                continue
             past, label = 0, ""
-            for phrase in (*HONORIFICS, *SIGNED):
+            for phrase in _LABELS:
                 if (p := _said(pieces, k, phrase)) and p > past:
                     past, label = p, phrase
             degree = past and fold_text("доктор") == pieces[k].folded and past < len(pieces) and pieces[past].folded.startswith(("медиц", "медич"))
@@ -171,7 +187,7 @@ def readings(text: str | None) -> Iterator[tuple[str, str, str, str]]:
                     break
 
 
-@F.udtf(returnType="name string, label string, shape string, line string")
+@F.udtf(returnType="name string, label string, shape string, line string", useArrow=True)
 class DoctorsInText:
     """The readings of one page, for a lateral join."""
 
