@@ -307,8 +307,9 @@ def similar_links(
        so what is still apart goes through a lossless prefix filter: in any one order of all
        shingles, two sets that similar share k shingles among the first n - ceil(similarity * n) + k
        of each, for the smaller k of the two; here k is 1 + n // 20.  First the sets of crowded
-       shingles are compared with one each, so that a large group of copies is linked at a cost of
-       its size; then every pair that is still apart, so that nothing is left out.
+       shingles are compared with one each, the most central, so that a large group of copies is
+       linked at a cost of its size; then every pair that is still apart, so that nothing is left
+       out.
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -381,7 +382,12 @@ def similar_links(
     dealt = rows.select(F.explode("first").alias("gram"), "sig", "size").repartition("gram").sortWithinPartitions("gram", "sig")
     met = staged(labelled(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), stars(links)), "similar-met")
     crowded = met.where(F.col("n") >= crowd)
-    hubs = crowded.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig").alias("draw"), "sig", "size", "part")).alias("hub"))
+    # The hub of a shingle is its set with the largest share of crowded shingles: what a group of near copies
+    # was made from has hardly any other, and is as near to all of them as a set can be.
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 + F.floor(F.col("size") / 20)
+    central = crowded.groupBy("sig").agg((F.count(F.lit(1)) / F.max(prefix)).alias("share"))
+    ranked = F.struct(F.col("share"), F.xxhash64("sig").alias("draw"), "sig", "size", "part")
+    hubs = crowded.join(central, "sig").groupBy("gram").agg(F.max(ranked).alias("hub"))
     links = links.union(sharing(crowded, hubs.select("gram", "hub.sig", "hub.size", "hub.part"), F.lit(True), 0.5))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     label = staged(smallest_reachable(ends.select("node", F.col("node").alias("label")), links), "similar-labels")
