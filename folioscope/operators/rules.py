@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions.dates import quoted_dates
+from ..functions.eyes import measurements_named, the_eye_alone
 from ..functions.parsing import GRAMS, MOLAR_MASS, MOLES, on_distinct, printed_ends, unit_key, unit_of_range
 from ..functions.text import WORD, fold, mixed_script_words, words
 from . import copies, suspects
@@ -243,25 +244,14 @@ def repeated_value(t):
     return more.select("document_id", "page", F.col("name").alias("line"), F.explode(F.sequence(F.lit(2), F.col("n"))).alias("k"))
 
 
-# How an eye is named, and words that name a measurement of one.
-EYES = ["od", "os", "ou", "right eye", "left eye", "правый глаз", "левый глаз", "праве око", "ліве око", "ojo derecho", "ojo izquierdo"]
-EYE_MEASURES = ["sph", "cyl", "ax", "axis", "add", "vis", "visus", "iop", "tonometry", "pd", "dp"]
-
-
-def _measures(text: Column) -> Column:
-    """The measurement words of a text that a number follows before the next word."""
-    hits = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}])(" + "|".join(EYE_MEASURES) + r")\.?[^\p{L}\d]*\d"), F.lit(1))
-    return F.array_distinct(hits)
-
-
 @row_rule("named_after_the_eye", "validate", "values", line=_snippet)
 def named_after_the_eye():
-    return F.lower(F.trim("name")).isin(*EYES) & (F.size(_measures(F.col("snippet"))) > 0)
+    return the_eye_alone(F.col("name")).isNotNull() & (F.size(measurements_named(F.col("snippet"))) > 0)
 
 
 @row_rule("several_measurements_in_one_value", "validate", "values", line=_snippet)
 def several_measurements_in_one_value():
-    return F.size(_measures(F.col("value"))) > 1
+    return F.size(measurements_named(F.col("value"))) > 1
 
 
 @row_rule("dates_far_apart", "validate", "documents", most_days=60)

@@ -7,7 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from .functions.analytes import converted
 from .functions.dates import read_date
+from .functions.eyes import measurements_named, the_eye_alone
 from .functions.parsing import on_distinct
 from .functions.ranges import outside, read_range
 from .functions.slips import read_spellings, with_slips
@@ -360,3 +362,42 @@ def lines_corrected(spark, sf_dir):
     """Corrections that name a line by its key, or, if they are old, by a short key that one line alone has."""
     out = overlay.overlay_by_line(bound(spark, sf_dir, LINED, "events"), bound(spark, sf_dir, EDITS, "events"))
     return out.select("document", "key", "value", "corrected")
+
+
+# ---------------------------------------------------------------- substances and eyes
+
+# Tests, printed names, units, and what one is worth on the scale of the substance.
+SUBSTANCES = [
+    ("creatinine", "Креатинін крові", "mg/dl", "umol/l", 88.4), ("creatinine", "креатинiн", "мкмоль/л", "umol/l", 1.0), ("indicator-7", "Γλυκόζη", "mg/dL", "mmol/l", 0.0555), ("glucose", "Глюкоза", "ммоль/л", "mmol/l", 1.0),
+    ("urine-creatinine", "Creatinine", "mg/dl", None, None), ("hemoglobin", "Гемоглобін", "г/дл", "g/l", 10.0), ("hemoglobin", "Hb", "g/dl", None, None), ("iron", "Hierro", "µg/dL", "umol/l", 0.1791), ("total-cholesterol", "Colesterol total", "mg/dl", "mmol/l", 0.02586),
+    ("indicator", "Белок общий", "g/dl", "g/l", 10.0), ("glucose", "Glucose", "g/l", None, None), (None, "Urea", "mg/dl", None, None), ("uric-acid", "Сечова кислота", "ммоль/л", "umol/l", 1000.0),
+]
+_quoted = lambda x: "NULL" if x is None else "'" + x + "'"
+_K = len(SUBSTANCES)
+TAKEN = f"SELECT l_orderkey, l_linenumber, l_quantity AS value_numeric, {_case(f'l_suppkey % {_K}', [_quoted(r[0]) for r in SUBSTANCES])} AS indicator_id, {_case(f'l_suppkey % {_K}', [_quoted(r[1]) for r in SUBSTANCES])} AS name, {_case(f'l_suppkey % {_K}', [_quoted(r[2]) for r in SUBSTANCES])} AS unit FROM lineitem"
+
+
+@query(f"""WITH f AS (SELECT l_quantity, {_case(f'l_suppkey % {_K}', [_quoted(r[3]) for r in SUBSTANCES])} AS scale, {_case(f'l_suppkey % {_K}', ['CAST(NULL AS DOUBLE)' if r[4] is None else f'CAST({r[4]} AS DOUBLE)' for r in SUBSTANCES])} AS factor FROM lineitem)
+  SELECT scale, factor, count(*) AS "values", round(sum(l_quantity * factor), 3) AS total FROM f GROUP BY 1, 2""")
+def values_converted(spark, sf_dir):
+    """Values brought to the scale of their substance, where the test and the printed name both say it, in five languages."""
+    out = converted(bound(spark, sf_dir, TAKEN, "lineitem"))
+    return out.groupBy(F.col("to_scale").alias("scale"), F.col("to_factor").alias("factor")).agg(F.count(F.lit(1)).alias("values"), F.round(F.sum("converted"), 3).alias("total"))
+
+
+# Names and lines of eye examinations; {q} is a number of the row.
+EYED = [
+    ("OD", "Vis {q} sph -{q} cyl 2 ax 95", "the right eye", "visual acuity,sphere,cylinder,axis"), ("ОС.", "сфера {q} циліндр -1,5 ось", "the left eye", "sphere,cylinder"), ("OU:", "ось {q}", "both eyes", ""), ("Vis OD", "visus {q}", None, "visual acuity"),
+    ("OS", "ΣΦΑΊΡΑ {q} ΚΎΛΙΝΔΡΟΣ 1 ΆΞΟΝΑΣ 90", "the left eye", "sphere,cylinder,axis"), ("oд", "esfera {q} eje 5", "the right eye", "sphere,axis"), ("max", "sphincter {q} max 5", None, ""), ("ОУ", "eje eléctrico {q}º", "both eyes", ""),
+]
+_Y = len(EYED)
+LOOKED = f"SELECT l_orderkey, l_linenumber, {_case('form', [_quoted(r[0]) for r in EYED])} AS name, {_case('form', [_concat(r[1]) for r in EYED])} AS line FROM (SELECT l_orderkey, l_linenumber, l_suppkey % {_Y} AS form, CAST(l_quantity AS INT) AS q FROM lineitem) AS l"
+
+
+@query(f"""WITH f AS (SELECT {_case(f'l_suppkey % {_Y}', [_quoted(r[2]) for r in EYED])} AS eye, {_case(f'l_suppkey % {_Y}', [_quoted(r[3]) for r in EYED])} AS measured FROM lineitem)
+  SELECT eye, measured, count(*) AS "values" FROM f GROUP BY 1, 2""")
+def eyes_measured(spark, sf_dir):
+    """Names that are nothing but an eye, and what the lines beside them measure."""
+    rows = bound(spark, sf_dir, LOOKED, "lineitem")
+    out = rows.select(the_eye_alone(F.col("name")).alias("eye"), F.array_join(measurements_named(F.col("line")), ",").alias("measured"))
+    return out.groupBy("eye", "measured").agg(F.count(F.lit(1)).alias("values"))
