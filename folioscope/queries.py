@@ -1229,4 +1229,4 @@ def stale_sources(spark, sf_dir):
     return work.stale(lines.where("source <> 'R' and l_tax > 0.03"), lines).select("source", "stale")
 
 
-from . import printed_queries  # noqa: E402, F401  registers its own
+from . import printed_queries, view_queries  # noqa: E402, F401  register their own
