@@ -98,7 +98,7 @@ def scan_secrets(
     most_owners: int = 2,
     most_repos: int | None = None,
 ) -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_bare, n_live, n_example.
+    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_bare, n_live, n_example, n_owners, n_repos.
 
     The kinds assign, access and hex are found by pattern in the whole text (null: empty).  The
     corpus adds spans of kind bare: runs of 20 or more characters with a letter and a digit, apart
@@ -106,7 +106,8 @@ def scan_secrets(
     repositories, if given) hold.  n_live counts the spans whose value is held so narrowly,
     n_example those whose value is widely copied; base spans stay in either case.  Without
     repo_col equal texts are one repository, so a group of copies counts once; a null owner or
-    repository counts as one owner or repository.  spans are kind:start:end, by start and then
+    repository counts as one owner or repository.  n_owners and n_repos say how many owners and
+    repositories hold the row's most widely held value (0: it has none).  spans are kind:start:end, by start and then
     kind, in code points, end exclusive.  Values leave no task: only their digests are compared.
     The work grows with a text's length, but for a factor of the logarithm of its spans.
     """
@@ -143,6 +144,8 @@ def scan_secrets(
         F.count_if(F.col("live")).alias("n_live"),
         F.count_if(~F.col("live") & ~bare).alias("n_example"),
         F.collect_list(F.when(bare & F.col("live"), F.col("span"))).alias("added"),
+        F.max("owners").alias("n_owners"),
+        F.max("repos").alias("n_repos"),
     )
     wide = rows.join(by_row, "row", "left").withColumn("added", F.coalesce("added", none))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -154,4 +157,5 @@ def scan_secrets(
         F.size("added").cast("long").alias("n_bare"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_owners", "n_repos")],
     )

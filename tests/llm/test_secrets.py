@@ -100,3 +100,10 @@ def test_copies_of_a_text_are_one_repository(spark):
     rows = [(i, t, None, "one", None, 1, "b", "v") for i, t in enumerate(texts)]
     got = scan_secrets(spark.createDataFrame(rows, SCHEMA), most_repos=1).collect()
     assert all(r.n_bare == 1 and r.n_live == 1 for r in got)
+
+
+def test_owners_and_repositories_come_out(spark):
+    rows = [(1, "token=abcdef", None, "one"), (2, "see token=abcdef", None, "one"), (3, "token=abcdef", None, "two"), (4, "token=zzzzzz token=abcdef", None, None), (5, "nothing", None, "one"), (6, "token=yyyyyy", None, "one")]
+    got = {r.doc_id: (r.n_owners, r.n_repos) for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    # Equal texts are one repository of each owner that has them.
+    assert got == {1: (3, 4), 2: (3, 4), 3: (3, 4), 4: (3, 4), 5: (0, 0), 6: (1, 1)}
