@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, slices, staged, text_or_empty, utf8, word_bounds, word_hashes
@@ -267,8 +267,8 @@ def _common(texts: DataFrame, width: int, share: float = 0.125, least: int = 4,
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, sig, size) sorted by gram and sig -> the different rows of grams that several sigs have, and n, how many."""
-    kept = np.zeros((0, 3), np.int64)
+    """(gram, sig, size, at) sorted by gram and sig -> the different rows of grams that several sigs have, and n, how many."""
+    kept = np.zeros((0, 4), np.int64)
 
     def told(rows: np.ndarray) -> pa.RecordBatch:
         rows = rows[np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])[: len(rows)]]
@@ -276,11 +276,11 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(cut, len(rows)))
         n = np.repeat(size, size)
         on = n > 1
-        columns = [pa.array(rows[on, 0]), pa.array(rows[on, 1]), pa.array(rows[on, 2].astype(np.int32)), pa.array(n[on])]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "sig", "size", "n"])
+        columns = [pa.array(rows[on, 0]), pa.array(rows[on, 1]), *(pa.array(rows[on, k].astype(np.int32)) for k in (2, 3)), pa.array(n[on])]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "sig", "size", "at", "n"])
 
     for batch in batches:
-        rows = np.concatenate([kept, np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(3)], axis=1)])
+        rows = np.concatenate([kept, np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(4)], axis=1)])
         if len(rows):
             # The last gram may go on in the next batch.
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
@@ -308,8 +308,8 @@ def similar_links(
        shingles, two sets that similar share k shingles among the first n - ceil(similarity * n) + k
        of each, for the smaller k of the two; here k is 1 + n // 20.  First the sets of crowded
        shingles are compared with one each, the most central, so that a large group of copies is
-       linked at a cost of its size; then every pair that is still apart, so that nothing is left
-       out.
+       linked at a cost of its size; then every pair that is still apart and may be similar by what
+       is before and behind a shingle that both have, so that nothing is left out.
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -379,24 +379,31 @@ def similar_links(
     other = other.join(heads_of.select(F.col("fp").alias("b"), F.col("head").alias("head_b")), "b")
     links = checked(staged(own.union(other.select("head_a", "head_b")), "similar-proposed"))
 
-    dealt = rows.select(F.explode("first").alias("gram"), "sig", "size").repartition("gram").sortWithinPartitions("gram", "sig")
-    met = staged(labelled(dealt.mapInArrow(_several, "gram long, sig long, size int, n long"), stars(links)), "similar-met")
+    dealt = rows.select(F.posexplode("first").alias("at", "gram"), "sig", "size").select("gram", "sig", "size", "at")
+    dealt = dealt.repartition("gram").sortWithinPartitions("gram", "sig")
+    met = staged(labelled(dealt.mapInArrow(_several, "gram long, sig long, size int, at int, n long"), stars(links)), "similar-met")
     crowded = met.where(F.col("n") >= crowd)
     # The hub of a shingle is its set with the largest share of crowded shingles: what a group of near copies
     # was made from has hardly any other, and is as near to all of them as a set can be.
-    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 + F.floor(F.col("size") / 20)
+    prefix = (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 + F.floor(F.col("size") / 20)).cast("int")
     central = crowded.groupBy("sig").agg((F.count(F.lit(1)) / F.max(prefix)).alias("share"))
     ranked = F.struct(F.col("share"), F.xxhash64("sig").alias("draw"), "sig", "size", "part")
     hubs = crowded.join(central, "sig").groupBy("gram").agg(F.max(ranked).alias("hub"))
     links = links.union(sharing(crowded, hubs.select("gram", "hub.sig", "hub.size", "hub.part"), F.lit(True), 0.5))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     label = staged(smallest_reachable(ends.select("node", F.col("node").alias("label")), links), "similar-labels")
-    apart = staged(labelled(met.drop("part"), label), "similar-apart")
+    # Of what two sets share, the shingles before a common one are first shingles of both, and of those that others
+    # have first as well; those behind it are at most what is left of either.
+    before = F.row_number().over(Window.partitionBy("sig").orderBy("at")) - 1
+    placed = labelled(met.drop("part"), label).select("gram", "sig", "size", "part", before.alias("before"), (F.col("size") - F.col("at") - 1).alias("behind"))
+    apart = staged(placed, "similar-apart")
     several = apart.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     apart = apart.join(several.select("gram"), "gram", "left_semi")
     # A labelled node's link to its label stands for all links so far: few rounds are left to do.
     stars_so_far = label.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    return rows.select("id", "tie", "sig"), stars_so_far.union(sharing(apart, apart, F.col("x.sig") < F.col("y.sig"), 1.0))
+    least = lambda c: F.least(f"x.{c}", f"y.{c}")
+    enough = least("before") + 1 + least("behind") + 1e-6 >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size"))
+    return rows.select("id", "tie", "sig"), stars_so_far.union(sharing(apart, apart, (F.col("x.sig") < F.col("y.sig")) & enough, 1.0))
 
 
 def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:

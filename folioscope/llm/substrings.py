@@ -14,7 +14,7 @@ from .common import discard, mixed, range_hashes, slices, staged, text_or_empty,
 WINDOW = 35  # words
 ANCHOR = 8  # words of the sequences that decide a window's shard
 SPLIT = 4_096  # an anchor with more different fragments is dealt to several shards
-LEVELS = 5  # as often as that, at most
+LEVELS = 5  # so often by parts of its windows, then by whole windows
 LAST, FIRST, MIDDLE = range(3)
 
 
@@ -348,10 +348,10 @@ def _search(window: int, most_words: int):
     return work
 
 
-def _wanted(contents: DataFrame, split: int, last: bool) -> DataFrame:
+def _wanted(contents: DataFrame, split: int) -> DataFrame:
     """contents(anchor, content, n, one) of anchors that occur more than once, with what _fetch() asks for."""
     kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    heavy = F.lit(False) if last else F.col("kinds") > split
+    heavy = F.col("kinds") > split
     return contents.join(staged(kinds.select("anchor", "kinds"), "passages-kinds"), "anchor").select(
         "one.*", F.struct("anchor", "content", (F.col("n") > 1).alias("twice"), heavy.alias("heavy"), "one.start", "one.windows").alias("f")
     )
@@ -367,11 +367,14 @@ def _verdicts(words: DataFrame, window: int, anchor: int, split: int, shard_word
         return found
     heavy = staged(heavy.select("anchor", "content", "twice", "words").dropDuplicates(["anchor", "content"]), "passages-heavy")
     kind = "anchor long, content long, in_anchor long, in_content long, twice boolean, start int, windows int"
-    parts = staged(heavy.mapInArrow(_recut(window, anchor, level), kind), "passages-parts")
+    # Windows that go on sharing an anchor are at last dealt by all of their words: then equal windows alone
+    # meet, and no anchor has more than one content.
+    by = anchor if level < LEVELS else window
+    parts = staged(heavy.mapInArrow(_recut(window, by, level), kind), "passages-parts")
     times = F.when(F.col("twice"), 2).otherwise(1)
     one = F.struct("in_anchor", "in_content", "start", "windows")
     contents = staged(parts.groupBy("anchor", "content").agg(F.sum(times).alias("n"), F.min(one).alias("one")), "passages-contents")
-    wanted = _wanted(contents, split, level >= LEVELS).groupBy("in_anchor", "in_content").agg(F.collect_list("f").alias("wanted"))
+    wanted = _wanted(contents, split).groupBy("in_anchor", "in_content").agg(F.collect_list("f").alias("wanted"))
     whole = heavy.withColumnsRenamed({"anchor": "in_anchor", "content": "in_content"}).join(wanted, ["in_anchor", "in_content"])
     deeper = whole.select("in_anchor", "in_content", "words", "wanted").mapInArrow(_fetch(window, "words"), WORDS)
     inner = _verdicts(staged(deeper, "passages-words"), window, anchor, split, shard_words, level + 1)
@@ -391,7 +394,8 @@ def repeated_passages(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     3. The shard's compressed FM-index gives matching statistics of the fragments streamed through
        it, and windows that match over their whole length repeat.
     4. An anchor with more than `split` contents fills no shard: its fragments are cut once more, by
-       anchors of another hash, combined, and go to the shards of these; and so on.
+       anchors of another hash, combined, and go to the shards of these; and so on.  What still shares
+       one after LEVELS cuts is cut into single windows, which are dealt by all of their words.
     5. The runs found for a content hold for all fragments with it.
     """
     cut = rows.select("row", "tie", "text").mapInArrow(_cut(window, anchor), FRAGMENT)
@@ -400,7 +404,7 @@ def repeated_passages(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     discard(shared)
     one = F.struct("row", "tie", "start", "windows")
     contents = staged(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "passages-contents")
-    wanted = _wanted(contents, split, last=False).groupBy("row", "tie").agg(F.collect_list("f").alias("wanted"))
+    wanted = _wanted(contents, split).groupBy("row", "tie").agg(F.collect_list("f").alias("wanted"))
     texts = rows.join(wanted, ["row", "tie"]).select("row", "tie", "text", "wanted")
     words = staged(texts.mapInArrow(_fetch(window, "text"), WORDS), "passages-words")
     discard(contents)

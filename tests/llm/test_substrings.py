@@ -172,3 +172,16 @@ def test_rows_of_one_id_are_told_apart(spark):
     rows = [(None, t, None, None, None, 1, "x", 2) for t in texts] * 2
     got = remove_repeated(spark.createDataFrame(rows, SCHEMA)).collect()
     assert Counter(r.kept for r in got) == Counter(w[2] for w in brute(texts * 2, 35))
+
+
+def test_windows_that_go_on_sharing_an_anchor(spark, monkeypatch):
+    """Many texts with 30 words in common: after the cuts by parts, whole windows decide, and no anchor has more than `split` contents."""
+    from folioscope.llm import substrings
+
+    monkeypatch.setattr(substrings, "LEVELS", 2)
+    rng = np.random.default_rng(4)
+    fixed = " ".join(f"f{k}" for k in range(30))
+    texts = [f"{fixed} " + " ".join(f"t{x}" for x in rng.integers(0, 3, 9)) for _ in range(300)] + [f"other start {fixed} t1 t1 t1 t1 t1 t1 t1 t1 t1"] * 2
+    rows = [(i, t, None, None, None, 1, "x", 2) for i, t in enumerate(texts)]
+    got = remove_repeated(spark.createDataFrame(rows, SCHEMA), split=3, shard_words=200).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == dict(enumerate(brute(texts, 35)))
