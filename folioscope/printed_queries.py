@@ -85,9 +85,9 @@ def dates_read(spark, sf_dir):
 
 # Lines that retell a study of another day, and lines whose numbers are no dates.
 LINES = [
-    ("ТТГ 9.99 від {dd}.{mm}.{yy} р.", "day"), ("PSA ({dd}.{mm}.{y}) 8,88 ng/ml", "day"), ("ТТГ 4.12 від {d} {uk} {y} р.", "day"), ("TSH 4,12 de {d} de {es} de {y}", "day"), ("ΤΣΗ 4.12 στις {d} {el} {y}", "day"),
-    ("TSH 4.12, {dd}-{en}-{y}", "day"), ("ТТГ 4.12 з {d}.{ro}.{y}", "day"), ("ПСА-9,99 нг/мл ({mm}.{y}: Lab)", "month"), ("УЗО від {mm}.{y} - простата 99см3", "month"), ("ТТГ 4.12 ({uk} {y})", "month"),
-    ("Глюкоза 8.88 7.77-9.{dd} ммоль/л", "none"), ("Феритин 23 нг/мл (норма 4-{y})", "none"), ("Коефіцієнт {mm}.{y} умовних", "none"), ("по 1 таблетці на день 5-7-{dd} днів", "none"), ("Vis 6/9/{yy}", "none"),
+    ("ТТГ 3.47 від {dd}.{mm}.{yy} р.", "day"), ("PSA ({dd}.{mm}.{y}) 6,21 ng/ml", "day"), ("ТТГ 4.12 від {d} {uk} {y} р.", "day"), ("TSH 4,12 de {d} de {es} de {y}", "day"), ("ΤΣΗ 4.12 στις {d} {el} {y}", "day"),
+    ("TSH 4.12, {dd}-{en}-{y}", "day"), ("ТТГ 4.12 з {d}.{ro}.{y}", "day"), ("ПСА-4,18 нг/мл ({mm}.{y}: Lab)", "month"), ("УЗО від {mm}.{y} - простата 31см3", "month"), ("ТТГ 4.12 ({uk} {y})", "month"),
+    ("Глюкоза 5.31 4.10-5.{dd} ммоль/л", "none"), ("Феритин 23 нг/мл (норма 4-{y})", "none"), ("Коефіцієнт {mm}.{y} умовних", "none"), ("по 1 таблетці на день 5-7-{dd} днів", "none"), ("Vis 6/9/{yy}", "none"),
     ("версія v{d}.{mm}.{yy}", "none"), ("Феритин 23 нг/мл march {y}", "none"), ("щось {dd}.{mm}-{y} щось", "none"), ("WBC {d}.9 x 10 9/L", "none"), ("Лейкоцити {d} х 10 9/л", "none"),
 ]
 _M = len(LINES)
@@ -239,10 +239,10 @@ def tests_asked(spark, sf_dir):
 
 
 # Lines with a doctor, and the name that each prints; without one, none proves itself.
-SURNAMES = "Квазитрофенко,Пселлофазюк,Іваненко,Коваль,Петренко,Мельник,Шевченко"
+SURNAMES = "Бережницький,Ставничук,Іваненко,Коваль,Петренко,Мельник,Шевченко"
 DOCTOR_LINES = [
     ("Лікар: {s} А.В.", "{s} А.В."), ("Зав. відділенням    к.м.н.  [підпис]  О.П.{s}", "О.П.{s}"), ("Врач: КДЦ {s}  І. І.", "{s} І. І."), ("Лікар {s} Орися Павлівна", "{s} Орися Павлівна"), ("Направив лікар {s} А.В.", ""),
-    ("Лікар {s}", ""), ("Лікарняний лист видано пацієнтові {s} А.В.", ""), ("Завідуюча КДЛ {s}", ""), ("DRA. QUALTRINA VEXMOOR", "QUALTRINA VEXMOOR"), ("Лікар {s} О.П. направив Інший І.І.", "{s} О.П."),
+    ("Лікар {s}", ""), ("Лікарняний лист видано пацієнтові {s} А.В.", ""), ("Завідуюча КДЛ {s}", ""), ("DRA. MARTA OLIVERA", "MARTA OLIVERA"), ("Лікар {s} О.П. направив Інший І.І.", "{s} О.П."),
 ]
 _D = len(DOCTOR_LINES)
 _SURNAME = f"SELECT o_orderkey AS document_id, o_custkey % {_D} AS form, split_part('{SURNAMES}', ',', CAST(o_custkey % 7 + 1 AS INT)) AS s FROM orders"
