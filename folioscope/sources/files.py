@@ -150,18 +150,19 @@ def text_file_pages(files: DataFrame, most: int = 5000) -> DataFrame:
 
 
 def office_text(files: DataFrame, most_rows: int = 200) -> DataFrame:
-    """(path, part, text): paragraphs of Word files and rows of Excel sheets, by tabs, up to `most_rows`
-    rows a sheet.  A file that does not open gives no part; the inventory has its error."""
+    """(path, part, text, rows_left_out): paragraphs of Word files and rows of Excel sheets, by tabs, up to
+    `most_rows` rows a sheet; rows_left_out says how many a sheet has beyond.  A file that does not
+    open gives no part; the inventory has its error."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(p, k, t) for p, x in zip(part["path"], part["content"]) for k, t in enumerate(_office(bytes(x), most_rows))]
-            yield pd.DataFrame(rows, columns=["path", "part", "text"])
+            rows = [(p, k, t, left) for p, x in zip(part["path"], part["content"]) for k, (t, left) in enumerate(_office(bytes(x), most_rows))]
+            yield pd.DataFrame(rows, columns=["path", "part", "text", "rows_left_out"])
 
-    return files.select("path", "content").mapInPandas(work, "path string, part int, text string")
+    return files.select("path", "content").mapInPandas(work, "path string, part int, text string, rows_left_out int")
 
 
-def _office(content: bytes, most_rows: int) -> list[str]:
+def _office(content: bytes, most_rows: int) -> list[tuple[str, int]]:
     import re
     from xml.etree import ElementTree
 
@@ -172,14 +173,15 @@ def _office(content: bytes, most_rows: int) -> list[str]:
         if "word/document.xml" in names:
             body = ElementTree.fromstring(book.read("word/document.xml"))
             lines = ["".join(t.text or "" for t in p.iter() if local(t) == "t") for p in body.iter() if local(p) == "p"]
-            return ["\n".join(x for x in lines if x)]
+            return [("\n".join(x for x in lines if x), 0)]
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter() if local(t) == "t") for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if local(s) == "si"]
         out = []
         for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0])):
-            rows = [r for r in ElementTree.fromstring(book.read(name)).iter() if local(r) == "row"][:most_rows]
-            out.append("\n".join("\t".join(_cell(c, shared, local) for c in r if local(c) == "c") for r in rows))
+            rows = [r for r in ElementTree.fromstring(book.read(name)).iter() if local(r) == "row"]
+            lines = ["\t".join(_cell(c, shared, local) for c in r if local(c) == "c") for r in rows[:most_rows]]
+            out.append(("\n".join(lines), max(0, len(rows) - most_rows)))
         return out
     except Exception:
         return []

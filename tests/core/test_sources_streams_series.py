@@ -191,3 +191,14 @@ def test_state_expires(spark, tmp_path):
     assert all(repeats == 0 for *_, repeats in got)  # the one held back of "a" is forgotten with its state
     rows = [p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (p.json for p in query.recentProgress)) if p["stateOperators"]]
     assert rows[-1] <= 4 and max(rows) >= 3
+
+
+def test_rows_of_a_sheet_that_are_left_out(spark, tmp_path):
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        rows = "".join(f"<row><c><v>{k}</v></c><c><v>{k * k}</v></c></row>" for k in range(7))
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{rows}</sheetData></worksheet>")
+    (tmp_path / "s.xlsx").write_bytes(book.getvalue())
+    files = S.list_files(spark, str(tmp_path))
+    part = S.office_text(files, most_rows=5).first()
+    assert part.text.split("\n")[-1] == "4\t16" and part.rows_left_out == 2 and S.office_text(files).first().rows_left_out == 0
