@@ -9,7 +9,8 @@ from .compaction import newest_per_key
 
 
 def exact_copies(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, copy_of): rows whose text an earlier id has.  The text's digest is grouped; texts stay where they are."""
+    """(id, copy_of): rows whose text an earlier id has.  The text's digest is grouped; texts stay where they are.
+    Rows without a text are copies of nothing."""
     digest = rows.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return digest.join(first, "digest").where("id <> copy_of").select("id", "copy_of")
