@@ -22,44 +22,54 @@ from .toxicity import grades_of_labels, score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of documents, and which row of each stays."""
     return exact_dedup(documents(spark, sf_dir))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to 24 shards by their ids, with slots."""
     return shard_documents(documents(spark, sf_dir), 24)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and the components that near ones make."""
     return near_dedup(documents(spark, sf_dir)).drop("kept")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, or nearly."""
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents, and how widely each is held."""
     return scan_secrets(documents(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three quarters of them."""
     return identify_languages(documents(spark, sf_dir)).drop("spans")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that occur elsewhere too, as digests."""
     rows = remove_repeated(documents(spark, sf_dir), window=35)
     return rows.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected severity of each document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(documents(spark, sf_dir), grades_of_labels(labels))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
     return mix_sources(documents(spark, sf_dir))
 
 
