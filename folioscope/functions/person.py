@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import date
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import Line, read_date
+from .dates import KEPT_CHARS, Line, read_date
 from .text import fold, fold_text
 
 # Labels, and answers to them.
@@ -88,6 +89,12 @@ def birth_dates_of(text: str, today: date) -> list[date]:
     return sorted(out)
 
 
+@lru_cache(maxsize=2**16)
+def _birth_dates_kept(text: str, today: date) -> tuple[date, ...]:
+    """birth_dates_of() a short page: a worker reads the same one once while it remembers it."""
+    return tuple(birth_dates_of(text, today))
+
+
 def birth_dates(text: Column, today: date | None = None) -> Column:
     """The dates printed beside a date-of-birth label, sorted: in front of it where one touches it, else
     after it.  A year alone is its first of January.  `today` (the driver's, if none is given) says
@@ -97,7 +104,7 @@ def birth_dates(text: Column, today: date | None = None) -> Column:
     @F.pandas_udf("array<date>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield part.map(lambda t: birth_dates_of(t, now) if isinstance(t, str) else [])
+            yield part.map(lambda t: list(_birth_dates_kept(t, now)) if isinstance(t, str) and len(t) <= KEPT_CHARS else birth_dates_of(t, now) if isinstance(t, str) else [])
 
     return read(F.when(fold(text).rlike(_MAY_TELL), text))
 
