@@ -17,6 +17,24 @@ def postings(rows: DataFrame, id_col: str, text_cols: list[str], fold_with=fold)
     return tokens.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def row_postings(rows: DataFrame, id_col: str, text_cols: list[str], fold_with=fold) -> DataFrame:
+    """postings() of each row by itself, without a shuffle: the words of a row are sorted and their runs measured.
+    A document of several rows has a token as often as rows of it have."""
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
+    held = rows.select(F.col(id_col).alias("doc"), F.sort_array(words(fold_with(text))).alias("w")).withColumn("n", F.size("w"))
+    first = lambda k: (k == 0) | (F.get("w", k) != F.get("w", k - 1))
+    runs = held.withColumn("runs", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), first)))
+    run = lambda at, k: F.struct(F.get("w", at).alias("token"), (F.coalesce(F.get("runs", k + 1), F.col("n")) - at).cast("long").alias("tf"))
+    return runs.select("doc", F.inline(F.transform("runs", run)))
+
+
+def lengths_of(rows: DataFrame, id_col: str, text_cols: list[str], fold_with=fold) -> DataFrame:
+    """(doc, len): how many words a document has, if any, counted in its texts and not in postings."""
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
+    counted = rows.select(F.col(id_col).alias("doc"), F.size(words(fold_with(text))).alias("n"))
+    return counted.groupBy("doc").agg(F.sum("n").alias("len")).where("len > 0")
+
+
 def question_words(question: str) -> list[list[str]]:
     """The words of a question, each with its spellings in look-alike letters.  Every word must be
     found; a word is a prefix."""
@@ -95,12 +113,18 @@ def indicators_matching(names: DataFrame, question: str) -> DataFrame:
     return names.where(fits).groupBy("indicator_id").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("said"))
 
 
-def keep_index(index: DataFrame, path: str) -> None:
+def keep_index(index: DataFrame, path: str, lengths: DataFrame | None = None) -> None:
     """Write postings by the first two letters of their tokens, and the documents' lengths beside them.  Letters
-    that very many tokens begin with are dealt to several tasks and files."""
-    dealt = index.withColumn("head", F.substring("token", 1, 2)).repartition("head", F.pmod(F.xxhash64("doc"), F.lit(16)))
-    dealt.write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
-    index.groupBy("doc").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+    that very many tokens begin with are dealt to several tasks and files.
+
+    The index may be row_postings(): it is dealt once, and rows of one document and token are
+    summed where they are then.
+    """
+    dealt = index.withColumns({"head": F.substring("token", 1, 2), "part": F.pmod(F.xxhash64("doc"), F.lit(16))}).repartition("head", "part")
+    summed = dealt.groupBy("head", "part", "doc", "token").agg(F.sum("tf").alias("tf")).drop("part")
+    summed.select("doc", "token", "tf", "head").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    lengths = index.groupBy("doc").agg(F.sum("tf").alias("len")) if lengths is None else lengths
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def kept_hits(spark: SparkSession, path: str, question: str) -> DataFrame:
