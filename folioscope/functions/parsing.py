@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .dates import quoted_date, read_date  # noqa: F401
 from .ranges import outside, printed_ends, read_range  # noqa: F401
 from .units import unit_key, unit_of_range  # noqa: F401
@@ -21,8 +22,8 @@ from .units import unit_key, unit_of_range  # noqa: F401
 def on_distinct(rows: DataFrame, columns: list[str], parse: Callable[..., dict | None], fields: str, prefix: str = "") -> DataFrame:
     """rows with the fields that parse(*columns) gives, null where it gives None.
 
-    The parser sees each different combination once; rows meet the answers in an equi-join, null
-    matching null.
+    The parser sees each different combination once.  The answers are staged, so rows meet them, null
+    matching null, in a join of known size: where they are few, no row is shuffled.
     """
     names = [f.split()[0] for f in re.split(r",\s*(?![^<]*>)", fields)]
 
@@ -35,9 +36,8 @@ def on_distinct(rows: DataFrame, columns: list[str], parse: Callable[..., dict |
 
     asked = rows.select(*columns).distinct()
     schema = ", ".join([f"{c} {t}" for c, t in asked.dtypes] + [prefix + f.strip() for f in re.split(r",\s*(?![^<]*>)", fields)])
-    answers = asked.mapInPandas(work, schema)
     keys = {c: f"_key_{k}" for k, c in enumerate(columns)}
-    answers = answers.withColumnsRenamed(keys)
+    answers = staged(asked.mapInPandas(work, schema).withColumnsRenamed(keys))
     same = F.lit(True)
     for c, k in keys.items():
         same = same & rows[c].eqNullSafe(answers[k])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import quoted_dates
 from ..functions.parsing import MOLAR_MASS, on_distinct, power_of, read_range, to_mmol, unit_key, unit_of_range
 from ..functions.units import ends_agree, fits_range, onto_one_scale, same_size, with_groups
-from ..operators.graph import cut_lineage
 from ..operators.suspects import medians
+from ..session import staged
 
 KEYS = ["indicator_id", "material"]
 RETELLING_DAYS = 45
@@ -30,16 +30,18 @@ def with_quoted_dates(rows: DataFrame) -> DataFrame:
 
 def without_retellings(rows: DataFrame) -> DataFrame:
     """A quoted value that equals a measured one of its test, 45 days or less away, is a retelling and
-    goes; `retold` counts them at the measured value nearest in time."""
+    goes; `retold` counts them at the measured value nearest in time.
+
+    Quoted values are few beside measured ones, so they are staged, and they go to three buckets."""
     from ..operators.joins import within_days
 
-    told = rows.where("quoted and value_numeric is not null").select(
+    told = staged(rows.where("quoted and value_numeric is not null").select(
         "indicator_id", "value_numeric", F.col("observation_id").alias("told_id"), F.col("date").alias("told_day"), F.col("material").alias("told_material")
-    )
+    ))
     seen = rows.where("not quoted and value_numeric is not null and date is not null").select("indicator_id", "value_numeric", "observation_id", "date", "material")
-    met = within_days(told, seen, ["indicator_id", "value_numeric"], "told_day", "date", RETELLING_DAYS)
+    met = within_days(seen, told, ["indicator_id", "value_numeric"], "date", "told_day", RETELLING_DAYS)
     met = met.where("told_material is null or material is null or told_material = material")
-    near = met.groupBy("told_id").agg(F.min_by("observation_id", F.struct(F.abs(F.datediff("date", "told_day")), "observation_id")).alias("observation_id"))
+    near = staged(met.groupBy("told_id").agg(F.min_by("observation_id", F.struct(F.abs(F.datediff("date", "told_day")), "observation_id")).alias("observation_id")))
     counts = near.groupBy("observation_id").agg(F.count(F.lit(1)).alias("retold"))
     kept = rows.join(near.select(F.col("told_id").alias("observation_id")), "observation_id", "left_anti")
     return kept.join(counts, "observation_id", "left").withColumn("retold", F.coalesce("retold", F.lit(0)))
@@ -95,11 +97,11 @@ def placed_by_numbers(rows: DataFrame, agreement: float = 2.0, least: int = 2) -
         fits_range(F.col("least"), F.col("most"), F.col("own_least"), F.col("own_most"), agreement)
     )
     told = F.when(ranged, by_range).otherwise(F.coalesce(by_ends, F.lit(False)))
-    met = cut_lineage(met.select(*KEYS, "to_scale", told.alias("fits"), (~ranged & ~told & F.col("own_least").isNotNull()).alias("open")))
+    met = staged(met.select(*KEYS, "to_scale", told.alias("fits"), (~ranged & ~told & F.col("own_least").isNotNull()).alias("open")))
     pairs = pairs_in_time_agree(numbers, met.where("open").select(*KEYS, "to_scale"), agreement)
     near = met.where("fits").select(*KEYS, "to_scale").unionByName(pairs)
     one = near.groupBy(*KEYS).agg(F.min("to_scale").alias("to_scale"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-    one = one.withColumnsRenamed({"indicator_id": "_i", "material": "_m"})
+    one = staged(one.withColumnsRenamed({"indicator_id": "_i", "material": "_m"}))
     same = F.col("indicator_id").eqNullSafe(F.col("_i")) & F.col("material").eqNullSafe(F.col("_m")) & (F.col("scale") == "") & F.col("number").isNotNull()
     out = rows.join(one, same, "left").drop("_i", "_m")
     placed = F.col("to_scale").isNotNull()
@@ -163,7 +165,7 @@ def joined_spellings(rows: DataFrame, agreement: float = 2.0, least: int = 2) ->
         return part.assign(series=series)[[*KEYS, "scale", "series"]]
 
     names = stat.groupBy(*KEYS).applyInPandas(greedy, "indicator_id string, material string, scale string, series string")
-    names = names.withColumnsRenamed({"indicator_id": "_i", "material": "_m", "scale": "_s"})
+    names = staged(names.withColumnsRenamed({"indicator_id": "_i", "material": "_m", "scale": "_s"}))
     same = F.col("indicator_id").eqNullSafe(F.col("_i")) & F.col("material").eqNullSafe(F.col("_m")) & (F.col("scale") == F.col("_s"))
     return rows.join(names, same).drop("_i", "_m", "_s")
 
@@ -177,12 +179,16 @@ def one_power(rows: DataFrame, least: int = 2) -> DataFrame:
     return met.withColumns({by: -F.col(by) for by in ("moved", "band_moved")})
 
 
-def charts(rows: DataFrame) -> DataFrame:
+def charts(rows: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """All steps.  Adds series, number, low, high, quoted, retold, moved, why (null for drawn values)
-    and place: 1, 2 ... in the series in order of date; undated values last."""
-    # Each step below reads its input several times, so the parsed and the placed rows are kept.
-    read = cut_lineage(with_scales(with_quoted_dates(rows)))
-    placed = cut_lineage(placed_by_numbers(without_retellings(read)))
+    and place: 1, 2 ... in the series in order of date; undated values last.
+
+    `without` names columns that the result need not have, such as printed text; they are left behind
+    once they are parsed.
+    """
+    # Each step below reads its input several times, so the parsed and the placed rows are staged.
+    read = staged(with_scales(with_quoted_dates(rows)).drop(*without))
+    placed = staged(placed_by_numbers(without_retellings(read)))
     out = one_power(joined_spellings(placed))
     why = F.when(F.col("number").isNull(), "not_a_number").when(F.col("date").isNull(), "undated")
     return numbered(out.withColumn("why", why))
@@ -198,7 +204,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     keys = [*KEYS, "series", "date"]
     days = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*KEYS, "series").orderBy(F.col("date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    days = staged(days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
     within = Window.partitionBy(*keys).orderBy("document_id", "observation_id", "number", "low", "high")
     met = with_groups(rows.withColumn("_place", F.row_number().over(within)), days, {k: f"_key_{k}" for k in keys})
     return met.withColumn("place", F.col("_before") + F.col("_place")).drop("_before", "_place")

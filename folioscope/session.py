@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -35,3 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the folder that driver and executors share, and read again.
+
+    A reader takes the columns that it needs, and Spark knows the size before it plans: a small table
+    is broadcast and what it meets is not shuffled, a large one is shuffled.
+    """
+    untyped = {c for c, t in df.dtypes if t == "void"}  # Parquet has no such type
+    kept = df.drop(*untyped)
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    kept.write.parquet(path)
+    out = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return out.select(*[F.lit(None).alias(c) if c in untyped else out[c] for c in df.columns])
