@@ -28,8 +28,8 @@ from ..functions.dates import quoted_dates
 from ..functions.eyes import measurements_named, the_eye_alone
 from ..functions.parsing import GRAMS, MOLAR_MASS, MOLES, on_distinct, printed_ends, unit_key, unit_of_range
 from ..functions.text import WORD, fold, mixed_script_words, words
+from ..session import staged
 from . import copies, suspects
-from .graph import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -72,11 +72,12 @@ def row_rule(name: str, step: str, base: str, subject: str = "document", on: boo
 
 
 def _read_reference(reference: str | None, unit: str | None) -> dict:
-    """All that a printed range says, read once."""
+    """All that a printed range and a unit say, read once."""
     ends = printed_ends(reference, unit) or {}
     low, high = ends.get("low"), ends.get("high")
     reversed_ = low is not None and high is not None and low > high
-    return {"low": None if reversed_ else low, "high": None if reversed_ else high, "reversed": reversed_, "names": unit_of_range(reference)}
+    closed = {"r_low": None, "r_high": None} if reversed_ else {"r_low": low, "r_high": high}
+    return closed | {"r_reversed": reversed_, "r_names": unit_of_range(reference), "unit_key": unit_key(unit)}
 
 
 def _or_empty(column: str) -> Column:
@@ -94,17 +95,17 @@ class Prepared:
         self._tables, self._kept = tables, kept
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name) if name in ("values", "met", "rows", "units") else self._tables[name]
+        return getattr(self, name) if name in ("values", "met", "units") else self._tables[name]
 
     def _keep(self, df: DataFrame) -> DataFrame:
         """Rules of groups read it again, each its own columns: written once, if there are several."""
-        return cut_lineage(df) if self._kept else df
+        return staged(df) if self._kept else df
 
     @cached_property
     def values(self) -> DataFrame:
         """values with what its range and its unit say: r_low, r_high, r_reversed, r_names, unit_key."""
-        read = on_distinct(self._tables["values"], ["reference", "unit"], _read_reference, "low double, high double, reversed boolean, names string", "r_")
-        return self._keep(on_distinct(read, ["unit"], lambda u: {"key": unit_key(u)}, "key string", "unit_"))
+        said = "r_low double, r_high double, r_reversed boolean, r_names string, unit_key string"
+        return self._keep(on_distinct(self._tables["values"], ["reference", "unit"], _read_reference, said))
 
     @cached_property
     def met(self) -> DataFrame:
@@ -118,13 +119,6 @@ class Prepared:
         pages = self._tables["pages"].select("document_id", "page", "as_text", packed("sent").alias("sent_packed"), packed("got").alias("got_packed"), _word_count("sent").alias("sent_words"))
         return own.join(pages, ["document_id", "page"])
 
-    @cached_property
-    def rows(self) -> DataFrame:
-        """Counts of equal values, which rules of repeated rows sum further."""
-        keys = ["document_id", "page", "name", "value", "unit", "snippet"]
-        counts = [F.count(F.lit(1)).alias("n"), F.count("column_heading").alias("headings"), F.bool_or(F.expr(RESULT)).alias("result")]
-        return self._keep(self.values.groupBy(*keys).agg(*counts))
-
     @cached_property
     def units(self) -> DataFrame:
         """How often each test has each unit: (indicator_id, unit_key, n, numbered)."""
@@ -144,7 +138,7 @@ def run(tables: Tables, *, only: list[str] | None = None, switched: dict[str, bo
         if unknown := set(changed.get(r.name, {})) - set(r.thresholds):
             raise KeyError(f"{r.name} has no threshold {sorted(unknown)}")
     limits = {r.name: r.thresholds | changed.get(r.name, {}) for r in asked}
-    t = Prepared(tables, kept=sum(r.find is not None for r in asked) > 1)
+    t = Prepared(tables, kept=sum(r.find is not None for r in asked) > 2)
     parts = []
     for base in dict.fromkeys(r.base for r in asked if r.holds):
         page = F.col("page").cast("int") if "page" in t[base].columns else F.lit(None).cast("int")
@@ -153,7 +147,9 @@ def run(tables: Tables, *, only: list[str] | None = None, switched: dict[str, bo
             for r in asked
             if r.base == base and r.holds
         ]
-        parts.append(t[base].select("document_id", F.explode(F.array_compact(F.array(*told))).alias("f")).select("f.rule", "document_id", "f.page", "f.line"))
+        # The array itself is exploded: of an expression over it Spark asks first whether it is empty, and so evaluates every condition again.
+        fired = t[base].select("document_id", F.explode(F.array(*told)).alias("f")).where("f is not null")
+        parts.append(fired.select("f.rule", "document_id", "f.page", "f.line"))
     for r in (r for r in asked if r.find):
         found = r.find(t, **limits[r.name])
         pick = lambda c, kind: (F.col(c) if c in found.columns else F.lit(None)).cast(kind).alias(c)  # noqa: B023, E731
@@ -208,7 +204,7 @@ def _known(condition: Column) -> Column:
 
 @row_rule("number_differs", "validate", "values", line=_snippet)
 def number_differs():
-    return F.col("value_numeric").isNotNull() & (F.size(N.number_tokens(F.col("value"))) > 0) & ~N.number_matches(F.col("value"), F.col("value_numeric"))
+    return F.col("value_numeric").isNotNull() & N.number_differs(F.col("value"), F.col("value_numeric"))
 
 
 @row_rule("comparator_missing", "validate", "values", line=_snippet)
@@ -234,13 +230,13 @@ def range_read_two_ways(apart_by):
 
 @rule("row_without_result", "validate")
 def row_without_result(t):
-    return t["rows"].groupBy("document_id", "page", F.col("name").alias("line")).agg(F.bool_or("result").alias("any")).where("not any")
+    return t["values"].groupBy("document_id", "page", F.col("name").alias("line")).agg(F.bool_or(F.expr(RESULT)).alias("any")).where("not any")
 
 
 @rule("repeated_value", "validate")
 def repeated_value(t):
     keys = ["document_id", "page", "name", "value", "unit"]
-    more = t["rows"].groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 1")
+    more = t["values"].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return more.select("document_id", "page", F.col("name").alias("line"), F.explode(F.sequence(F.lit(2), F.col("n"))).alias("k"))
 
 
@@ -485,7 +481,7 @@ def comparator_not_printed():
 
 @rule("no_column_headings_in_multi_value_rows", "extract")
 def no_column_headings_in_multi_value_rows(t):
-    rows = t["rows"].groupBy("document_id", "page", F.col("snippet").alias("line"), "name").agg(F.sum("n").alias("n"), F.sum("headings").alias("headings"))
+    rows = t["values"].groupBy("document_id", "page", F.col("snippet").alias("line"), "name").agg(F.count(F.lit(1)).alias("n"), F.count("column_heading").alias("headings"))
     return rows.where("n > 1 and headings = 0")
 
 

@@ -4,7 +4,9 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import numbers as N
 from folioscope.functions.parsing import on_distinct, read_range
+from folioscope.operators.rules import run, tally
 from folioscope.plans.series import charts
 from folioscope.session import staged
 
@@ -51,3 +53,32 @@ def test_retellings_go_with_either_side_larger(spark):
     by = {r.observation_id: r for r in charts(frame).collect()}
     assert len(by) == 60 and 120 in by and by[120].quoted
     assert {k for k, r in by.items() if r.retold} == {3, 9} and by[3].retold == 1
+
+
+VALUES = "document_id long, page int, name string, value string, value_numeric double, comparator string, value_role string, unit string, reference string, reference_low double, reference_high double, column_heading string, snippet string"
+
+
+def test_rules_of_rows_shuffle_nothing_and_rules_of_groups_once(spark):
+    rows = [(k // 9, k % 2, f"n{k % 4}", f"{k % 3},5", k % 3 + 0.5 + k % 2, None, ["result", "other"][k % 2], [None, "g/l"][k % 2], ["5-3", "3-5 g/l", None][k % 3], 3.0, 6.0, None, "a line") for k in range(90)]
+    values = spark.createDataFrame(rows, VALUES)
+    of_rows = run({"values": values}, only=["number_differs", "comparator_missing", "reference_reversed", "range_read_two_ways"])
+    assert shuffles(of_rows) == 0
+    assert {(r.rule, r.findings) for r in tally(of_rows).collect()} == {("number_differs", 45), ("reference_reversed", 30), ("range_read_two_ways", 30)}
+    of_groups = run({"values": values}, only=["row_without_result", "repeated_value"])
+    assert shuffles(of_groups) == 2
+    seen = [(r[0], r[1], r[2], r[3], r[7]) for r in rows]
+    alone = {(r[0], r[1], r[2]) for r in rows} - {(r[0], r[1], r[2]) for r in rows if r[6] == "result"}
+    got = {r.rule: r.findings for r in tally(of_groups).collect()}
+    assert got == {k: n for k, n in (("row_without_result", len(alone)), ("repeated_value", len(seen) - len(set(seen)))) if n} and got
+
+
+def test_a_number_alone_is_read_like_one_among_others(spark):
+    texts = ["5", " < 5,0 ", ">=5", "≤ 5.00", "5.000", "1 234", "l5", "5 mg", "5,5,5", "005", ".5", "5.", "<<5", "", "neg", None, "9" * 400, "٥"]
+    frame = spark.createDataFrame([(t, v) for t in texts for v in (5.0, 5000.0, 0.5, 1234.0, None)], "t string, v double")
+    full = N._one_is(N.number_tokens(F.col("t")), F.col("v"))
+    some = F.size(N.number_tokens(F.coalesce("t", F.lit("")))) > 0
+    got = frame.select("t", "v", N.number_matches(F.col("t"), F.col("v")).alias("m"), full.alias("full"), N.number_differs(F.col("t"), F.col("v")).alias("d"), some.alias("some")).collect()
+    for r in got:
+        assert bool(r.m) == bool(r.full), r
+        assert r.v is None or bool(r.d) == (r.some and not r.full), r
+    assert {r.t for r in got if r.m and r.v == 5.0} == {"5", " < 5,0 ", ">=5", "≤ 5.00", "5.000", "5 mg", "005", "5.", "<<5"}
